@@ -7,9 +7,11 @@ from pyspark.sql import Column, functions as F, types as T
 from .patterns import SPACES
 
 
-def number_text(x: Column) -> Column:
-    """A double as its shortest text: fixed notation from 1e-4 up to 1e16, else ``1e+16``."""
-    plain = x.cast("string")
+def number_text(x: Column, plain: Column) -> Column:
+    """A double as its shortest text: fixed notation from 1e-4 up to 1e16, else ``1e+16``.
+
+    ``plain`` is the same number cast to a string, best a column of its own: it is used often.
+    """
     # Java 17 may print one or two digits too many: take fewer where they mean the same number
     digits = F.when(F.length(plain) < 18, plain)
     for places in (14, 15, 16):
@@ -43,14 +45,10 @@ def time_text(x: Column) -> Column:
     return F.substring_index(x.cast("string"), ".", 1)
 
 
-def value_text(x: Column, kind: T.DataType) -> Column:
-    """The text a cell shows for a value of the given type."""
+def plain_text(x: Column, kind: T.DataType) -> Column:
+    """First step to the text of a value; ``finish_text`` completes it."""
     if isinstance(kind, T.BooleanType):
         return F.when(x, "TRUE").when(~x, "FALSE")
-    if isinstance(kind, T.DoubleType):
-        return number_text(x)
-    if isinstance(kind, T.FloatType):
-        return number_text(x.cast("string").cast("double"))
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return time_text(x)
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
@@ -71,7 +69,20 @@ def value_kind(kind: T.DataType) -> str:
     return "text"
 
 
+def finish_text(x: Column, plain: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        # a float is read as the double that its own text names
+        number = x if isinstance(kind, T.DoubleType) else plain.cast("double")
+        return number_text(number, plain)
+    return plain
+
+
 def clean_text(value: Column, kind: Column) -> Column:
-    """Empty for null; text trimmed; tabs and line ends become blanks, ``|`` becomes ``¦``."""
-    trimmed = F.when(kind == "text", F.btrim(value, F.lit(SPACES))).otherwise(value)
-    return F.translate(F.coalesce(trimmed, F.lit("")), "|\t\n\r", "¦   ")
+    """Empty for null; text trimmed; tabs and line ends become blanks, ``|`` becomes ``¦``.
+
+    Most text needs no more than a plain trim, and a number or date nothing at all.
+    """
+    odd = "[|" + SPACES.replace(" ", "") + "]"
+    thorough = F.translate(F.btrim(value, F.lit(SPACES)), "|\t\n\r", "¦   ")
+    cleaned = F.when(F.rlike(value, F.lit(odd)), thorough).otherwise(F.trim(value))
+    return F.coalesce(F.when(kind == "text", cleaned).otherwise(value), F.lit(""))

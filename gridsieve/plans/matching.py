@@ -12,11 +12,11 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .sizing import MAX_BROADCAST_BYTES, measured, settled
 
-FEW = 64
+FEW = 60  # queries that fit into the bits of a long
 PART = 20_000
 GRAM_SIZES = [0, 1, 2, 3, 6]
 MIN_BITS, MAX_BITS = 12, 17  # the bitmap has 2^12 to 2^17 bits
@@ -38,18 +38,34 @@ def match_text(
     rows, size = measured(queries)
     if rows <= few:
         return _match_literals(queries, df, text, case_sensitive, regex)
+    queries = settled(queries)  # read several times below
     if regex:
-        parts = _parts(queries, -(-rows // few))
-        return _all(_match_literals(p, df, text, case_sensitive, True) for p in parts)
+        return _all(
+            _match_literals(p, df, text, case_sensitive, True)
+            for p in _parts(queries, -(-2 * rows // few), few)
+        )
     n = max(-(-rows // PART), -(-size // (MAX_BROADCAST_BYTES // 4)))
     return _all(_match_grams(p, df, text, case_sensitive) for p in _parts(queries, n))
 
 
-def _parts(queries: DataFrame, n: int) -> list[DataFrame]:
+def _parts(queries: DataFrame, n: int, most: int | None = None) -> list[DataFrame]:
+    """About ``n`` parts by a hash of the id, split further where one exceeds ``most`` rows."""
     if n <= 1:
         return [queries]
     part = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    return [queries.where(part == i) for i in range(n)]
+    parts = [queries.where(part == i) for i in range(n)]
+    if most is None:
+        return parts
+    if queries.groupBy(part).count().agg(F.max("count")).first()[0] > most:
+        return _parts(queries, 2 * n, most)
+    return parts
+
+
+def _no_match(df: DataFrame, kind: T.DataType) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return df.where(F.lit(False)).select(
+        "*", F.lit(None).cast(kind).alias("query_id"), none.alias("query"), none.alias("matched_text")
+    )
 
 
 def _all(frames) -> DataFrame:
@@ -76,13 +92,7 @@ def _match_literals(
     kind = queries.schema["query_id"].dataType
     known = queries.collect()
     if not known:
-        none = F.lit(None).cast("string")
-        return df.where(F.lit(False)).select(
-            "*",
-            F.lit(None).cast(kind).alias("query_id"),
-            none.alias("query"),
-            none.alias("matched_text"),
-        )
+        return _no_match(df, kind)
     flags = "" if case_sensitive else "(?iu)"
     subject = F.col(text) if regex else F.col("_text")
 
@@ -96,9 +106,15 @@ def _match_literals(
     listed = F.array(
         *[F.struct(F.lit(r["query_id"]).cast(kind).alias("id"), F.lit(r["query"]).alias("q")) for r in known]
     )
-    hits = F.array_compact(F.array(*[F.when(t, F.lit(i + 1)) for i, t in enumerate(tests)]))
+    # one bit per query; a text without any hit (zero, so null below) unfolds to no row
+    mask = reduce(
+        Column.bitwiseOR,
+        [F.when(t, F.lit(1 << i)).otherwise(0).cast("long") for i, t in enumerate(tests)],
+    )
+    bits = [F.when(F.getbit(F.col("_mask"), F.lit(i)) == 1, i + 1) for i in range(len(tests))]
+    hits = F.when(F.col("_mask") != 0, F.array_compact(F.array(*bits)))
     pairs = (
-        scanned.where(reduce(Column.__or__, tests))
+        scanned.withColumn("_mask", mask)
         .select(*df.columns, F.explode(hits).alias("_i"))
         .withColumn("_q", F.element_at(listed, F.col("_i")))
         .select(*df.columns, F.col("_q.id").alias("query_id"), F.col("_q.q").alias("query"))
@@ -157,7 +173,7 @@ def _match_grams(
     known = filed.select("_size", F.xxhash64("_gram").alias("hash")).distinct().collect()
     sizes = sorted({r["_size"] for r in known})
     if not sizes:
-        return _match_literals(queries, df, text, case_sensitive, False)
+        return _no_match(df, queries.schema["query_id"].dataType)
     slots = 1 << min(max((8 * len(known)).bit_length(), MIN_BITS), MAX_BITS)
     words = np.zeros(slots // 64, dtype=np.uint64)
     for r in known:
@@ -172,10 +188,7 @@ def _match_grams(
     offered = F.concat(*[F.filter(_grams(F.col("_text"), s), is_filed) for s in sizes])
     offers = (
         df.withColumn("_text", _fold_case(F.col(text), case_sensitive))
-        .withColumn("_offered", offered)
-        .where(F.size("_offered") > 0)
-        .withColumn("_gram", F.explode("_offered"))
-        .drop("_offered")
+        .withColumn("_gram", F.explode(offered))
     )
     pairs = offers.join(F.broadcast(filed), "_gram").where(F.contains("_text", F.col("_key")))
     return pairs.select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.refs import column_letters
-from ..functions.values import value_kind, value_text
+from ..functions.values import finish_text, plain_text, value_kind
 from ..plans.numbering import number_rows
 
 CELLS = (
@@ -40,27 +40,40 @@ def table_to_cells(
         df = number_rows(df, "_row", [F.col(c) for c in key_cols])
         row = F.col("_row") + 1
     n = len(cols)
-    texts = df.select(
+    plain = df.select(
         row.cast("int").alias("_row"),
-        *[value_text(F.col(f"`{c}`"), kinds[c]).alias(f"_v{i}") for i, c in enumerate(cols)],
+        *[F.col(f"`{c}`").alias(f"_x{i}") for i, c in enumerate(cols)],
+        *[plain_text(F.col(f"`{c}`"), kinds[c]).alias(f"_p{i}") for i, c in enumerate(cols)],
+    )
+    texts = plain.select(
+        "_row",
+        *[
+            finish_text(F.col(f"_x{i}"), F.col(f"_p{i}"), kinds[c]).alias(f"_v{i}")
+            for i, c in enumerate(cols)
+        ],
     )
     if header:
-        names = df.sparkSession.createDataFrame(
-            [(1, *cols)], "_row int, " + ", ".join(f"_v{i} string" for i in range(n))
+        names = df.sparkSession.range(0, 1, 1, 1).select(
+            F.lit(1).alias("_row"), *[F.lit(c).alias(f"_v{i}") for i, c in enumerate(cols)]
         )
         texts = texts.unionByName(names)
 
+    def beside(i: int) -> Column:
+        if not 0 <= i < n:
+            return F.lit(None).cast("string")
+        return F.coalesce(F.col(f"_v{i}"), F.lit(""))
+
     def cell(i: int) -> Column:
-        kind = F.when(F.col(f"_v{i}").isNotNull(), F.when(F.col("_row") == 1, "text").otherwise(value_kind(kinds[cols[i]]))) if header else F.when(F.col(f"_v{i}").isNotNull(), value_kind(kinds[cols[i]]))
+        kind = F.lit(value_kind(kinds[cols[i]]))
+        if header:
+            kind = F.when(F.col("_row") == 1, "text").otherwise(kind)
         fields = [
             F.lit(i + 1).alias("col"),
             F.col(f"_v{i}").alias("value"),
-            kind.alias("value_type"),
+            F.when(F.col(f"_v{i}").isNotNull(), kind).alias("value_type"),
         ]
         if neighbours:
-            for name, j in (("left_value", i - 1), ("right_value", i + 1)):
-                text = F.coalesce(F.col(f"_v{j}"), F.lit("")) if 0 <= j < n else F.lit(None).cast("string")
-                fields.append(text.alias(name))
+            fields += [beside(i - 1).alias("left_value"), beside(i + 1).alias("right_value")]
         return F.struct(*fields)
 
     cells = texts.select("_row", F.explode(F.array(*[cell(i) for i in range(n)])).alias("c"))

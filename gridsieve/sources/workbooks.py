@@ -49,6 +49,11 @@ def read_workbooks(
     files = _files(spark, path)
     if only is not None:
         files = files.join(broadcast_if_small(only.select("path").distinct()), "path", "left_semi")
+    return open_workbooks(files)
+
+
+def open_workbooks(files: DataFrame) -> DataFrame:
+    """The same for a table with the ``path`` and ``content`` of workbooks."""
     return files.select("path", "content").mapInArrow(_open_all, RAW)
 
 
