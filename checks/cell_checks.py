@@ -154,7 +154,7 @@ def truncate_values(spark, d):
 
 
 @check(
-    f"SELECT sheet, row, col, value, 'anvil' AS matched_term FROM ({clean_cells_sql('part', 'customer')}) "
+    f"SELECT sheet, row, col, value, 'Anvil' AS matched_term FROM ({clean_cells_sql('part', 'customer')}) "
     "WHERE contains(lower(value), 'anvil')"
 )
 def scan_cells(spark, d):

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import io
+import sys
 import zipfile
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import gridsieve as g
@@ -18,6 +20,8 @@ from .profile_checks import edged_cells, profile_sql
 from .sheets import cells_sql, clean_sql, quote, sheet_cells, table
 from .token_checks import content_sql, header_sql, joined
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TITLED = f"SELECT *, header AS raw FROM ({profile_sql(1000)}) WHERE header IS NOT NULL"
 HEADER_POSTINGS = f"""WITH h AS ({TITLED}), t AS ({header_sql('SELECT DISTINCT raw FROM h')})
     SELECT unnest(t.tokens) AS token, source, sheet_name, column_index, column_letter, header, data_type FROM h JOIN t USING (raw)"""

@@ -54,7 +54,7 @@ def header_sql(rows: str) -> str:
     """A SELECT with ``raw`` becomes one with ``raw, folded, tokens``."""
     return f"""SELECT raw, folded, {tidy(f'''list_concat(
         {longer('[whole]')}, parts, {longer(f"string_split_regex(folded, '[{S}]+')")},
-        list_filter(words, lambda w: regexp_matches(w, '^[a-z]{{2,}}$')),
+        list_filter(list_transform(words, lambda w: replace(w, 'ß', 'ss')), lambda w: regexp_matches(w, '^[a-z]{{2,}}$')),
         {pairs_sql('parts')}, regexp_extract_all(folded, '\\p{{Nd}}+'), regexp_extract_all(folded, 'q[1-4]'))''')} AS tokens
     FROM (SELECT *, {longer(f"string_split_regex(folded, '[_{S}\\-./]+')")} AS parts,
         regexp_extract_all(folded, '[{W}]+') AS words,

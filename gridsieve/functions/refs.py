@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .lexicon import MAX_COLUMN
 
+R1C1 = r"R([0-9]+)C([0-9]+)"
+A1 = r"([A-Z]{1,3})([0-9]+)"
+
 
 def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b))
@@ -15,28 +18,19 @@ def column_letters(col: Column) -> Column:
     """``1`` -> ``A``, ``27`` -> ``AA``; null outside A..ZZZ."""
     tail = col - 1
     head = _div(tail, 26) - 1
-    last = F.char(65 + tail % 26)
-    middle = F.char(65 + head % 26)
-    first = F.char(64 + _div(head, 26))
-    return (
-        F.when((col >= 1) & (col <= 26), last)
-        .when((col > 26) & (col <= 702), F.concat(middle, last))
-        .when((col > 702) & (col <= MAX_COLUMN), F.concat(first, middle, last))
+    name = F.concat(
+        F.when(col > 702, F.char(64 + _div(head, 26))).otherwise(""),
+        F.when(col > 26, F.char(65 + head % 26)).otherwise(""),
+        F.char(65 + tail % 26),
     )
+    return F.when(col.between(1, MAX_COLUMN), name)
 
 
 def column_number(letters: Column) -> Column:
-    """``A`` -> ``1``, ``AA`` -> ``27``; null unless one to three letters A..Z."""
-    n = F.length(letters)
-
-    def digit(from_right: int) -> Column:
-        return F.when(
-            n >= from_right, F.ascii(F.substr(letters, n - (from_right - 1), F.lit(1))) - 64
-        ).otherwise(0)
-
-    return F.when(
-        F.rlike(letters, F.lit("^[A-Z]{1,3}$")), digit(3) * 676 + digit(2) * 26 + digit(1)
-    ).cast("int")
+    """``A`` -> ``1``, ``AA`` -> ``27`` for one to three letters."""
+    # the sign before A fills up to three places and counts nothing
+    places = [F.ascii(F.substring(F.lpad(letters, 3, "@"), i, 1)) - 64 for i in (1, 2, 3)]
+    return places[0] * 676 + places[1] * 26 + places[2]
 
 
 def letters_to_number(letters: str) -> int:
@@ -57,40 +51,38 @@ def r1c1(row: Column, col: Column) -> Column:
     return F.concat(F.lit("R"), row.cast("string"), F.lit("C"), col.cast("string"))
 
 
-A1_PATTERN = "^([A-Z]+)([0-9]+)$"
-R1C1_PATTERN = "^R([0-9]+)C([0-9]+)$"
-
-
-def _part(ref: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(ref, pattern, group), F.lit(""))
-
-
-def parse_a1(ref: Column) -> Column:
-    """Struct of row and column, both null where ``ref`` is not in A1 notation."""
-    ref = F.upper(ref)
-    col = column_number(_part(ref, A1_PATTERN, 1))
-    row = _part(ref, A1_PATTERN, 2).try_cast("int")
-    return _pair(row, col)
-
-
-def parse_r1c1(ref: Column) -> Column:
-    ref = F.upper(ref)
-    return _pair(
-        _part(ref, R1C1_PATTERN, 1).try_cast("int"), _part(ref, R1C1_PATTERN, 2).try_cast("int")
+def read_refs(df: DataFrame, ref: Column, row: str, col: str, notation: str | None = None) -> DataFrame:
+    """Add the row and column of a reference, both null where it is in neither notation or
+    not in the one that is asked for.
+
+    The pieces are columns of their own, so that each pattern runs once per reference.
+    """
+    if notation is None:
+        pattern, parts = f"^(?:{R1C1}|{A1})$", {"r": 1, "c": 2, "l": 3, "d": 4}
+    elif notation == "R1C1":
+        pattern, parts = f"^{R1C1}$", {"r": 1, "c": 2}
+    else:
+        pattern, parts = f"^{A1}$", {"l": 1, "d": 2}
+    text = df.withColumn("_ref", F.upper(ref))
+    pieces = text.select(
+        *df.columns,
+        *[F.regexp_extract("_ref", pattern, i).alias(f"_{p}") for p, i in parts.items()],
     )
-
-
-def parse_either(ref: Column) -> Column:
-    """R1C1 where the whole reference has that form, else A1."""
-    return F.when(F.rlike(F.upper(ref), F.lit(R1C1_PATTERN)), parse_r1c1(ref)).otherwise(
-        parse_a1(ref)
+    numbers = [F.col(f"_{p}").try_cast("int") for p in ("r", "d") if p in parts]
+    row_no = F.coalesce(*numbers)
+    col_no = F.lit(None).cast("int")
+    if "l" in parts:
+        col_no = F.when(F.col("_l") != "", column_number(F.col("_l")))
+    if "c" in parts:
+        col_no = F.coalesce(F.col("_c").try_cast("int"), col_no)
+    read = pieces.select(*df.columns, row_no.alias("_row_no"), col_no.alias("_col_no"))
+    both = F.col("_row_no").isNotNull() & F.col("_col_no").isNotNull()
+    return read.select(
+        *[c for c in df.columns if c not in (row, col)],
+        F.when(both, F.col("_row_no")).alias(row),
+        F.when(both, F.col("_col_no")).alias(col),
     )
 
 
-def _pair(row: Column, col: Column) -> Column:
-    both = row.isNotNull() & col.isNotNull()
-    return F.struct(F.when(both, row).alias("row"), F.when(both, col).alias("col"))
-
-
 def is_reference(ref: Column) -> Column:
     return F.rlike(F.upper(ref), F.lit("^([A-Z]+[0-9]+|R[0-9]+C[0-9]+)$"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import refs
@@ -44,13 +46,16 @@ def in_column(cells: DataFrame, column: str | int) -> DataFrame:
 
 def in_range(cells: DataFrame, sheet: str, area: str, source: str | None = None) -> DataFrame:
     """Cells inside a range such as ``A1:C10`` or ``R1C1:R10C3``, edges included."""
-    halves = area.split(":")
-    if len(halves) != 2:
+    corner = re.compile(f"(?:{refs.R1C1}|{refs.A1})")
+    found = [corner.fullmatch(half) for half in area.upper().split(":")]
+    if len(found) != 2 or None in found:
         raise ValueError(f"not a range: {area!r}")
-    first, last = (refs.parse_either(F.lit(h)) for h in halves)
+    (top, left), (bottom, right) = (
+        (int(r or d), int(c) if c else refs.letters_to_number(letters))
+        for r, c, letters, d in (m.groups() for m in found)
+    )
     return in_sheet(cells, sheet, source).where(
-        F.col("row").between(first["row"], last["row"])
-        & F.col("col").between(first["col"], last["col"])
+        F.col("row").between(top, bottom) & F.col("col").between(left, right)
     )
 
 

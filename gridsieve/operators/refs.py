@@ -29,11 +29,9 @@ def with_cell_refs(
 def parse_refs(df: DataFrame, ref: str = "ref", zero_based: bool = True) -> DataFrame:
     """Add ``row``, ``col`` and ``valid`` for a reference in A1 or R1C1 notation."""
     down = 1 - _base(zero_based)
-    cell = refs.parse_either(F.col(ref))
-    return (
-        df.withColumn("row", cell["row"] - down)
-        .withColumn("col", cell["col"] - down)
-        .withColumn("valid", F.col("row").isNotNull())
+    read = refs.read_refs(df, F.col(ref), "row", "col")
+    return read.withColumns(
+        {"row": F.col("row") - down, "col": F.col("col") - down, "valid": F.col("row").isNotNull()}
     )
 
 
@@ -44,46 +42,42 @@ def valid_refs(df: DataFrame, ref: str = "ref") -> DataFrame:
 
 def convert_refs(df: DataFrame, ref: str = "ref", to: str = "A1") -> DataFrame:
     """Add ``converted``: an R1C1 reference as A1, or the other way round."""
-    if to.upper() == "A1":
-        cell = refs.parse_r1c1(F.col(ref))
-        converted = refs.a1(cell["row"], cell["col"])
-    elif to.upper() == "R1C1":
-        cell = refs.parse_a1(F.col(ref))
-        converted = refs.r1c1(cell["row"], cell["col"])
-    else:
+    if to.upper() not in ("A1", "R1C1"):
         raise ValueError(f"unknown notation: {to!r}")
-    return df.withColumn("converted", converted).withColumn(
-        "valid", F.col("converted").isNotNull()
-    )
+    write, other = (refs.a1, "R1C1") if to.upper() == "A1" else (refs.r1c1, "A1")
+    read = refs.read_refs(df, F.col(ref), "_r", "_c", other)
+    converted = read.withColumn("converted", write(F.col("_r"), F.col("_c"))).drop("_r", "_c")
+    return converted.withColumn("valid", F.col("converted").isNotNull())
 
 
 def shift_refs(df: DataFrame, rows: int | Column, cols: int | Column, ref: str = "ref") -> DataFrame:
     """Add ``shifted``: the A1 reference moved; null and not valid when it leaves the sheet."""
-    cell = refs.parse_a1(F.col(ref))
-    row, col = cell["row"] + rows, cell["col"] + cols
-    return df.withColumn("shifted", F.when((row >= 1) & (col >= 1), refs.a1(row, col))).withColumn(
-        "valid", F.col("shifted").isNotNull()
-    )
+    read = refs.read_refs(df, F.col(ref), "_r", "_c", "A1")
+    moved = read.withColumns({"_r": F.col("_r") + rows, "_c": F.col("_c") + cols})
+    inside = (F.col("_r") >= 1) & (F.col("_c") >= 1)
+    shifted = moved.withColumn("shifted", F.when(inside, refs.a1(F.col("_r"), F.col("_c"))))
+    return shifted.drop("_r", "_c").withColumn("valid", F.col("shifted").isNotNull())
 
 
 def parse_ranges(df: DataFrame, area: str = "range") -> DataFrame:
     """Add zero-based corners ``r0, c0, r1, c1`` and ``valid``.
 
-    A range whose end lies before its start is not valid.
+    Both corners must be in the same notation.  A range whose end lies before its start is not
+    valid.
     """
-    halves = F.split(F.col(area), ":")
+    halves = F.split(F.upper(area), ":")
     two = F.size(halves) == 2
-    first, last = (refs.parse_either(F.when(two, F.get(halves, F.lit(i)))) for i in (0, 1))
-    same = refs.is_reference(F.col(area)).isNotNull()
-    r1c1 = [F.rlike(F.upper(F.get(halves, F.lit(i))), F.lit(refs.R1C1_PATTERN)) for i in (0, 1)]
-    ordered = (first["row"] <= last["row"]) & (first["col"] <= last["col"])
-    valid = F.coalesce(same & two & (r1c1[0] == r1c1[1]) & ordered, F.lit(False))
-    df = df.withColumn("valid", valid)
-    for name, corner in (
-        ("r0", first["row"]), ("c0", first["col"]), ("r1", last["row"]), ("c1", last["col"])
-    ):
-        df = df.withColumn(name, F.when(F.col("valid"), corner - 1))
-    return df.select(*[c for c in df.columns if c != "valid"], "valid")
+    cut = df.withColumns({f"_h{i}": F.when(two, F.get(halves, F.lit(i))) for i in (0, 1)})
+    for i in (0, 1):
+        cut = refs.read_refs(cut, F.col(f"_h{i}"), f"_r{i}", f"_c{i}")
+    same = F.rlike("_h0", F.lit(f"^{refs.R1C1}$")) == F.rlike("_h1", F.lit(f"^{refs.R1C1}$"))
+    ordered = (F.col("_r0") <= F.col("_r1")) & (F.col("_c0") <= F.col("_c1"))
+    checked = cut.withColumn("valid", F.coalesce(same & ordered, F.lit(False)))
+    return checked.select(
+        *df.columns,
+        *[F.when(F.col("valid"), F.col(f"_{n}") - 1).alias(n) for n in ("r0", "c0", "r1", "c1")],
+        "valid",
+    )
 
 
 def format_ranges(df: DataFrame, notation: str = "A1", zero_based: bool = True) -> DataFrame:

@@ -10,16 +10,21 @@ import datetime as dt
 import io
 import posixpath
 import re
+import sys
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.sizing import broadcast_if_small
 from .tables import CELLS
 
+# the reader travels with its job: executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RAW = CELLS + ", left_value string, right_value string, error string"
 _BATCH = 8192
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
