@@ -11,7 +11,7 @@ from .ref_checks import letters_sql
 from .sheets import cells_sql, sheet_cells, table
 from .token_checks import PIVOTS, words_sql
 
-NAMES = ["part", "supplier", "customer", "orders", "nation", "region"]
+NAMES = ["part", "customer", "orders", "nation", "region"]
 
 
 def edged_cells(spark, d):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 import gridsieve as g
 from gridsieve.functions import lexicon
+from gridsieve.plans.sizing import settled
 
 from . import check
 from .cell_checks import TEXT_CELLS_SQL, text_cells
@@ -300,8 +301,9 @@ def columns_sql(asked_rows: str, postings: str) -> str:
 
 @check(columns_sql(header_words_sql(), HEADER_POSTINGS))
 def search_columns(spark, d):
-    profile = g.profile_columns(edged_cells(spark, d))
-    found = g.search_columns(header_questions(profile), g.build_header_postings(profile))
+    profile = settled(g.profile_columns(edged_cells(spark, d)))
+    postings = settled(g.build_header_postings(profile))
+    found = g.search_columns(header_questions(profile), postings)
     return rounded(found)
 
 
@@ -321,7 +323,7 @@ def search_sheets(spark, d):
     regions = table(spark, d, "region").select(F.lower("r_name").alias("l"), F.lit(1).alias("n"))
     begun = nations.unionByName(regions).select(F.substr("l", F.lit(1), F.col("n")).alias("query")).distinct()
     asked = begun.select(F.col("query").alias("query_id"), "query")
-    _, sheets, _ = g.profile(edged_cells(spark, d))
+    sheets = settled(g.profile(edged_cells(spark, d))[1])
     return rounded(g.search_sheets(asked, sheets))
 
 
@@ -343,10 +345,10 @@ ROUTED_SHEETS = ["part", "supplier", "customer", "nation", "region", "orders"]
 
 def routed(spark, d, force=None):
     cells = edged_cells(spark, d)
-    columns, sheets, books = g.profile(cells)
+    columns, sheets, books = map(settled, g.profile(cells))
     searched = clean_cells(spark, d, *ROUTED_SHEETS)
     return g.route_queries(
-        asked(spark, d), searched, g.build_header_postings(columns), sheets, books, force=force, k=10
+        asked(spark, d), searched, settled(g.build_header_postings(columns)), sheets, books, force=force, k=10
     )
 
 

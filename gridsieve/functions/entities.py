@@ -1,12 +1,10 @@
-"""Entities in text and parts of formulas, as structs of string arrays."""
+"""Entities in text and parts of formulas: SQL text for structs of string arrays."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
 from . import lexicon
-from .patterns import AFTER_WORD, AT_EDGE, BEFORE_WORD, DIGIT, SPACE, WORD, find_all
-from .tokens import CURRENCY, DATE
+from .patterns import AFTER_WORD, AT_EDGE, BEFORE_WORD, DIGIT, SPACE, WORD, find_all, replace_all, text
+from .tokens import CURRENCY, DATE, lowered
 
 _MONTHS = "|".join(lexicon.MONTHS)
 
@@ -29,29 +27,29 @@ ENTITY_PATTERNS = {
 }
 
 
-def entities(text: Column) -> Column:
-    return F.struct(
-        *[
-            F.concat(*[find_all(text, p) for p in patterns]).alias(kind)
-            for kind, patterns in ENTITY_PATTERNS.items()
-        ]
-    )
+def _struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {sql}" for name, sql in fields.items()) + ")"
 
 
-def formula_parts(formula: Column) -> Column:
-    body = F.regexp_replace(formula, "^=+", "")
+def entities(subject: str) -> str:
+    return _struct(
+        {
+            kind: "concat(" + ", ".join(find_all(subject, p) for p in patterns) + ")"
+            for kind, patterns in ENTITY_PATTERNS.items()
+        }
+    )
 
-    def lowered(pattern: str) -> Column:
-        return F.transform(find_all(body, pattern), F.lower)
 
-    sheets = F.transform(
-        find_all(body, rf"(['\"]?[{WORD}{SPACE}]+['\"]?)!", 1), lambda s: F.btrim(s, F.lit("'\""))
-    )
+def formula_parts(formula: str) -> str:
+    body = replace_all(formula, "^=+", "")
+    sheets = find_all(body, rf"(['\"]?[{WORD}{SPACE}]+['\"]?)!", 1)
     operators = "[" + "".join(f"\\{c}" for c in lexicon.FORMULA_OPERATORS) + "]"
-    return F.struct(
-        lowered(rf"{BEFORE_WORD}[A-Z]+(?=\()").alias("functions"),
-        sheets.alias("sheets"),
-        lowered(rf"{BEFORE_WORD}[A-Z]+{DIGIT}+{AFTER_WORD}").alias("cell_refs"),
-        lowered(rf"[A-Z]+{DIGIT}+:[A-Z]+{DIGIT}+").alias("ranges"),
-        find_all(body, operators).alias("operators"),
+    return _struct(
+        {
+            "functions": lowered(find_all(body, rf"{BEFORE_WORD}[A-Z]+(?=\()")),
+            "sheets": f"transform({sheets}, s -> trim(BOTH {text(chr(39) + chr(34))} FROM s))",
+            "cell_refs": lowered(find_all(body, rf"{BEFORE_WORD}[A-Z]+{DIGIT}+{AFTER_WORD}")),
+            "ranges": lowered(find_all(body, rf"[A-Z]+{DIGIT}+:[A-Z]+{DIGIT}+")),
+            "operators": find_all(body, operators),
+        }
     )

@@ -1,4 +1,4 @@
-"""Text folding: lower case, no accents, single blanks."""
+"""Text folding as SQL text: lower case, no accents, single blanks."""
 
 from __future__ import annotations
 
@@ -6,9 +6,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column, functions as F
-
-from .patterns import SPACE
+from .patterns import SPACE, lookup, replace_all, text
 
 _HANGUL = range(0xAC00, 0xD7A4)
 _LEADS = "".join(map(chr, range(0x1100, 0x1113)))
@@ -39,43 +37,35 @@ def _tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source + gone), "".join(target), longer
 
 
-def _hangul(c: Column) -> Column:
-    place = F.ascii(c) - _HANGUL.start
+def _hangul(c: str) -> str:
+    place = f"(ascii({c}) - {_HANGUL.start})"
 
-    def pick(letters: str, index: Column) -> Column:
-        return F.substr(F.lit(letters), index + 1, F.lit(1))
+    def pick(letters: str, index: str) -> str:
+        return f"substr({text(letters)}, cast({index} AS int) + 1, 1)"
 
-    lead = F.call_function("div", place, F.lit(588))
-    vowel = F.call_function("div", place % 588, F.lit(28))
-    tail = place % 28
-    return F.concat(
-        pick(_LEADS, lead.cast("int")),
-        pick(_VOWELS, vowel.cast("int")),
-        F.when(tail == 0, "").otherwise(pick(_TAILS, tail - 1)),
-    )
+    tail = f"CASE WHEN {place} % 28 = 0 THEN '' ELSE {pick(_TAILS, f'({place} % 28 - 1)')} END"
+    lead, vowel = pick(_LEADS, f"({place} div 588)"), pick(_VOWELS, f"({place} % 588 div 28)")
+    return f"concat({lead}, {vowel}, {tail})"
 
 
-def strip_marks(text: Column) -> Column:
+@lru_cache(maxsize=None)
+def strip_marks(subject: str) -> str:
     """Compatibility decomposition without combining marks.
 
     Nearly all characters go through one ``translate``.  Only a text that really holds a
     ligature, fraction or Hangul syllable is taken apart letter by letter.
     """
     source, target, longer = _tables()
-    simple = F.translate(text, source, target)
-    rare = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in longer) + "\\x{AC00}-\\x{D7A3}]"
-    growing = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
-    by_letter = F.array_join(
-        F.transform(
-            F.split(simple, ""),
-            lambda c: F.when(F.ascii(c) < 0x80, c)
-            .when(F.ascii(c).between(_HANGUL.start, _HANGUL.stop - 1), _hangul(c))
-            .otherwise(F.coalesce(F.try_element_at(growing, c), c)),
-        ),
-        "",
-    )
-    return F.when(F.rlike(simple, F.lit(rare)), by_letter).otherwise(simple)
-
-
-def fold(text: Column) -> Column:
-    return F.trim(F.regexp_replace(strip_marks(F.lower(text)), f"[{SPACE}]+", " "))
+    simple = f"translate({subject}, {text(source)}, {text(target)})"
+    rare = "[" + "".join(longer) + "\\x{AC00}-\\x{D7A3}]"
+    by_letter = f"""array_join(transform(split({simple}, ''), c -> CASE
+        WHEN ascii(c) < 128 THEN c
+        WHEN ascii(c) BETWEEN {_HANGUL.start} AND {_HANGUL.stop - 1} THEN {_hangul('c')}
+        ELSE coalesce(try_element_at({lookup(longer)}, c), c) END), '')"""
+    return f"""CASE WHEN NOT rlike({subject}, '[^\\\\x00-\\\\x7F]') THEN {subject}
+        WHEN rlike({subject}, {text(rare)}) THEN {by_letter} ELSE {simple} END"""
+
+
+def fold(subject: str) -> str:
+    """``subject`` is used several times: best a column, already in lower case."""
+    return f"trim({replace_all(strip_marks(subject), f'[{SPACE}]+', ' ')})"

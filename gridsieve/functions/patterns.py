@@ -1,4 +1,7 @@
-"""Character classes shared by every regular expression of the library.
+"""Character classes and small pieces of SQL shared by the expressions of the library.
+
+Longer expressions are written as SQL text: they read better than nested calls, and a plan
+with hundreds of calls takes seconds to build from Python.
 
 The classes are spelled out rather than written ``\\w``, ``\\s`` or ``\\d``: those are
 ASCII-only in Java, and text in cells is not.
@@ -19,26 +22,40 @@ AFTER_WORD = f"(?![{WORD}])"
 AT_EDGE = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 
 # The characters of SPACE one by one, for trimming.
-SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 " + "".join(
     chr(c) for c in [*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
 
+NO_STRINGS = "cast(array() AS array<string>)"
 
-def find_all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
+def text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def split_on(text: Column, pattern: str) -> Column:
-    return F.split(text, pattern)
 
+def words(values) -> str:
+    """The inside of a SQL list of strings."""
+    return ", ".join(text(v) for v in values)
+
+
+def find_all(subject: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({subject}, {text(pattern)}, {group})"
 
-def quoted(text: Column) -> Column:
-    """Turn a string into a regular expression that matches just that string."""
-    return F.concat(
-        F.lit("\\Q"), F.replace(text, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")
-    )
 
+def replace_all(subject: str, pattern: str, by: str) -> str:
+    return f"regexp_replace({subject}, {text(pattern)}, {text(by)})"
 
-def has_whole_word(text: Column, word: Column) -> Column:
-    """Whether ``word`` occurs in ``text`` with a word edge on both of its sides."""
-    return F.rlike(text, F.concat(F.lit(AT_EDGE), quoted(word), F.lit(AT_EDGE)))
+
+def lookup(entries: dict[str, str]) -> str:
+    """A constant map from string to string."""
+    listed = "\x02".join(f"{k}\x01{v}" for k, v in entries.items())
+    return f"str_to_map({text(listed)}, {text(chr(2))}, {text(chr(1))})"
+
+
+def has_whole_word(subject: Column, word: Column) -> Column:
+    """Whether ``word`` occurs with a word edge on both of its sides."""
+    quoted = F.concat(
+        F.lit("\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")
+    )
+    return F.rlike(subject, F.concat(F.lit(AT_EDGE), quoted, F.lit(AT_EDGE)))

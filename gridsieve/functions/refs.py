@@ -33,6 +33,17 @@ def column_number(letters: Column) -> Column:
     return places[0] * 676 + places[1] * 26 + places[2]
 
 
+def letters(number: int) -> str:
+    """The name of a column whose number is known in code."""
+    if not 1 <= number <= MAX_COLUMN:
+        raise ValueError(f"no column {number}")
+    name = ""
+    while number:
+        number, rest = divmod(number - 1, 26)
+        name = chr(ord("A") + rest) + name
+    return name
+
+
 def letters_to_number(letters: str) -> int:
     """The same for a name given in code; an unknown name is an error."""
     if not (1 <= len(letters) <= 3 and letters.isascii() and letters.isalpha()):

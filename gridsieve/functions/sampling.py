@@ -7,21 +7,21 @@ from pyspark.sql import Column, functions as F
 _WIDTH = 1 << 31
 
 
-def _mix(x: Column) -> Column:
-    return (x * 1103515245 + 12345) % _WIDTH
+def _noise(i: str, seed: int) -> str:
+    """An even number in 0..2^31-1 that looks random but depends on ``i`` and ``seed`` only."""
 
+    def mix(x: str) -> str:
+        return f"(({x} * 1103515245 + 12345) % {_WIDTH})"
 
-def _noise(i: Column, seed: int) -> Column:
-    """An even number in 0..2^31-1 that looks random but depends on ``i`` and ``seed`` only."""
-    once = _mix(i + seed * 69069)
-    return _mix(once.bitwiseXOR(F.shiftright(once, 16)))
+    once = mix(f"({i} + {seed * 69069}L)")
+    return mix(f"({once} ^ shiftright({once}, 16))")
 
 
 def sample_count(last_row: Column, n: int) -> Column:
     return F.least(last_row - 1, F.lit(n))
 
 
-def in_sample(row: Column, last_row: Column, n: int, seed: int = 0) -> Column:
+def in_sample(n: int, seed: int = 0) -> Column:
     """Data rows (2 to ``last_row``) if there are at most ``n``; else the first 40 %, the last
     40 % and, for the rest, one random row from each equal slice of the middle.
 
@@ -29,19 +29,13 @@ def in_sample(row: Column, last_row: Column, n: int, seed: int = 0) -> Column:
     """
     edge = int(n * 0.4)
     picks = n - 2 * edge
-    row, last_row = row.cast("long"), last_row.cast("long")
-    place = row - (2 + edge)
-    size = last_row - 1 - 2 * edge
-
-    def div(a: Column, b) -> Column:
-        return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
-
-    # where the middle is empty, size may be 0 or less: those rows never get this far
-    slice_no = div((place + 1) * picks - 1, F.greatest(size, F.lit(1)))
-    low = div(slice_no * size, picks)
-    high = div((slice_no + 1) * size, picks)
-    pick = low + div(_noise(slice_no, seed) * (high - low), _WIDTH)
-    middle = (place >= 0) & (place < size) & (place == pick)
-    return (row >= 2) & (
-        (last_row - 1 <= n) | (row < 2 + edge) | (row > last_row - edge) | middle
+    place = f"(cast(row AS bigint) - {2 + edge})"
+    size = f"(cast(last_row AS bigint) - {1 + 2 * edge})"
+    slice_no = f"((({place} + 1) * {picks} - 1) div greatest({size}, 1L))"
+    low, high = f"({slice_no} * {size} div {picks})", f"(({slice_no} + 1) * {size} div {picks})"
+    pick = f"({low} + {_noise(slice_no, seed)} * ({high} - {low}) div {_WIDTH})"
+    middle = f"({place} >= 0 AND {place} < {size} AND {place} = {pick})"
+    few = f"last_row - 1 <= {n}" if picks else "false"
+    return F.expr(
+        f"row >= 2 AND ({few} OR row < {2 + edge} OR row > last_row - {edge} OR {middle})"
     )

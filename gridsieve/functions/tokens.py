@@ -1,4 +1,4 @@
-"""Token lists as column expressions.  Each list is sorted and free of repeats.
+"""Token lists as SQL text.  Each list is sorted and free of repeats.
 
 ``short`` is the minimum token length: words must be longer than it.
 """
@@ -7,165 +7,148 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, functions as F
-
 from . import lexicon
-from .patterns import AFTER_WORD, BEFORE_WORD, DIGIT, SPACE, WORD, find_all, split_on
+from .patterns import (
+    AFTER_WORD,
+    BEFORE_WORD,
+    DIGIT,
+    NO_STRINGS,
+    SPACE,
+    WORD,
+    find_all,
+    lookup,
+    replace_all,
+    text,
+    words,
+)
 
 SHORT = 2
 DATE = rf"{BEFORE_WORD}{DIGIT}{{1,2}}[/-]{DIGIT}{{1,2}}[/-]{DIGIT}{{2,4}}{AFTER_WORD}"
 CURRENCY = rf"[{lexicon.CURRENCY_SIGNS}][{SPACE}]*[{DIGIT},]+(?:\.{DIGIT}{{2}})?"
+CAMEL = ("([a-z])([A-Z])", "$1 $2")
 
 
-def strings(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
+def tidy(tokens: str) -> str:
+    return f"array_sort(array_distinct({tokens}))"
 
-def tidy(tokens: Column) -> Column:
-    return F.array_sort(F.array_distinct(tokens))
 
+def lowered(tokens: str) -> str:
+    return f"transform({tokens}, t -> lower(t))"
 
-def _lower(tokens: Column) -> Column:
-    return F.transform(tokens, F.lower)
 
+def _longer(tokens: str, short: int) -> str:
+    return f"filter({tokens}, t -> length(t) > {short})"
 
-def _longer(tokens: Column, short: int) -> Column:
-    return F.filter(tokens, lambda t: F.length(t) > short)
 
-
-def _usable(tokens: Column, short: int) -> Column:
+def _usable(tokens: str, short: int) -> str:
     """Drop short tokens, tokens that begin with a mark or underscore, and single digits."""
+    keep, start = words(lexicon.KEEP_WORDS), text(f"^(?!_|{DIGIT}$)[{WORD}]")
+    return f"filter({tokens}, t -> (length(t) >= {short} OR t IN ({keep})) AND rlike(t, {start}))"
 
-    def keep(t: Column) -> Column:
-        long_enough = (F.length(t) >= short) | t.isin(lexicon.KEEP_WORDS)
-        return long_enough & F.rlike(t, F.lit(f"^[{WORD}]")) & ~F.rlike(
-            t, F.lit(f"^(_|{DIGIT}$)")
-        )
-
-    return F.filter(tokens, keep)
-
-
-def pairs(tokens: Column, keep=None) -> Column:
-    """Neighbours joined with ``_``; ``keep(left, right)`` may refuse a pair."""
-    both = F.zip_with(
-        F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))),
-        F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))),
-        lambda a, b: F.struct(a.alias("a"), b.alias("b")),
-    )
-    if keep is not None:
-        both = F.filter(both, lambda p: keep(p["a"], p["b"]))
-    return F.transform(both, lambda p: F.concat(p["a"], F.lit("_"), p["b"]))
-
-
-def ngrams(tokens: Column, n: int = 2) -> Column:
-    count = F.size(tokens) - (n - 1)
-    return F.when(
-        count >= 1,
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(count, F.lit(1))),
-            lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), "_"),
-        ),
-    ).otherwise(F.when(tokens.isNotNull(), F.array().cast("array<string>")))
 
-
-def camel_parts(raw: Column, short: int = SHORT) -> Column:
-    """Words of a text in its own case, also cut where a capital follows a small letter."""
-    spaced = F.regexp_replace(raw, "([a-z])([A-Z])", "$1 $2")
-    return _longer(_lower(find_all(spaced, f"[{WORD}]+")), short)
+def _wanted(word: str) -> str:
+    """Not a stop word, or one that is kept nevertheless."""
+    return f"{word} NOT IN ({words(w for w in lexicon.STOP_WORDS if w not in lexicon.KEEP_WORDS)})"
 
 
-def header_tokens(folded: Column, short: int = SHORT) -> Column:
-    joined = F.regexp_replace(
-        F.regexp_replace(folded, f"[^{WORD}{SPACE}]", "_"), f"[{SPACE}]+", "_"
+def pairs(tokens: str, keep: str = "true") -> str:
+    """Neighbours joined with ``_``; ``keep`` is a condition on ``p.a`` and ``p.b``."""
+    count = f"greatest(size({tokens}) - 1, 0)"
+    both = (
+        f"zip_with(slice({tokens}, 1, {count}), slice({tokens}, 2, {count}), "
+        "(a, b) -> named_struct('a', a, 'b', b))"
     )
-    parts = _longer(split_on(folded, rf"[_{SPACE}\-./]+"), short)
-    spaced = F.regexp_replace(folded, "([a-z])([A-Z])", "$1 $2")
-    pieces = _longer(_lower(split_on(spaced, f"[{SPACE}]+")), short)
-    acronyms = _lower(find_all(F.upper(folded), rf"{BEFORE_WORD}[A-Z]{{2,}}{AFTER_WORD}"))
-    found = F.concat(
-        _longer(F.array(joined), short),
-        parts,
-        pieces,
-        acronyms,
-        pairs(parts),
-        find_all(folded, f"{DIGIT}+"),
-        find_all(F.lower(folded), "q[1-4]"),
-    )
-    return tidy(_usable(found, short))
+    return f"transform(filter({both}, p -> {keep}), p -> concat(p.a, '_', p.b))"
 
 
-def query_tokens(folded: Column, short: int = SHORT, full_years: bool = False) -> Column:
-    phrases = find_all(folded, '"([^"]+)"', 1)
-    rest = F.aggregate(
-        phrases,
-        folded,
-        lambda text, p: F.replace(text, F.concat(F.lit('"'), p, F.lit('"')), F.lit("")),
+def ngrams(tokens: str, n: int = 2) -> str:
+    places = f"sequence(1, greatest(size({tokens}) - {n - 1}, 1))"
+    joined = f"transform({places}, i -> array_join(slice({tokens}, i, {n}), '_'))"
+    return (
+        f"CASE WHEN size({tokens}) >= {n} THEN {joined} WHEN {tokens} IS NOT NULL THEN {NO_STRINGS} END"
     )
-    words = _lower(find_all(rest, f"[{WORD}]+"))
-    skipped = [w for w in lexicon.STOP_WORDS if w not in lexicon.KEEP_WORDS]
 
-    def wanted(word: Column) -> Column:
-        return ~word.isin(skipped)
 
-    kept = F.filter(
-        words,
-        lambda w: wanted(w) & ((F.length(w) > short) | w.isin(lexicon.KEEP_WORDS)),
-    )
-    expanded = expand(_longer(kept, short), {k: [v] for k, v in lexicon.ABBREVIATIONS.items()})
-    century = 0 if full_years else 1
-    found = F.concat(
-        F.transform(phrases, lambda p: F.regexp_replace(F.lower(p), f"[{SPACE}]+", "_")),
-        kept,
-        expanded,
-        find_all(rest, rf"{BEFORE_WORD}(19|20){DIGIT}{{2}}{AFTER_WORD}", century),
-        find_all(F.lower(rest), f"{BEFORE_WORD}q[1-4]{AFTER_WORD}"),
-        find_all(rest, DATE),
-        pairs(_longer(words, short), lambda a, b: wanted(a) & wanted(b)),
-    )
-    return tidy(_usable(found, short))
-
-
-def content_tokens(folded: Column, short: int = SHORT) -> Column:
-    words = find_all(folded, f"[{WORD}]+")
-    cut = F.flatten(
-        F.transform(
-            F.filter(words, lambda w: F.rlike(w, F.lit(r"\p{Lu}"))),
-            lambda w: find_all(w, "[A-Z][a-z]+|[a-z]+"),
-        )
-    )
-    amounts = F.transform(
-        find_all(folded, CURRENCY), lambda c: F.regexp_replace(c, rf"[^{DIGIT}.]", "")
-    )
-    found = F.concat(
-        _longer(_lower(F.concat(words, cut)), short), find_all(folded, f"{DIGIT}+"), amounts
-    )
-    return tidy(_usable(found, short))
-
-
-def general_tokens(folded: Column, short: int = SHORT) -> Column:
-    parts = F.transform(
-        split_on(folded, f"[{SPACE},;:.!?]+"), lambda p: F.regexp_replace(p, f"[^{WORD}]", "")
-    )
-    return tidy(_usable(_lower(_longer(parts, short)), short))
-
-
-def expand(tokens: Column, table: Mapping[str, list[str]]) -> Column:
+def camel_parts(raw: str, short: int = SHORT) -> str:
+    """Words of a text in its own case, also cut where a capital follows a small letter."""
+    return _longer(lowered(find_all(replace_all(raw, *CAMEL), f"[{WORD}]+")), short)
+
+
+# Each maker lists its steps: columns that later steps and the last expression refer to.  All
+# start from the column ``_folded``.
+
+
+def header_steps(short: int = SHORT) -> tuple[dict[str, str], str]:
+    marks = replace_all("_folded", f"[^{WORD}{SPACE}]", "_")
+    steps = {
+        "_whole": replace_all(marks, f"[{SPACE}]+", "_"),
+        "_parts": _longer(f"split(_folded, {text(rf'[_{SPACE}\-./]+')})", short),
+        "_pieces": f"split({replace_all('_folded', *CAMEL)}, {text(f'[{SPACE}]+')})",
+    }
+    found = f"""concat(
+        {_longer('array(_whole)', short)},
+        _parts,
+        {_longer(lowered('_pieces'), short)},
+        {lowered(find_all('upper(_folded)', rf'{BEFORE_WORD}[A-Z]{{2,}}{AFTER_WORD}'))},
+        {pairs('_parts')},
+        {find_all('_folded', f'{DIGIT}+')},
+        {find_all('lower(_folded)', 'q[1-4]')})"""
+    return steps, tidy(_usable(found, short))
+
+
+def query_steps(short: int = SHORT, full_years: bool = False) -> tuple[dict[str, str], str]:
+    keep = words(lexicon.KEEP_WORDS)
+    kept = f"filter(_words, w -> {_wanted('w')} AND (length(w) > {short} OR w IN ({keep})))"
+    steps = {
+        "_phrases": find_all("_folded", '"([^"]+)"', 1),
+        "_rest": "aggregate(_phrases, _folded, (rest, p) -> replace(rest, concat('\"', p, '\"'), ''))",
+        "_words": lowered(find_all("_rest", f"[{WORD}]+")),
+        "_long": _longer("_words", short),
+        "_kept": kept,
+    }
+    joined = replace_all("lower(p)", f"[{SPACE}]+", "_")
+    year = rf"{BEFORE_WORD}(19|20){DIGIT}{{2}}{AFTER_WORD}"
+    found = f"""concat(
+        transform(_phrases, p -> {joined}),
+        _kept,
+        {expand(_longer('_kept', short), {k: [v] for k, v in lexicon.ABBREVIATIONS.items()})},
+        {find_all('_rest', year, 0 if full_years else 1)},
+        {find_all('lower(_rest)', f'{BEFORE_WORD}q[1-4]{AFTER_WORD}')},
+        {find_all('_rest', DATE)},
+        {pairs('_long', f"{_wanted('p.a')} AND {_wanted('p.b')}")})"""
+    return steps, tidy(_usable(found, short))
+
+
+def content_steps(short: int = SHORT) -> tuple[dict[str, str], str]:
+    steps = {"_words": find_all("_folded", f"[{WORD}]+")}
+    capital = text(r"\p{Lu}")
+    cut = f"flatten(transform(filter(_words, w -> rlike(w, {capital})), w -> {find_all('w', '[A-Z][a-z]+|[a-z]+')}))"
+    amount = replace_all("c", rf"[^{DIGIT}.]", "")
+    found = f"""concat(
+        {_longer(lowered(f'concat(_words, {cut})'), short)},
+        {find_all('_folded', f'{DIGIT}+')},
+        transform({find_all('_folded', CURRENCY)}, c -> {amount}))"""
+    return steps, tidy(_usable(found, short))
+
+
+def general_steps(short: int = SHORT) -> tuple[dict[str, str], str]:
+    plain = replace_all("p", f"[^{WORD}]", "")
+    parts = f"transform(split(_folded, {text(f'[{SPACE},;:.!?]+')}), p -> {plain})"
+    return {}, tidy(_usable(lowered(_longer(parts, short)), short))
+
+
+def expand(tokens: str, table: Mapping[str, list[str]]) -> str:
     """The tokens plus what the table lists for them (one step, not followed further)."""
-    entries = F.create_map(
-        *[x for word, others in table.items() for x in (F.lit(word), strings(others))]
-    )
-    none = F.array().cast("array<string>")
-    return F.concat(
-        tokens,
-        F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(entries, t), none))),
-    )
+    entries = lookup({k: "\x03".join(v) for k, v in table.items()})
+    found = f"split(try_element_at({entries}, t), {text(chr(3))})"
+    return f"concat({tokens}, flatten(transform({tokens}, t -> coalesce({found}, {NO_STRINGS}))))"
 
 
-def with_synonyms(tokens: Column, table: Mapping[str, list[str]] | None = None) -> Column:
+def with_synonyms(tokens: str, table: Mapping[str, list[str]] | None = None) -> str:
     return tidy(expand(tokens, lexicon.SYNONYMS if table is None else table))
 
 
-def pivot_field(raw: Column) -> Column:
+def pivot_field(raw: str) -> str:
     """A pivot field name without its ``Sum of`` or similar prefix."""
     prefixes = "|".join(lexicon.PIVOT_PREFIXES)
-    return F.regexp_replace(raw, f"(?i)^({prefixes})[{SPACE}]+of[{SPACE}]+", "")
+    return replace_all(raw, f"(?i)^({prefixes})[{SPACE}]+of[{SPACE}]+", "")

@@ -1,61 +1,53 @@
-"""Text forms of cell values."""
+"""Text forms of cell values, as SQL text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
-from .patterns import SPACES
+from .patterns import SPACES, replace_all, text
 
+_FLOATS = (T.DoubleType, T.FloatType)
 
-def number_text(x: Column, plain: Column) -> Column:
-    """A double as its shortest text: fixed notation from 1e-4 up to 1e16, else ``1e+16``.
 
-    ``plain`` is the same number cast to a string, best a column of its own: it is used often.
-    """
-    # Java 17 may print one or two digits too many: take fewer where they mean the same number
-    digits = F.when(F.length(plain) < 18, plain)
-    for places in (14, 15, 16):
-        shorter = F.format_string(f"%.{places}e", x)
-        digits = digits.when(shorter.try_cast("double") == x, shorter)
-    digits = digits.otherwise(plain)
-    size = F.abs(x)
-    # 22 decimal places hold 17 digits from 1e-4 on, 16 integer places hold all below 1e16
-    fixed = F.rtrim(digits.try_cast("decimal(38,22)").cast("string"), F.lit("0"))
-    fixed = F.when(F.endswith(fixed, F.lit(".")), F.concat(fixed, F.lit("0"))).otherwise(fixed)
-    mantissa = F.regexp_replace(F.regexp_extract(digits, "^([^eE]+)", 1), r"\.?0*$", "")
-    power = F.regexp_extract(digits, "[eE](.+)$", 1).try_cast("int")
-    places = F.abs(power).cast("string")
-    scientific = F.concat(
-        mantissa,
-        F.when(power < 0, "e-").otherwise("e+"),
-        F.lpad(places, F.greatest(F.lit(2), F.length(places)), F.lit("0")),
-    )
-    return (
-        F.when(F.isnan(x), "nan")
-        .when(x == float("inf"), "inf")
-        .when(x == float("-inf"), "-inf")
-        .when((size == 0) | ((size >= 1e-3) & (size < 1e7) & (F.length(plain) < 18)), plain)
-        .when((size >= 1e-4) & (size < 1e16), fixed)
-        .otherwise(scientific)
-    )
-
-
-def time_text(x: Column) -> Column:
-    """Seconds kept, fractions dropped."""
-    return F.substring_index(x.cast("string"), ".", 1)
-
-
-def plain_text(x: Column, kind: T.DataType) -> Column:
-    """First step to the text of a value; ``finish_text`` completes it."""
+def plain_text(name: str, kind: T.DataType) -> str:
+    """First step to the text of a column: all but numbers with a fraction are done."""
     if isinstance(kind, T.BooleanType):
-        return F.when(x, "TRUE").when(~x, "FALSE")
+        return f"CASE WHEN {name} THEN 'TRUE' WHEN NOT {name} THEN 'FALSE' END"
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return time_text(x)
+        return f"substring_index(cast({name} AS string), '.', 1)"  # fractions of seconds dropped
     if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(x)
+        return f"to_json({name})"
     if isinstance(kind, T.BinaryType):
-        return F.base64(x)
-    return x.cast("string")
+        return f"base64({name})"
+    return f"cast({name} AS string)"
+
+
+def shortest_digits(plain: str, kind: T.DataType) -> str:
+    """Second step: Java 17 may print one or two digits too many; take fewer where they mean
+    the same number."""
+    if not isinstance(kind, _FLOATS):
+        return plain
+    tries = [f"format_string('%.{places}e', cast({plain} AS double))" for places in (14, 15, 16)]
+    same = "".join(f" WHEN try_cast({t} AS double) = cast({plain} AS double) THEN {t}" for t in tries)
+    return f"CASE WHEN length({plain}) < 18 THEN {plain}{same} ELSE {plain} END"
+
+
+def value_text(digits: str, kind: T.DataType) -> str:
+    """Last step.  A double has its shortest text: fixed notation from 1e-4 up to 1e16, else
+    ``1e+16``."""
+    if not isinstance(kind, _FLOATS):
+        return digits
+    size = f"abs(cast({digits} AS double))"
+    # 22 decimal places hold 17 digits from 1e-4 on, 16 integer places hold all below 1e16
+    decimal = f"cast(try_cast({digits} AS decimal(38, 22)) AS string)"
+    fixed = replace_all(decimal, r"(\.[0-9]+?)0+$", "$1")
+    bare = replace_all(f"lower({digits})", r"\.?0+e", "e")
+    signed = replace_all(bare, "e([0-9])", "e+$1")
+    scientific = replace_all(signed, "(?<=e[+-])(?=[0-9]$)", "0")
+    return f"""CASE WHEN NOT rlike({digits}, '[a-zA-Z]') THEN {digits}
+        WHEN {digits} = 'NaN' THEN 'nan' WHEN {digits} = 'Infinity' THEN 'inf' WHEN {digits} = '-Infinity' THEN '-inf'
+        WHEN {size} >= 1e-4 AND {size} < 1e16 THEN {fixed}
+        ELSE {scientific} END"""
 
 
 def value_kind(kind: T.DataType) -> str:
@@ -69,20 +61,13 @@ def value_kind(kind: T.DataType) -> str:
     return "text"
 
 
-def finish_text(x: Column, plain: Column, kind: T.DataType) -> Column:
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        # a float is read as the double that its own text names
-        number = x if isinstance(kind, T.DoubleType) else plain.cast("double")
-        return number_text(number, plain)
-    return plain
-
-
-def clean_text(value: Column, kind: Column) -> Column:
+def clean_text(value: str, kind: str) -> Column:
     """Empty for null; text trimmed; tabs and line ends become blanks, ``|`` becomes ``¦``.
 
     Most text needs no more than a plain trim, and a number or date nothing at all.
     """
-    odd = "[|" + SPACES.replace(" ", "") + "]"
-    thorough = F.translate(F.btrim(value, F.lit(SPACES)), "|\t\n\r", "¦   ")
-    cleaned = F.when(F.rlike(value, F.lit(odd)), thorough).otherwise(F.trim(value))
-    return F.coalesce(F.when(kind == "text", cleaned).otherwise(value), F.lit(""))
+    odd = text("[|" + SPACES.replace(" ", "") + "]")
+    marks, by = text("|\t\n\r"), text("¦   ")
+    thorough = f"translate(trim(BOTH {text(SPACES)} FROM {value}), {marks}, {by})"
+    cleaned = f"CASE WHEN rlike({value}, {odd}) THEN {thorough} ELSE trim({value}) END"
+    return F.expr(f"coalesce(CASE WHEN {kind} = 'text' THEN {cleaned} ELSE {value} END, '')")

@@ -13,10 +13,10 @@ from ..plans.sizing import join_sheets, settled
 
 def clean_values(cells: DataFrame) -> DataFrame:
     """Values as they are searched: no nulls, no tabs or line ends, no ``|``."""
-    df = cells.withColumn("value", clean_text(F.col("value"), F.col("value_type")))
+    df = cells.withColumn("value", clean_text("value", "value_type"))
     for side in ("left_value", "right_value"):
         if side in df.columns:
-            text = clean_text(F.col(side), F.lit("text"))
+            text = clean_text(side, "'text'")
             df = df.withColumn(side, F.when(F.col(side).isNotNull(), text))
     return df
 

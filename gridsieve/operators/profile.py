@@ -18,7 +18,7 @@ COLUMN = ["source", "sheet", "col"]
 def sample_rows(cells: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
     """The cells of sampled data rows; the header row is not part of it."""
     extents = settled(sheet_extents(cells))
-    sampled = join_sheets(cells, extents).where(in_sample(F.col("row"), F.col("last_row"), n, seed))
+    sampled = join_sheets(cells, extents).where(in_sample(n, seed))
     return sampled.select(*cells.columns)
 
 
@@ -43,7 +43,7 @@ def profile_columns(
     rows = F.col("last_row") - 1
     if sample is not None:
         rows = sample_count(F.col("last_row"), sample)
-        chosen = (F.col("row") == 1) | in_sample(F.col("row"), F.col("last_row"), sample, seed)
+        chosen = (F.col("row") == 1) | in_sample(sample, seed)
         kept = settled(join_sheets(kept, extents).where(chosen).drop("last_row", "last_col"))
     data = F.col("row") > 1
     value = F.when(data, F.substring("value", 1, 200))

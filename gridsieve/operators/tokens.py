@@ -7,19 +7,21 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import entities as ent, folding, tokens as tok
+from ..functions.patterns import NO_STRINGS
 from ..plans.sizing import broadcast_if_small
 
 _MAKERS = {
-    "header": tok.header_tokens,
-    "query": tok.query_tokens,
-    "content": tok.content_tokens,
-    "general": tok.general_tokens,
+    "header": tok.header_steps,
+    "query": tok.query_steps,
+    "content": tok.content_steps,
+    "general": tok.general_steps,
 }
 
 
 def fold_text(df: DataFrame, text: str, out: str = "folded") -> DataFrame:
     """Lower case, no accents, single blanks."""
-    return df.withColumn(out, folding.fold(F.col(text)))
+    low = df.withColumn("_low", F.lower(text))
+    return low.withColumn(out, F.expr(folding.fold("_low"))).drop("_low")
 
 
 def tokenize(
@@ -38,24 +40,25 @@ def tokenize(
     not to.  ``split_camel`` also cuts ``TotalRevenue`` in two, ``full_years`` gives the years
     in a query rather than only their century.
     """
-    make = _MAKERS[context]
-    folded = df.withColumn("_folded", folding.fold(F.col(text)))
     options = {"full_years": full_years} if context == "query" else {}
-    found = make(F.col("_folded"), short, **options)
+    steps, found = _MAKERS[context](short, **options)
+    made = fold_text(df, text, "_folded")
+    # one column per step, so that each is worked out once and not wherever it is used
+    for name, sql in steps.items():
+        made = made.withColumn(name, F.expr(sql))
     if split_camel:
-        found = tok.tidy(F.concat(found, _folded_parts(F.col(text), short)))
-    none = F.array().cast("array<string>")
-    done = folded.withColumn(out, F.coalesce(found, none)).drop("_folded")
+        parts = tok.camel_parts(f"`{text}`", short)
+        bare = f"transform({parts}, t -> {folding.strip_marks('t')})"
+        found = tok.tidy(f"concat({found}, {bare})")
+    found = f"coalesce({found}, {NO_STRINGS})"
+    table = None if expand in (None, True, False) else expand
     if expand is None:
         expand = context == "query"
+    kept = [f"`{c}`" for c in df.columns if c != out]
+    done = made.selectExpr(*kept, f"{found} AS `{out}`")
     if expand is False:
         return done
-    table = None if expand is True else expand
-    return done.withColumn(out, tok.with_synonyms(F.col(out), table))
-
-
-def _folded_parts(raw, short):
-    return F.transform(tok.camel_parts(raw, short), folding.strip_marks)
+    return done.withColumn(out, F.expr(tok.with_synonyms(f"`{out}`", table)))
 
 
 def tokenize_headers(df: DataFrame, text: str, **options) -> DataFrame:
@@ -76,13 +79,14 @@ def tokenize_general(df: DataFrame, text: str, **options) -> DataFrame:
 
 def tokenize_pivot_fields(df: DataFrame, text: str, out: str = "tokens") -> DataFrame:
     """Header tokens of a pivot field, with and without its ``Sum of`` prefix."""
-    both = tokenize(df.withColumn("_field", tok.pivot_field(F.col(text))), "_field", "header", out="_a")
+    fields = df.withColumn("_field", F.expr(tok.pivot_field(f"`{text}`")))
+    both = tokenize(fields, "_field", "header", out="_a")
     both = tokenize(both, text, "header", out="_b")
     return both.withColumn(out, F.array_sort(F.array_union("_a", "_b"))).drop("_field", "_a", "_b")
 
 
 def ngrams(df: DataFrame, tokens: str = "tokens", n: int = 2, out: str = "ngrams") -> DataFrame:
-    return df.withColumn(out, tok.ngrams(F.col(tokens), n))
+    return df.withColumn(out, F.expr(tok.ngrams(f"`{tokens}`", n)))
 
 
 def expand_synonyms(
@@ -103,7 +107,7 @@ def expand_synonyms(
 
 def extract_entities(df: DataFrame, text: str, out: str = "entities") -> DataFrame:
     """Add a struct of the dates, numbers, currencies, codes, emails and urls in a text."""
-    return df.withColumn(out, ent.entities(F.col(text)))
+    return df.withColumn(out, F.expr(ent.entities(f"`{text}`")))
 
 
 def list_entities(df: DataFrame, text: str, key: str) -> DataFrame:
@@ -120,4 +124,4 @@ def list_entities(df: DataFrame, text: str, key: str) -> DataFrame:
 
 def tokenize_formulas(df: DataFrame, formula: str, out: str = "parts") -> DataFrame:
     """Add a struct of the functions, sheets, cell_refs, ranges and operators of a formula."""
-    return df.withColumn(out, ent.formula_parts(F.col(formula)))
+    return df.withColumn(out, F.expr(ent.formula_parts(f"`{formula}`")))

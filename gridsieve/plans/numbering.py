@@ -39,7 +39,9 @@ def number_rows(
         (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_start") + 1).alias("_shift"),
     )
     same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(groups)]
-    joined = laid.join(broadcast_if_small(offsets), same, "inner")
+    # without groups there is one row per partition, a bound by itself
+    offsets = broadcast_if_small(offsets) if within else F.broadcast(offsets)
+    joined = laid.join(offsets, same, "inner")
     return joined.withColumn(name, F.col("_place") + F.col("_shift")).drop(
         "_place", "_part", "_shift", *[f"_g{i}" for i in range(len(groups))]
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.refs import column_letters
-from ..functions.values import finish_text, plain_text, value_kind
+from ..functions.patterns import text
+from ..functions.refs import letters
+from ..functions.values import plain_text, shortest_digits, value_kind, value_text
 from ..plans.numbering import number_rows
 
 CELLS = (
@@ -40,51 +41,44 @@ def table_to_cells(
         df = number_rows(df, "_row", [F.col(c) for c in key_cols])
         row = F.col("_row") + 1
     n = len(cols)
-    plain = df.select(
+    steps = df.select(
         row.cast("int").alias("_row"),
-        *[F.col(f"`{c}`").alias(f"_x{i}") for i, c in enumerate(cols)],
-        *[plain_text(F.col(f"`{c}`"), kinds[c]).alias(f"_p{i}") for i, c in enumerate(cols)],
-    )
-    texts = plain.select(
-        "_row",
-        *[
-            finish_text(F.col(f"_x{i}"), F.col(f"_p{i}"), kinds[c]).alias(f"_v{i}")
-            for i, c in enumerate(cols)
-        ],
+        *[F.expr(f"{plain_text(f'`{c}`', kinds[c])} AS _v{i}") for i, c in enumerate(cols)],
     )
+    for step in (shortest_digits, value_text):
+        if any(isinstance(kinds[c], (T.DoubleType, T.FloatType)) for c in cols):
+            done = [f"{step(f'_v{i}', kinds[c])} AS _v{i}" for i, c in enumerate(cols)]
+            steps = steps.selectExpr("_row", *done)
     if header:
-        names = df.sparkSession.range(0, 1, 1, 1).select(
-            F.lit(1).alias("_row"), *[F.lit(c).alias(f"_v{i}") for i, c in enumerate(cols)]
-        )
-        texts = texts.unionByName(names)
+        names = [f"{text(c)} AS _v{i}" for i, c in enumerate(cols)]
+        steps = steps.union(df.sparkSession.range(0, 1, 1, 1).selectExpr("1 AS _row", *names))
 
-    def beside(i: int) -> Column:
-        if not 0 <= i < n:
-            return F.lit(None).cast("string")
-        return F.coalesce(F.col(f"_v{i}"), F.lit(""))
+    def beside(i: int) -> str:
+        return f"coalesce(_v{i}, '')" if 0 <= i < n else "cast(NULL AS string)"
 
-    def cell(i: int) -> Column:
-        kind = F.lit(value_kind(kinds[cols[i]]))
+    def cell(i: int) -> str:
+        kind = text(value_kind(kinds[cols[i]]))
         if header:
-            kind = F.when(F.col("_row") == 1, "text").otherwise(kind)
-        fields = [
-            F.lit(i + 1).alias("col"),
-            F.col(f"_v{i}").alias("value"),
-            F.when(F.col(f"_v{i}").isNotNull(), kind).alias("value_type"),
-        ]
+            kind = f"CASE WHEN _row = 1 THEN 'text' ELSE {kind} END"
+        fields = {
+            "col": str(i + 1),
+            "letters": text(letters(i + 1)),
+            "value": f"_v{i}",
+            "value_type": f"CASE WHEN _v{i} IS NOT NULL THEN {kind} END",
+        }
         if neighbours:
-            fields += [beside(i - 1).alias("left_value"), beside(i + 1).alias("right_value")]
-        return F.struct(*fields)
+            fields |= {"left_value": beside(i - 1), "right_value": beside(i + 1)}
+        return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
-    cells = texts.select("_row", F.explode(F.array(*[cell(i) for i in range(n)])).alias("c"))
-    return cells.select(
-        F.lit(source).alias("source"),
-        F.lit(sheet).alias("sheet"),
-        F.col("_row").alias("row"),
-        F.col("c.col").alias("col"),
-        F.concat(column_letters(F.col("c.col")), F.col("_row").cast("string")).alias("cell_ref"),
-        F.col("c.value").alias("value"),
-        F.col("c.value_type").alias("value_type"),
-        F.lit(None).cast("string").alias("formula"),
-        *([F.col("c.left_value"), F.col("c.right_value")] if neighbours else []),
+    cells = steps.selectExpr("_row", f"explode(array({', '.join(cell(i) for i in range(n))})) AS c")
+    return cells.selectExpr(
+        f"{text(source)} AS source",
+        f"{text(sheet)} AS sheet",
+        "_row AS row",
+        "c.col AS col",
+        "concat(c.letters, cast(_row AS string)) AS cell_ref",
+        "c.value AS value",
+        "c.value_type AS value_type",
+        "cast(NULL AS string) AS formula",
+        *(["c.left_value", "c.right_value"] if neighbours else []),
     )
