@@ -8,6 +8,7 @@ from functools import lru_cache
 
 from .patterns import SPACE, lookup, replace_all, text
 
+BEYOND_ASCII = r"[^\x00-\x7F]"
 _HANGUL = range(0xAC00, 0xD7A4)
 _LEADS = "".join(map(chr, range(0x1100, 0x1113)))
 _VOWELS = "".join(map(chr, range(0x1161, 0x1176)))
@@ -48,24 +49,46 @@ def _hangul(c: str) -> str:
     return f"concat({lead}, {vowel}, {tail})"
 
 
+def _ranges(letters: str, gap: int = 32) -> str:
+    """A character class of few ranges that holds all the letters, and some others."""
+    spans: list[list[int]] = []
+    for code in sorted(map(ord, letters)):
+        if spans and code - spans[-1][1] <= gap:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in spans) + "]"
+
+
+@lru_cache(maxsize=None)
+def translated(subject: str) -> str:
+    """Accents off, for all characters that fold to one or none."""
+    source, target, _ = _tables()
+    changed = f"translate({subject}, {text(source)}, {text(target)})"
+    return f"CASE WHEN rlike({subject}, {text(BEYOND_ASCII)}) THEN {changed} ELSE {subject} END"
+
+
 @lru_cache(maxsize=None)
-def strip_marks(subject: str) -> str:
-    """Compatibility decomposition without combining marks.
+def unfolded(subject: str) -> str:
+    """Ligatures, fractions, Hangul and the like, which fold to several characters.
 
-    Nearly all characters go through one ``translate``.  Only a text that really holds a
-    ligature, fraction or Hangul syllable is taken apart letter by letter.
+    A text is taken apart letter by letter only if it may hold one of them.
     """
-    source, target, longer = _tables()
-    simple = f"translate({subject}, {text(source)}, {text(target)})"
-    rare = "[" + "".join(longer) + "\\x{AC00}-\\x{D7A3}]"
-    by_letter = f"""array_join(transform(split({simple}, ''), c -> CASE
+    longer = _tables()[2]
+    rare = _ranges("".join(longer) + chr(_HANGUL.start) + chr(_HANGUL.stop - 1))
+    hangul = f"\\x{{{_HANGUL.start:X}}}-\\x{{{_HANGUL.stop - 1:X}}}]"
+    by_letter = f"""array_join(transform(split({subject}, ''), c -> CASE
         WHEN ascii(c) < 128 THEN c
         WHEN ascii(c) BETWEEN {_HANGUL.start} AND {_HANGUL.stop - 1} THEN {_hangul('c')}
         ELSE coalesce(try_element_at({lookup(longer)}, c), c) END), '')"""
-    return f"""CASE WHEN NOT rlike({subject}, '[^\\\\x00-\\\\x7F]') THEN {subject}
-        WHEN rlike({subject}, {text(rare)}) THEN {by_letter} ELSE {simple} END"""
+    return f"""CASE WHEN rlike({subject}, {text(BEYOND_ASCII)}) AND rlike({subject}, {text(rare[:-1] + hangul)})
+        THEN {by_letter} ELSE {subject} END"""
 
 
-def fold(subject: str) -> str:
-    """``subject`` is used several times: best a column, already in lower case."""
-    return f"trim({replace_all(strip_marks(subject), f'[{SPACE}]+', ' ')})"
+# The steps of folding, each best a column of its own.
+FOLD_STEPS = {
+    "_low": lambda subject: f"lower({subject})",
+    "_plain": lambda _: translated("_low"),
+    "_bare": lambda _: unfolded("_plain"),
+    "_single": lambda _: f"trim({replace_all('_bare', f'[{SPACE}]+', ' ')})",
+}

@@ -53,6 +53,16 @@ def lookup(entries: dict[str, str]) -> str:
     return f"str_to_map({text(listed)}, {text(chr(2))}, {text(chr(1))})"
 
 
+def unfold(array: str | Column) -> Column:
+    """One row per element.
+
+    Spark puts a ``size > 0`` filter below an ``explode`` of a plain column and pushes it down
+    to the scan, with all that makes the column inside it: everything would be computed twice.
+    It does so for columns only, not for expressions.
+    """
+    return F.explode(F.array_compact(array))
+
+
 def has_whole_word(subject: Column, word: Column) -> Column:
     """Whether ``word`` occurs with a word edge on both of its sides."""
     quoted = F.concat(

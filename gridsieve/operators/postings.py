@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.patterns import unfold
 from ..plans.sizing import broadcast_if_small
 from .tokens import tokenize
 
@@ -12,7 +13,7 @@ def build_header_postings(column_profile: DataFrame) -> DataFrame:
     """One row per token of a column header."""
     titled = column_profile.where(F.coalesce("header", F.lit("")) != "")
     return tokenize(titled, "header", "header").select(
-        F.explode("tokens").alias("token"),
+        unfold("tokens").alias("token"),
         "source",
         "sheet_name",
         "column_index",
@@ -25,7 +26,7 @@ def build_header_postings(column_profile: DataFrame) -> DataFrame:
 def build_content_postings(column_profile: DataFrame, per_value: int = 5) -> DataFrame:
     """One row per token of a sampled value, the first ``per_value`` tokens of each."""
     values = column_profile.select(
-        "source", "sheet_name", "column_letter", F.explode("sample_values").alias("value")
+        "source", "sheet_name", "column_letter", unfold("sample_values").alias("value")
     ).where(F.col("value") != "")
     return tokenize(values, "value", "content").select(
         F.explode(F.slice("tokens", 1, per_value)).alias("token"),

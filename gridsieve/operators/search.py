@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.patterns import unfold
 from ..functions.scores import cell_confidence, column_confidence, sheet_confidence
 from ..plans.matching import match_text
 from ..plans.numbering import number_rows
@@ -20,7 +21,7 @@ MATCH = [
 def match_headers(queries: DataFrame, header_postings: DataFrame) -> DataFrame:
     """Columns whose header shares a token, or a synonym of one, with the query."""
     asked = tokenize(queries.select("query_id", "query"), "query", "query").select(
-        "query_id", F.explode("tokens").alias("token")
+        "query_id", unfold("tokens").alias("token")
     )
     return header_postings.join(broadcast_if_small(asked), "token")
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import entities as ent, folding, tokens as tok
-from ..functions.patterns import NO_STRINGS
+from ..functions.patterns import NO_STRINGS, unfold
 from ..plans.sizing import broadcast_if_small
 
 _MAKERS = {
@@ -20,8 +20,11 @@ _MAKERS = {
 
 def fold_text(df: DataFrame, text: str, out: str = "folded") -> DataFrame:
     """Lower case, no accents, single blanks."""
-    low = df.withColumn("_low", F.lower(text))
-    return low.withColumn(out, F.expr(folding.fold("_low"))).drop("_low")
+    kept = [f"`{c}`" for c in df.columns if c != out]
+    made = df
+    for name, step in folding.FOLD_STEPS.items():
+        made = made.selectExpr("*", f"{step(f'`{text}`')} AS {name}")
+    return made.selectExpr(*kept, f"_single AS `{out}`")
 
 
 def tokenize(
@@ -48,7 +51,7 @@ def tokenize(
         made = made.withColumn(name, F.expr(sql))
     if split_camel:
         parts = tok.camel_parts(f"`{text}`", short)
-        bare = f"transform({parts}, t -> {folding.strip_marks('t')})"
+        bare = f"transform({parts}, t -> {folding.translated('t')})"
         found = tok.tidy(f"concat({found}, {bare})")
     found = f"coalesce({found}, {NO_STRINGS})"
     table = None if expand in (None, True, False) else expand
@@ -93,7 +96,7 @@ def expand_synonyms(
     df: DataFrame, synonyms: DataFrame, key: str, tokens: str = "tokens"
 ) -> DataFrame:
     """Add the synonyms of a table ``(token, synonym)`` to the token lists of rows named by ``key``."""
-    each = df.select(key, F.explode(tokens).alias("token"))
+    each = df.select(key, unfold(tokens).alias("token"))
     added = (
         each.join(broadcast_if_small(synonyms.select("token", "synonym")), "token")
         .groupBy(key)
@@ -118,7 +121,7 @@ def list_entities(df: DataFrame, text: str, key: str) -> DataFrame:
         F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"entities.{k}").alias("e")) for k in kinds])
     )
     return found.select(key, by_kind.alias("x")).select(
-        key, F.col("x.k").alias("entity_type"), F.posexplode("x.e").alias("pos", "entity")
+        key, F.col("x.k").alias("entity_type"), F.posexplode(F.array_compact("x.e")).alias("pos", "entity")
     )
 
 
