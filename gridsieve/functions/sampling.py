@@ -27,6 +27,8 @@ def in_sample(n: int, seed: int = 0) -> Column:
 
     No sort and no shuffle: the slice of a row and the pick of that slice are arithmetic.
     """
+    if n <= 0:
+        return F.lit(False)
     edge = int(n * 0.4)
     picks = n - 2 * edge
     place = f"(cast(row AS bigint) - {2 + edge})"
@@ -35,7 +37,6 @@ def in_sample(n: int, seed: int = 0) -> Column:
     low, high = f"({slice_no} * {size} div {picks})", f"(({slice_no} + 1) * {size} div {picks})"
     pick = f"({low} + {_noise(slice_no, seed)} * ({high} - {low}) div {_WIDTH})"
     middle = f"({place} >= 0 AND {place} < {size} AND {place} = {pick})"
-    few = f"last_row - 1 <= {n}" if picks else "false"
     return F.expr(
-        f"row >= 2 AND ({few} OR row < {2 + edge} OR row > last_row - {edge} OR {middle})"
+        f"row >= 2 AND (last_row - 1 <= {n} OR row < {2 + edge} OR row > last_row - {edge} OR {middle})"
     )
