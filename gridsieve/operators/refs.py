@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import refs
-from ..plans.sizing import fits, shuffle_partitions
+from ..plans.sizing import join_facts, shuffle_partitions
 
 RANGE_SIZES = [64, 4096, 262_144, 1 << 40]  # heights of the bands that ranges are filed under
 
@@ -171,7 +171,6 @@ def cells_in_ranges(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     placed = cells.select("*", looks.alias("_look")).select(
         *cells.columns, F.col("_look._size").alias("_size"), F.col("_look._band").alias("_band")
     )
-    small = F.broadcast(filed) if fits(filed) else filed
-    joined = placed.join(small, ["source", "sheet", "_size", "_band"])
+    joined = join_facts(placed, filed, ["source", "sheet", "_size", "_band"], ["row"], 16)
     inside = row.between(F.col("r0"), F.col("r1")) & col.between(F.col("c0"), F.col("c1"))
     return joined.where(inside).drop("_size", "_band")

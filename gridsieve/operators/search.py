@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.patterns import unfold
 from ..functions.scores import cell_confidence, column_confidence, sheet_confidence
-from ..plans.matching import match_text
+from ..plans.matching import FEW, match_text
 from ..plans.numbering import number_rows
 from ..plans.ranking import first_rows
-from ..plans.sizing import broadcast_if_small, settled
+from ..plans.sizing import broadcast_if_small, join_facts, measured, settled
 from .tokens import tokenize
 
 PLACE = ["source", "sheet", "row", "col"]
@@ -23,7 +25,7 @@ def match_headers(queries: DataFrame, header_postings: DataFrame) -> DataFrame:
     asked = tokenize(queries.select("query_id", "query"), "query", "query").select(
         "query_id", unfold("tokens").alias("token")
     )
-    return header_postings.join(broadcast_if_small(asked), "token")
+    return join_facts(header_postings, asked, ["token"], ["source", "sheet_name"], 8)
 
 
 def match_sheets(queries: DataFrame, sheet_profile: DataFrame) -> DataFrame:
@@ -47,6 +49,22 @@ def rank_matches(matches: DataFrame, order: list[Column], k: int | None = None)
     )
 
 
+def _once_per_text(queries: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Answer each distinct text once and hand the answer to all queries that ask it.
+
+    The same question asked a million times costs one search; a handful of queries is
+    answered as it is.
+    """
+    queries = queries.select("query_id", "query").where(F.col("query").isNotNull())
+    if measured(queries)[0] <= FEW:
+        return answer(queries)
+    texts = queries.select(F.col("query").alias("query_id"), "query").distinct()
+    answers = settled(answer(texts))
+    columns = answers.columns
+    found = answers.withColumnRenamed("query_id", "query")
+    return join_facts(queries, found, ["query"], ["query_id"], 8).select(*columns)
+
+
 def _best_first(*place: str) -> list[Column]:
     return [F.col("confidence").desc(), *[F.col(p) for p in place]]
 
@@ -57,59 +75,70 @@ def top_k(matches: DataFrame, k: int = 100) -> DataFrame:
 
 
 def cap_per_sheet(matches: DataFrame, n: int = 100) -> DataFrame:
-    """Only the first ``n`` rows with a match, per query and sheet.
-
-    Rows are cut, not cells, so equal rows count once: the ``n``-th row number is found
-    first and all cells up to it stay.
-    """
+    """Only the first ``n`` rows with a match, per query and sheet: all matches of a row count
+    as one."""
     keys = ["query_id", "source", "sheet"]
-    rows = matches.select(*keys, "row").distinct()
-    last = first_rows(rows, keys, [F.col("row")], n, "_n").groupBy(*keys).agg(F.max("row").alias("_last"))
-    return matches.join(broadcast_if_small(last), keys).where(F.col("row") <= F.col("_last")).drop("_last")
+    return first_rows(matches, keys, [F.col("row")], n, "_n", with_ties=True).drop("_n")
 
 
 def search_columns(
     queries: DataFrame, header_postings: DataFrame, k: int | None = None
 ) -> DataFrame:
     """Ranked columns per query, one row per matched token and column."""
-    found = match_headers(queries, header_postings).withColumn(
-        "confidence", column_confidence(F.col("token"), F.col("header"))
-    )
-    order = _best_first("source", "sheet_name", "column_index", "token")
-    return rank_matches(found, order, k).select(
-        "query_id",
-        "source",
-        "sheet_name",
-        "column_letter",
-        "column_index",
-        "header",
-        "data_type",
-        F.col("token").alias("matched_token"),
-        "confidence",
-        "rank",
-    )
+
+    def answer(queries: DataFrame) -> DataFrame:
+        found = match_headers(queries, header_postings).withColumn(
+            "confidence", column_confidence(F.col("token"), F.col("header"))
+        )
+        order = _best_first("source", "sheet_name", "column_index", "token")
+        return rank_matches(found, order, k).select(
+            "query_id",
+            "source",
+            "sheet_name",
+            "column_letter",
+            "column_index",
+            "header",
+            "data_type",
+            F.col("token").alias("matched_token"),
+            "confidence",
+            "rank",
+        )
+
+    return _once_per_text(queries, answer)
 
 
 def search_sheets(queries: DataFrame, sheet_profile: DataFrame, k: int | None = None) -> DataFrame:
     """Ranked sheets per query."""
-    found = match_sheets(queries, sheet_profile).withColumn(
-        "confidence", sheet_confidence(F.col("query"), F.col("sheet_name"))
-    )
-    return rank_matches(found, _best_first("source", "sheet_name"), k).select(
-        "query_id",
-        "source",
-        "sheet_name",
-        "row_count",
-        "column_count",
-        "has_pivot",
-        "data_summary",
-        "confidence",
-        "rank",
-    )
 
+    def answer(queries: DataFrame) -> DataFrame:
+        found = match_sheets(queries, sheet_profile).withColumn(
+            "confidence", sheet_confidence(F.col("query"), F.col("sheet_name"))
+        )
+        return rank_matches(found, _best_first("source", "sheet_name"), k).select(
+            "query_id",
+            "source",
+            "sheet_name",
+            "row_count",
+            "column_count",
+            "has_pivot",
+            "data_summary",
+            "confidence",
+            "rank",
+        )
+
+    return _once_per_text(queries, answer)
+
+
+def describe_workbooks(
+    sheet_profile: DataFrame, workbook_profile: DataFrame, list_sheets: bool = True
+) -> DataFrame:
+    """Workbook totals and, as one array, the sheets of each workbook.
 
-def describe_workbooks(sheet_profile: DataFrame, workbook_profile: DataFrame) -> DataFrame:
-    """Workbook totals with the list of its sheets."""
+    Leave the array out where a source may hold millions of sheets: they are the rows of
+    ``sheet_profile``.
+    """
+    if not list_sheets:
+        return workbook_profile.withColumn("confidence", F.lit(1.0))
     sheets = sheet_profile.groupBy("source").agg(
         F.array_sort(
             F.collect_list(
@@ -192,15 +221,19 @@ def search_cells(
 
     Restrict ``cells`` first to search one sheet, column or range.
     """
-    found = match_cells(queries, cells, case_sensitive, regex)
-    if per_sheet is not None:
-        found = cap_per_sheet(found, per_sheet)
-    best = rank_matches(score_cells(found), _best_first(*PLACE), k)
-    if not context:
-        return best.select(*[c for c in MATCH if c != "context"])
-    if "left_value" not in cells.columns:
-        best = settled(best)  # measured, broadcast and joined: found only once
-    return with_context(best, cells, extents).select(*MATCH)
+
+    def answer(queries: DataFrame) -> DataFrame:
+        found = match_cells(queries, cells, case_sensitive, regex)
+        if per_sheet is not None:
+            found = cap_per_sheet(found, per_sheet)
+        best = rank_matches(score_cells(found), _best_first(*PLACE), k)
+        if not context:
+            return best.select(*[c for c in MATCH if c != "context"])
+        if "left_value" not in cells.columns:
+            best = settled(best)  # measured, broadcast and joined: found only once
+        return with_context(best, cells, extents).select(*MATCH)
+
+    return _once_per_text(queries, answer)
 
 
 def summarize_matches(matches: DataFrame) -> DataFrame:

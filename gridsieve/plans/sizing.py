@@ -51,16 +51,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_sheets(cells: DataFrame, facts: DataFrame, spread: str = "row") -> DataFrame:
-    """Join one row of facts per (source, sheet) to cells.
+def join_facts(
+    df: DataFrame, facts: DataFrame, keys: list[str], spread: list[str], lanes: int
+) -> DataFrame:
+    """Join a few facts per key to a large table in which one key may hold much of the rows.
 
-    Few facts are broadcast.  For a great many sheets both sides are shuffled, with the cells
-    of a sheet spread over several tasks by their row, so that one huge sheet cannot fill one.
+    Small facts are broadcast.  Otherwise both sides are shuffled, with the rows of a key
+    spread over several tasks by the columns ``spread``, so that a hot key cannot fill one.
     """
-    keys = ["source", "sheet"]
     if fits(facts):
-        return cells.join(F.broadcast(facts), keys)
-    lanes = 64
+        return df.join(F.broadcast(facts), keys)
     copies = facts.withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    spread_cells = cells.withColumn("_lane", F.pmod(F.col(spread), F.lit(lanes)).cast("int"))
-    return spread_cells.join(copies, [*keys, "_lane"]).drop("_lane")
+    lane = F.pmod(F.xxhash64(*spread), F.lit(lanes)).cast("int")
+    return df.withColumn("_lane", lane).join(copies, [*keys, "_lane"]).drop("_lane")
+
+
+def join_sheets(cells: DataFrame, facts: DataFrame) -> DataFrame:
+    """Join one row of facts per (source, sheet) to cells."""
+    return join_facts(cells, facts, ["source", "sheet"], ["row"], 64)

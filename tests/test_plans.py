@@ -88,6 +88,34 @@ def test_ranges_join_on_equal_keys(spark, data):
     assert "BroadcastHashJoin" in text and "NestedLoop" not in text
 
 
+def test_results_do_not_depend_on_broadcasts(spark, data, make_queries, monkeypatch):
+    from gridsieve.plans import sizing
+
+    cells = clean_cells(spark, data, "part", neighbours=False)
+    zones = spark.createDataFrame(
+        [("goods.xlsx", "part", i, i, 0, i + 50 * (i % 3), 1) for i in range(40)],
+        "source string, sheet string, range_id int, r0 int, c0 int, r1 int, c1 int",
+    )
+    columns = g.profile_columns(cells)
+    postings = g.build_header_postings(columns)
+    many = spark.range(200).selectExpr("id AS query_id", "concat('show name and size ', id % 3) AS query")
+
+    def answers():
+        return [
+            sorted(map(str, df.collect()))
+            for df in (
+                g.cells_in_ranges(cells, zones),
+                g.search_cells(make_queries("ring", "brand#1"), cells, k=5),
+                g.search_cells(many.selectExpr("query_id", "substr(query, 6, 4) AS query"), cells, k=3),
+                g.search_columns(many, postings),
+            )
+        ]
+
+    usual = answers()
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 0)
+    assert answers() == usual
+
+
 def test_large_sides_are_not_broadcast(spark, data, make_queries, monkeypatch):
     """Beyond the size bound the same rows come from shuffled joins."""
     from gridsieve.plans import sizing
