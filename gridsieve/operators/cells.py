@@ -12,13 +12,11 @@ from ..plans.sizing import join_sheets, settled
 
 
 def clean_values(cells: DataFrame) -> DataFrame:
-    """Values as they are searched: no nulls, no tabs or line ends, no ``|``."""
-    df = cells.withColumn("value", clean_text("value", "value_type"))
-    for side in ("left_value", "right_value"):
-        if side in df.columns:
-            text = clean_text(side, "'text'")
-            df = df.withColumn(side, F.when(F.col(side).isNotNull(), text))
-    return df
+    """Values as they are searched: no nulls, no tabs or line ends, no ``|``.
+
+    The values beside a cell stay as they are until ``with_context`` shows a few of them.
+    """
+    return cells.withColumn("value", clean_text("value", "value_type"))
 
 
 def infer_value_type(cells: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.patterns import unfold
 from ..functions.scores import cell_confidence, column_confidence, sheet_confidence
+from ..functions.values import clean_text
 from ..plans.matching import FEW, match_text
 from ..plans.numbering import number_rows
 from ..plans.ranking import first_rows
@@ -165,10 +166,13 @@ def with_context(
     """
     if "left_value" not in matches.columns:
         matches = _look_beside(matches, cells, extents)
+    def beside(side: str) -> Column:
+        return F.when(F.col(side).isNotNull(), clean_text(side, "'text'"))
+
     parts = F.array(
-        F.col("left_value"),
+        beside("left_value"),
         F.concat(F.lit("["), F.coalesce("value", F.lit("")), F.lit("]")),
-        F.col("right_value"),
+        beside("right_value"),
     )
     return matches.withColumn("context", F.array_join(parts, " | ")).drop(
         "left_value", "right_value"
