@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.sizing import settled, use_checkpoint_dir
 
-__all__ = ["load", "optional", "raw", "settled", "shared_folder", "utf8", "words"]
+__all__ = ["load", "optional", "packed", "raw", "settled", "shared_folder", "ship", "unpacked", "utf8", "words"]
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,22 @@ def optional(df: DataFrame, name: str, kind: str) -> Column:
     return (F.col(f"`{name}`") if name in df.columns else F.lit(None)).cast(kind)
 
 
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text, row``: all other columns of a table in a struct of its own field names."""
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)), F.lit(0).alias("end"))
+    return docs.select(
+        optional(docs, id_col, "long").alias("doc_id"), optional(docs, text_col, "string").alias("text"), row.alias("row")
+    )
+
+
+def unpacked(docs: DataFrame, text_col: str) -> dict[str, Column]:
+    """The columns of a table from its packed form, by name; ``text`` is added where it had none."""
+    others = [c for c in docs.columns if c != text_col]
+    fields = {c: F.col(f"row.c{i}").alias(c) for i, c in enumerate(others)} | {text_col: F.col("text").alias(text_col)}
+    return {c: fields[c] for c in dict.fromkeys([*docs.columns, text_col])}
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -44,6 +61,21 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+class _Shipped:
+    """Arrives as the value itself, with the code of its class."""
+
+    def __init__(self, value: object):
+        self.data = cloudpickle.dumps(value)
+
+    def __reduce__(self):
+        return cloudpickle.loads, (self.data,)
+
+
+def ship(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast a model of bounded size; each Python worker builds it once, on its first use."""
+    return spark.sparkContext.broadcast(_Shipped(value))
+
+
 def in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 16_384) -> Iterator[pa.RecordBatch]:
     """Rows as record batches of a bounded number of rows."""
     held: list[tuple] = []

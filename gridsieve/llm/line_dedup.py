@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.sizing import broadcast_if_small
-from .common import optional, settled, utf8
+from .common import packed, settled, unpacked, utf8
 
 BLANKS = b" \t\n\v\f\r"
 
@@ -64,11 +64,7 @@ def dedup_lines(
     largest id keep the line; a null id keeps a line only where no holder has an id.  Other columns go
     through untouched; the counts replace columns of their names, and ``counts=False`` leaves them out.
     """
-    others = [c for c in docs.columns if c != text_col]
-    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)), F.lit(0).alias("end"))
-    plain = docs.select(
-        optional(docs, id_col, "long").alias("doc_id"), optional(docs, text_col, "string").alias("text"), row.alias("row")
-    )
+    plain = packed(docs, id_col, text_col)
     keys = line_keys(plain, least_chars)
     shared = broadcast_if_small(settled(shared_lines(keys, least_docs)))
     lost = keys.join(shared, "key").filter(~F.col("doc_id").eqNullSafe(F.col("keeper")))
@@ -78,9 +74,7 @@ def dedup_lines(
     schema = joined.select("text", none.alias("n_lines"), none.alias("n_dropped"), "row").schema
     rebuilt = joined.mapInArrow(lambda batches: _rebuild(batches, least_chars), schema)
     own = ["n_lines", "n_dropped"] if counts else []
-    fields = {c: F.col(f"row.c{i}").alias(c) for i, c in enumerate(others)} | {text_col: F.col("text").alias(text_col)}
-    order = [c for c in [*docs.columns, *({text_col} - set(docs.columns))] if c not in own]
-    return rebuilt.select(*(fields[c] for c in order), *own)
+    return rebuilt.select(*(x for c, x in unpacked(docs, text_col).items() if c not in own), *own)
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch], least_chars: int) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
-from .common import in_batches, optional, settled
+from .common import in_batches, optional, settled, ship
 
 LEAF = 65_536  # pieces that a leaf packs, on average
 FAN_IN = 16  # nodes that meet in a node of the next level
@@ -56,7 +56,7 @@ def token_pieces(
     A document is its ids and then ``end_id``; null texts are empty, so they have one token.  Only documents
     longer than ``capacity`` are cut, into pieces of that length, of which the first takes the rest.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    shared = ship(docs.sparkSession, tokenizer)
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * tokens)
 

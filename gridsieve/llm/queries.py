@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import line_dedup, packing, simhash
-from .common import load
+from . import decontam, language, licenses, line_dedup, packing, sharding, simhash, sketches, warc, wordpiece
+from .common import load, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +20,33 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.edited_likeness(load(spark, sf_dir, "documents"))
+
+
+@query
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    archives = warc.write_archives(warc.mark_revisits(load(spark, sf_dir, "pages")), folder)
+    read = warc.read_archives(archives, payloads=False)
+    sound = F.when(F.col("error").isNull(), F.col("record_type")).otherwise(F.raise_error(F.concat("path", F.lit(": "), "error")))
+    return read.select("page_id", "payload_bytes", "payload_digest", sound.alias("record_type"), "refers_to")
+
+
+ORACLES["op2_warc"] = """
+WITH rows AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+  SELECT payload_digest, min(page_id) AS first_id FROM rows WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT r.page_id, r.payload_bytes, r.payload_digest,
+  CASE WHEN f.first_id <> r.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first_id <> r.page_id THEN f.first_id END AS refers_to
+FROM rows r LEFT JOIN firsts f ON f.payload_digest = r.payload_digest
+"""
+
+
 @query
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_copies(load(spark, sf_dir, "documents"))
@@ -36,6 +64,31 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(load(spark, sf_dir, "documents"), tokenizer()))
 
 
+@query
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = sharding.shard_by_curve(load(spark, sf_dir, "documents"))
+    return places.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve"
+    )
+
+
+@query
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return language.predict(docs, language.learn(docs))
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
+@query
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = wordpiece.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return wordpiece.count_pieces(load(spark, sf_dir, "documents"), tokens)
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -60,3 +113,9 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@query
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return decontam.find_leaks(docs, decontam.searchers(docs, load(spark, sf_dir, "benchmark")))

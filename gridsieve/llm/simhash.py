@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.sizing import broadcast_if_small
-from .common import optional, settled, utf8, words
+from .common import optional, packed, settled, unpacked, utf8, words
 from .components import components
 
 BITS = 3  # most differing bits of a link
@@ -78,9 +78,7 @@ def near_copies(
     """
     prints = settled(fingerprints(docs, id_col, text_col, shingle_words))
     classes = settled(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(classes.select("fingerprint")))
-    named = classes.join(roots, F.col("fingerprint") == F.col("node"), "left")
-    named = named.select("fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root"))
+    named = _rooted(classes)
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     # adaptive execution splits the partition of a fingerprint that most documents share
     return prints.join(named.join(least, "root").select("fingerprint", "component_id"), "fingerprint").select(
@@ -88,6 +86,41 @@ def near_copies(
     )
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
+    """``docs`` with one row of each group of linked fingerprints: that with the smallest id.
+
+    Rows without an id come last; of several rows with the same id and fingerprint that with the
+    smallest text stays.  All columns stay as they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.array([simhash(x, shingle_words) for x in utf8(batch, "text")], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*batch.schema.names, "fingerprint"])
+
+    prints = settled(fingerprints(docs, id_col, text_col, shingle_words))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id"))
+    classes = settled(prints.groupBy("fingerprint").agg(first.alias("first")))
+    named = _rooted(classes)
+    won = F.min(F.struct("first", "fingerprint")).alias("won")
+    winners = named.groupBy("root").agg(won).select(
+        F.col("won.first.doc_id").alias("won_id"), F.col("won.fingerprint").alias("won_print")
+    )
+    plain = packed(docs, id_col, text_col)
+    marked = plain.mapInArrow(run, plain.withColumn("fingerprint", F.lit(0).cast("long")).schema)
+    same = (F.col("fingerprint") == F.col("won_print")) & F.col("doc_id").eqNullSafe(F.col("won_id"))
+    kept = marked.join(winners, same).groupBy("won_print", "won_id")
+    one = kept.agg(F.min_by(F.struct("text", "row"), F.coalesce("text", F.lit(""))).alias("one"))
+    return one.select("one.text", "one.row").select(*unpacked(docs, text_col).values())
+
+
+def _rooted(classes: DataFrame) -> DataFrame:
+    """Classes of equal fingerprints with the ``root`` of their group."""
+    roots = components(links(classes.select("fingerprint")))
+    named = classes.join(roots, F.col("fingerprint") == F.col("node"), "left")
+    return named.withColumn("root", F.coalesce("root", "fingerprint")).drop("node")
+
+
 def links(prints: DataFrame) -> DataFrame:
     """``u, v``: links between distinct fingerprints that hold together every group of them.
 
