@@ -29,7 +29,7 @@ def line_cells(spark, d):
 
 
 @check(
-    f"""WITH n AS (SELECT CAST(row_number() OVER (ORDER BY {', '.join(LINE_KEY)}) + 1 AS INTEGER) AS row, *
+    f"""WITH n AS (SELECT CAST(row_number() OVER (ORDER BY {', '.join(LINE_KEY)}) + 1 AS BIGINT) AS row, *
     FROM lineitem)
     SELECT row, 1 AS col, l_returnflag AS value FROM n
     UNION ALL SELECT row, 2, CAST(l_quantity AS VARCHAR) FROM n
@@ -49,9 +49,9 @@ def text_cells(spark, d):
     )
 
 
-TEXT_CELLS_SQL = """SELECT 'texts.xlsx' AS source, 'documents' AS sheet, CAST(doc_id + 2 AS INTEGER) AS row, 1 AS col, text AS value, 'text' AS value_type FROM documents
-    UNION ALL SELECT 'texts.xlsx', 'documents', CAST(doc_id + 2 AS INTEGER), 2, lang, 'text' FROM documents
-    UNION ALL SELECT 'texts.xlsx', 'documents', CAST(doc_id + 2 AS INTEGER), 3, CAST(n_chars AS VARCHAR), 'number' FROM documents
+TEXT_CELLS_SQL = """SELECT 'texts.xlsx' AS source, 'documents' AS sheet, CAST(doc_id + 2 AS BIGINT) AS row, 1 AS col, text AS value, 'text' AS value_type FROM documents
+    UNION ALL SELECT 'texts.xlsx', 'documents', CAST(doc_id + 2 AS BIGINT), 2, lang, 'text' FROM documents
+    UNION ALL SELECT 'texts.xlsx', 'documents', CAST(doc_id + 2 AS BIGINT), 3, CAST(n_chars AS VARCHAR), 'number' FROM documents
     UNION ALL SELECT 'texts.xlsx', 'documents', 1, i, v, 'text' FROM (VALUES (1, 'text'), (2, 'lang'), (3, 'n_chars')) h(i, v)"""
 
 
@@ -128,11 +128,11 @@ def holed_cells(spark, d):
     )
 
 
-HOLED_SQL = """SELECT 'holes.xlsx' AS source, 'part' AS sheet, CAST(p_partkey + 1 AS INTEGER) AS row, 1 AS col,
+HOLED_SQL = """SELECT 'holes.xlsx' AS source, 'part' AS sheet, CAST(p_partkey + 1 AS BIGINT) AS row, 1 AS col,
       CASE WHEN p_retailprice < 950 AND p_partkey % 7 <> 3 THEN p_name END AS value, 'text' AS kind FROM part
-    UNION ALL SELECT 'holes.xlsx', 'part', CAST(p_partkey + 1 AS INTEGER), 2, CASE WHEN p_retailprice < 950 THEN CAST(p_size AS VARCHAR) END, 'number' FROM part
-    UNION ALL SELECT 'holes.xlsx', 'part', CAST(p_partkey + 1 AS INTEGER), 3, CASE WHEN p_retailprice < 950 AND p_size > 40 THEN p_type END, 'text' FROM part
-    UNION ALL SELECT 'holes.xlsx', 'part', CAST(p_partkey + 1 AS INTEGER), 4, NULL, 'text' FROM part"""
+    UNION ALL SELECT 'holes.xlsx', 'part', CAST(p_partkey + 1 AS BIGINT), 2, CASE WHEN p_retailprice < 950 THEN CAST(p_size AS VARCHAR) END, 'number' FROM part
+    UNION ALL SELECT 'holes.xlsx', 'part', CAST(p_partkey + 1 AS BIGINT), 3, CASE WHEN p_retailprice < 950 AND p_size > 40 THEN p_type END, 'text' FROM part
+    UNION ALL SELECT 'holes.xlsx', 'part', CAST(p_partkey + 1 AS BIGINT), 4, NULL, 'text' FROM part"""
 
 
 @check(
@@ -196,7 +196,7 @@ def read_cell_text(spark, d):
 
 
 @check(
-    """SELECT doc_id, CAST(doc_id + 1 AS INTEGER) AS row, CAST(n_chars + 1 AS INTEGER) AS col, text AS value
+    """SELECT doc_id, CAST(doc_id + 1 AS BIGINT) AS row, CAST(n_chars + 1 AS INTEGER) AS col, text AS value
     FROM documents"""
 )
 def parse_cells(spark, d):

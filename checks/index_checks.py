@@ -22,12 +22,18 @@ from .token_checks import content_sql, header_sql, joined
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-TITLED = f"SELECT *, header AS raw FROM ({profile_sql(1000)}) WHERE header IS NOT NULL"
+TITLED = f"SELECT *, header AS raw FROM ({profile_sql()}) WHERE header IS NOT NULL"
 HEADER_POSTINGS = f"""WITH h AS ({TITLED}), t AS ({header_sql('SELECT DISTINCT raw FROM h')})
     SELECT unnest(t.tokens) AS token, source, sheet_name, column_index, column_letter, header, data_type FROM h JOIN t USING (raw)"""
-SAMPLED = f"SELECT source, sheet_name, column_letter, unnest(string_split(sample_values, chr(10))) AS raw FROM ({profile_sql(1000)}) WHERE sample_values <> ''"
+SAMPLED = f"SELECT source, sheet_name, column_letter, unnest(string_split(sample_values, chr(10))) AS raw FROM ({profile_sql()}) WHERE sample_values <> ''"
 CONTENT_POSTINGS = f"""WITH v AS ({SAMPLED}), t AS ({content_sql('SELECT DISTINCT raw FROM v')})
-    SELECT unnest(t.tokens[1:5]) AS token, source, sheet_name, column_letter, substr(raw, 1, 100) AS value FROM v JOIN t USING (raw)"""
+    SELECT unnest(t.tokens) AS token, source, sheet_name, column_letter, raw AS value FROM v JOIN t USING (raw)"""
+
+
+FIRST_TOKENS = CONTENT_POSTINGS.replace("unnest(t.tokens)", "unnest(t.tokens[1:2])").replace("raw AS value", "substr(raw, 1, 7) AS value")
+CELL_POSTINGS = f"""WITH c AS (SELECT source, sheet AS sheet_name, CAST(row AS BIGINT) AS row, col AS column_index, value AS raw FROM ({cells_sql('part', 'supplier', 'customer', 'events')}) WHERE row > 1 AND value <> ''),
+    t AS ({content_sql('SELECT DISTINCT raw FROM c')})
+    SELECT unnest(t.tokens) AS token, source, sheet_name, row, column_index FROM c JOIN t USING (raw)"""
 
 
 def column_profile(spark, d):
@@ -44,6 +50,31 @@ def build_content_postings(spark, d):
     return g.build_content_postings(column_profile(spark, d))
 
 
+@check(FIRST_TOKENS)
+def build_content_postings_capped(spark, d):
+    """The first two tokens of a value and its first seven characters."""
+    return g.build_content_postings(column_profile(spark, d), per_value=2, max_length=7)
+
+
+def cell_postings(spark, d):
+    return g.build_cell_postings(sheet_cells(spark, d, "part", "supplier", "customer", "events"))
+
+
+@check(CELL_POSTINGS)
+def build_cell_postings(spark, d):
+    return cell_postings(spark, d).select("token", "source", "sheet_name", "row", "column_index")
+
+
+@check(
+    f"SELECT token, p_partkey, source, sheet_name, row, column_index FROM ({CELL_POSTINGS}) "
+    "JOIN (SELECT p_partkey, lower(p_type) AS token FROM part) USING (token)"
+)
+def lookup_cells(spark, d):
+    tokens = table(spark, d, "part").select("p_partkey", F.lower("p_type").alias("token"))
+    found = g.lookup_content(tokens, cell_postings(spark, d))
+    return found.select("token", "p_partkey", "source", "sheet_name", "row", "column_index")
+
+
 @check(
     f"SELECT token, p_partkey, source, sheet_name, column_letter, value FROM ({CONTENT_POSTINGS}) "
     "JOIN (SELECT p_partkey, lower(p_type) AS token FROM part) USING (token)"
@@ -80,7 +111,7 @@ def drop_sources(spark, d):
 
 
 @check(
-    f"SELECT source, sheet_name, column_index, header FROM ({profile_sql(1000)}) "
+    f"SELECT source, sheet_name, column_index, header FROM ({profile_sql()}) "
     "WHERE source NOT IN (SELECT replace(lower(n_name), 'nation_0', 'sales.xlsx') FROM nation)"
 )
 def invalidate(spark, d):
@@ -90,19 +121,20 @@ def invalidate(spark, d):
     return kept.select("source", "sheet_name", "column_index", "header")
 
 
-def data_files(spark, d):
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d)
-    return files.select("path", "modificationTime", "length")
+EVENT_FILES = "SELECT 'events/' || event_type || '/' || (event_id // 10) AS path, max(ts) AS modificationTime, count(*) AS length FROM events GROUP BY 1"
 
 
-@check()
+@check(
+    f"""WITH f AS ({EVENT_FILES}) SELECT * FROM f WHERE length % 3 <> 1"""
+)
 def changed_files(spark, d):
-    """The files of the test tables against a manifest in which half of them are newer."""
-    files = data_files(spark, d)
-    late = F.when(F.length("path") % 2 == 0, F.col("modificationTime")).otherwise(
-        F.timestamp_add("DAY", F.lit(1), "modificationTime")
-    )
-    manifest = files.select("path", late.alias("modificationTime"))
+    """Files named after events; the manifest lacks some and has an older time for others."""
+    events = table(spark, d, "events")
+    path = F.concat(F.lit("events/"), "event_type", F.lit("/"), F.expr("event_id div 10"))
+    files = events.groupBy(path.alias("path")).agg(F.max("ts").alias("modificationTime"), F.count(F.lit(1)).alias("length"))
+    older = F.timestamp_add("DAY", F.lit(-1), "modificationTime")
+    time = F.when(F.col("length") % 3 == 1, F.col("modificationTime")).otherwise(older)
+    manifest = files.where("length % 3 > 0").select("path", time.alias("modificationTime"))
     return g.changed_files(files, manifest)
 
 
@@ -164,7 +196,7 @@ def packed_parts(spark, d):
     return rows.select("book", "rows").mapInArrow(pack, "path string, content binary")
 
 
-PLACED = "SELECT *, 'parts' || (p_partkey // 500) || '.xlsx' AS source, CAST(p_partkey % 500 + 2 AS INTEGER) AS row FROM part"
+PLACED = "SELECT *, 'parts' || (p_partkey // 500) || '.xlsx' AS source, CAST(p_partkey % 500 + 2 AS BIGINT) AS row FROM part"
 
 
 @check(

@@ -35,7 +35,7 @@ def edged_cells(spark, d):
 
 
 def odd_sql() -> str:
-    head = "SELECT 'odd.xlsx' AS source, 'odd' AS sheet, CAST(p_partkey + 2 AS INTEGER) AS row"
+    head = "SELECT 'odd.xlsx' AS source, 'odd' AS sheet, CAST(p_partkey + 2 AS BIGINT) AS row"
     mix = "CASE WHEN p_size % 2 = 0 THEN p_type ELSE CAST(p_size AS VARCHAR) END"
     return f"""{head}, 1 AS col, CASE WHEN p_size % 3 = 0 THEN p_name END AS value, CASE WHEN p_size % 3 = 0 THEN 'text' END AS value_type, NULL AS formula FROM part
     UNION ALL {head}, 2, {mix}, CASE WHEN p_size % 2 = 0 THEN 'text' ELSE 'number' END, NULL FROM part
@@ -63,10 +63,10 @@ def sample_sql(n: int, seed: int = 0) -> str:
     )
 
 
-def profile_sql(n: int | None) -> str:
-    kept = "row = 1 OR " + (sample_sql(n) if n else "TRUE")
+def profile_sql(n: int | None = None, cap: int | None = None, samples: int = 20, length: int | None = None) -> str:
+    kept = "(row = 1 OR " + (sample_sql(n) if n else "TRUE") + ")" + (f" AND col <= {cap}" if cap else "")
     rows = f"least(last_row - 1, {n})" if n else "last_row - 1"
-    value = "substr(value, 1, 200)"
+    value = f"substr(value, 1, {length})" if length else "value"
     return f"""WITH c AS ({CELLS}), e AS (SELECT source, sheet, max(row) AS last_row FROM c GROUP BY ALL),
     k AS (SELECT c.*, last_row FROM c JOIN e USING (source, sheet) WHERE {kept}),
     p AS (SELECT source, sheet, col, max(last_row) AS last_row,
@@ -76,7 +76,7 @@ def profile_sql(n: int | None) -> str:
         count(DISTINCT value_type) FILTER (row > 1) AS kinds,
         min(value_type) FILTER (row > 1) AS kind,
         coalesce(bool_or(formula IS NOT NULL) FILTER (row > 1), FALSE) AS has_formula,
-        coalesce(list({value} ORDER BY row) FILTER (row > 1 AND value IS NOT NULL), [])[1:20] AS samples
+        coalesce(list({value} ORDER BY row) FILTER (row > 1 AND value IS NOT NULL), [])[1:{samples}] AS samples
       FROM k GROUP BY source, sheet, col)
     SELECT source, sheet AS sheet_name, col AS column_index, {letters_sql('col')} AS column_letter, header,
       CASE WHEN kinds = 0 THEN 'empty' WHEN kinds = 1 THEN kind ELSE 'mixed' END AS data_type,
@@ -88,19 +88,51 @@ def shown(profile):
     return profile.withColumn("sample_values", F.array_join("sample_values", "\n"))
 
 
-@check(profile_sql(1000))
+@check(profile_sql())
 def profile_columns(spark, d):
     return shown(g.profile_columns(edged_cells(spark, d)))
 
 
-@check(profile_sql(None))
+@check(profile_sql())
 def profile_columns_all_rows(spark, d):
     return shown(g.profile_columns(edged_cells(spark, d), sample=None))
 
 
-@check()
+@check(profile_sql(1000))
+def profile_columns_of_sample(spark, d):
+    return shown(g.profile_columns(edged_cells(spark, d), sample=1000))
+
+
+@check(profile_sql(cap=2, samples=5, length=4))
+def profile_columns_capped(spark, d):
+    """The first two columns, five values of each and four characters of a value."""
+    return shown(g.profile_columns(edged_cells(spark, d), cap=2, n_samples=5, max_length=4))
+
+
+LONG_TEXTS = "SELECT doc_id, repeat('x', 300) || text AS v FROM documents"
+
+
+@check(f"SELECT count(v) AS filled, count(DISTINCT v) AS unique_count FROM ({LONG_TEXTS})")
+def profile_long_values(spark, d):
+    """Values that differ after many equal characters are different values."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("x" * 300), "text").alias("v"))
+    cells = g.table_to_cells(docs, "texts.xlsx", "documents", cols=["v"], row=F.col("doc_id") + 2)
+    n = F.lit(docs.count()).cast("long")
+    return g.profile_columns(cells, n_samples=1).select((n - F.col("null_count")).alias("filled"), "unique_count")
+
+
+@check(
+    f"SELECT source, sheet_name, column_index, TRUE AS near FROM ({profile_sql()})"
+)
 def profile_columns_approximate(spark, d):
-    return shown(g.profile_columns(edged_cells(spark, d), sample=None, approximate=True))
+    """Approximate numbers of different values lie within some percent of the exact ones."""
+    cells = edged_cells(spark, d)
+    exact = g.profile_columns(cells).select("source", "sheet_name", "column_index", "unique_count")
+    rough = g.profile_columns(cells, approximate=True).select(
+        "source", "sheet_name", "column_index", F.col("unique_count").alias("rough")
+    )
+    near = F.abs(F.col("rough") - F.col("unique_count")) <= F.greatest(F.lit(2.0), F.col("unique_count") * 0.15)
+    return exact.join(rough, ["source", "sheet_name", "column_index"]).select("source", "sheet_name", "column_index", near.alias("near"))
 
 
 @check(
@@ -114,7 +146,7 @@ def sample_rows(spark, d):
 
 
 @check(
-    f"""SELECT source, sheet, col, array_to_string((list(substr(value, 1, 200) ORDER BY row))[1:5], chr(10)) AS sample_values
+    f"""SELECT source, sheet, col, array_to_string((list(value ORDER BY row))[1:5], chr(10)) AS sample_values
     FROM ({CELLS}) WHERE value IS NOT NULL AND row > 1 GROUP BY source, sheet, col"""
 )
 def column_samples(spark, d):
@@ -126,13 +158,13 @@ def summary_sql(profile: str) -> str:
     FROM (SELECT source, sheet_name, data_type, count(*) AS n, min(column_index) AS first FROM ({profile}) GROUP BY ALL) GROUP BY source, sheet_name"""
 
 
-@check(summary_sql(profile_sql(1000)))
+@check(summary_sql(profile_sql()))
 def summarize_types(spark, d):
     return g.summarize_types(g.profile_columns(edged_cells(spark, d)))
 
 
 def sheets_sql() -> str:
-    return f"""WITH pr AS ({profile_sql(1000)}), su AS ({summary_sql('SELECT * FROM pr')}), ce AS ({CELLS})
+    return f"""WITH pr AS ({profile_sql()}), su AS ({summary_sql('SELECT * FROM pr')}), ce AS ({CELLS})
     SELECT source, sheet_name, row_count, column_count, has_pivot, has_formulas, data_summary
     FROM (SELECT source, sheet AS sheet_name, max(row) AS row_count, CAST(max(col) AS INTEGER) AS column_count,
         regexp_matches(lower(string_agg(value, ' ' ORDER BY col) FILTER (row = 1 AND value <> '')), 'sum of|count of|average of|total') AS has_pivot

@@ -170,7 +170,7 @@ def boxes(spark, d):
 
 
 @check(
-    f"""WITH x AS (SELECT range_id, CAST(row AS INTEGER) AS row, unnest(generate_series(c0, c1)) AS col FROM
+    f"""WITH x AS (SELECT range_id, CAST(row AS BIGINT) AS row, unnest(generate_series(c0, c1)) AS col FROM
       (SELECT *, unnest(generate_series(r0, r1)) AS row FROM ({BOXES})))
     SELECT range_id, row, CAST(col AS INTEGER) AS col, ({letters_sql('(col + 1)')}) || (row + 1) AS a1 FROM x"""
 )
@@ -210,3 +210,27 @@ def cells_in_ranges(spark, d):
     )
     found = g.cells_in_ranges(sheet_cells(spark, d, "orders"), zones)
     return found.select("range_id", "row", "col", "value")
+
+
+@check(
+    """SELECT p_partkey, p_size % 26 BETWEEN 1 AND 12 AND p_partkey % 40 + 1 BETWEEN 3 + p_size % 5 AND 20 + p_size % 9 AS inside FROM part"""
+)
+def refs_in_ranges(spark, d):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    ref = F.concat(F.char(65 + size % 26), (key % 40 + 1).cast("string"))
+    area = F.concat(F.lit("B"), (3 + size % 5).cast("string"), F.lit(":M"), (20 + size % 9).cast("string"))
+    rows = table(spark, d, "part").select("p_partkey", ref.alias("ref"), area.alias("range"))
+    return g.refs_in_ranges(rows).select("p_partkey", "inside")
+
+
+@check(
+    f"""SELECT p_partkey AS range_id, row, col, value FROM ({cells_sql('part')}) c JOIN part ON c.col - 1 = p_partkey % 5"""
+)
+def cells_in_whole_columns(spark, d):
+    """A range over a whole column for every part."""
+    key = F.col("p_partkey")
+    zones = table(spark, d, "part").select(
+        key.alias("range_id"), F.lit("goods.xlsx").alias("source"), F.lit("part").alias("sheet"), F.lit(0).alias("r0"),
+        (key % 5).cast("int").alias("c0"), F.lit(100_000_000).alias("r1"), (key % 5).cast("int").alias("c1"),
+    )
+    return g.cells_in_ranges(sheet_cells(spark, d, "part"), zones).select("range_id", "row", "col", "value")

@@ -60,7 +60,7 @@ def beside_sql(cells: str) -> str:
 
 def ranked_sql(found: str, cells: str, k: int) -> str:
     return f"""SELECT m.*, coalesce(l || ' | ', '') || '[' || m.value || ']' || coalesce(' | ' || r, '') AS context
-    FROM (SELECT * EXCLUDE (query), CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, source, sheet, row, col) AS INTEGER) AS rank FROM ({found}) QUALIFY rank <= {k}) m
+    FROM (SELECT * EXCLUDE (query), CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, source, sheet, row, col) AS BIGINT) AS rank FROM ({found}) QUALIFY rank <= {k}) m
     JOIN ({beside_sql(cells)}) b USING (source, sheet, row, col)"""
 
 
@@ -189,7 +189,7 @@ def search_in_range(spark, d):
 
 
 @check(
-    f"""SELECT * EXCLUDE (query), CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, source, sheet, row, col) AS INTEGER) AS rank
+    f"""SELECT * EXCLUDE (query), CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, source, sheet, row, col) AS BIGINT) AS rank
     FROM ({found_sql(queries_sql(CAPPED), clean_cells_sql('part', 'customer'))})"""
 )
 def rank_all_matches(spark, d):
@@ -279,7 +279,7 @@ def classify_queries(spark, d):
 
 def header_words_sql() -> str:
     """Questions made of the words of the column headers, one per column of the profile."""
-    return f"SELECT column_letter || ':' || source || ':' || sheet_name AS query_id, 'show the ' || replace(header, '_', ' ') AS query FROM ({profile_sql(1000)}) WHERE header IS NOT NULL"
+    return f"SELECT column_letter || ':' || source || ':' || sheet_name AS query_id, 'show the ' || replace(header, '_', ' ') AS query FROM ({profile_sql()}) WHERE header IS NOT NULL"
 
 
 def header_questions(profile):
@@ -296,7 +296,7 @@ def columns_sql(asked_rows: str, postings: str) -> str:
     s AS (SELECT *, round(CASE WHEN matched_token = lower(header) THEN 1.0 WHEN NOT contains(lower(header), matched_token) THEN 0.5
       WHEN {whole_word_sql('lower(header)', 'matched_token')} THEN 0.9 ELSE 0.5 + {share} * 0.3 END::DOUBLE, 6) AS confidence FROM m)
     SELECT query_id, source, sheet_name, column_letter, column_index, header, data_type, matched_token, confidence,
-      CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, source, sheet_name, column_index, matched_token) AS INTEGER) AS rank FROM s"""
+      CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, source, sheet_name, column_index, matched_token) AS BIGINT) AS rank FROM s"""
 
 
 @check(columns_sql(header_words_sql(), HEADER_POSTINGS))
@@ -309,7 +309,7 @@ def search_columns(spark, d):
 
 @check(
     f"""SELECT query_id, source, sheet_name, row_count, column_count, has_pivot, data_summary, confidence,
-      CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, source, sheet_name) AS INTEGER) AS rank
+      CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, source, sheet_name) AS BIGINT) AS rank
     FROM (SELECT q.query_id, s.*, round(CASE WHEN query = sheet_name THEN 1.0 ELSE 0.7 + length(query)::DOUBLE / length(sheet_name) * 0.3 END, 6) AS confidence
       FROM (SELECT DISTINCT substr(l, 1, n) AS query, substr(l, 1, n) AS query_id
         FROM (SELECT lower(n_name) AS l, unnest(generate_series(1, 6)) AS n FROM nation UNION ALL SELECT lower(r_name), 1 FROM region)) q
@@ -353,7 +353,7 @@ def routed(spark, d, force=None):
 
 
 ROUTED_CELLS = clean_cells_sql(*ROUTED_SHEETS)
-TOP_CELLS = """SELECT * EXCLUDE (query), CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, source, sheet, row, col) AS INTEGER) AS rank
+TOP_CELLS = """SELECT * EXCLUDE (query), CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, source, sheet, row, col) AS BIGINT) AS rank
     FROM ({found}) QUALIFY rank <= 10"""
 
 

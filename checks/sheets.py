@@ -70,7 +70,7 @@ def cells_sql(*names: str) -> str:
             letter = chr(65 + i)
             where = f"SELECT '{book}' AS source, '{name}' AS sheet"
             selects.append(
-                f"{where}, CAST({key} + 2 AS INTEGER) AS row, {i + 1} AS col, "
+                f"{where}, CAST({key} + 2 AS BIGINT) AS row, {i + 1} AS col, "
                 f"'{letter}' || ({key} + 2) AS cell_ref, {text_sql(c)} AS value, "
                 f"CASE WHEN {c} IS NOT NULL THEN '{kind}' END AS value_type FROM {name}"
             )

@@ -211,7 +211,7 @@ def expand_synonyms(spark, d):
 # --- entities ----------------------------------------------------------------------------
 
 CURRENCY = f"[$€£¥][{S}]*[\\p{{Nd}},]+(?:[.]\\p{{Nd}}{{2}})?"
-MONTH = f"(?i)\\b(?:{'|'.join(lexicon.MONTHS)})[a-z]*\\s+\\d{{1,2}},?\\s+\\d{{4}}\\b"
+MONTH = f"(?i)\\b(?:{lexicon.MONTHS})[a-z]*\\s+\\d{{1,2}},?\\s+\\d{{4}}\\b"
 ENTITY_SQL = {
     "dates": r"list_concat(regexp_extract_all(p, '\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b'), regexp_extract_all(p, '\b\d{4}[/-]\d{1,2}[/-]\d{1,2}\b'), regexp_extract_all(p, "
     + quote(MONTH)

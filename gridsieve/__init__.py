@@ -13,6 +13,7 @@ from .operators.cells import (
     truncate_values,
 )
 from .operators.postings import (
+    build_cell_postings,
     build_content_postings,
     build_header_postings,
     index_size,
@@ -39,6 +40,7 @@ from .operators.refs import (
     parse_ranges,
     parse_refs,
     range_dims,
+    refs_in_ranges,
     shift_refs,
     valid_refs,
     with_cell_refs,

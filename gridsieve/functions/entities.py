@@ -6,14 +6,12 @@ from . import lexicon
 from .patterns import AFTER_WORD, AT_EDGE, BEFORE_WORD, DIGIT, SPACE, WORD, find_all, replace_all, text
 from .tokens import CURRENCY, DATE, lowered
 
-_MONTHS = "|".join(lexicon.MONTHS)
-
 # kind: its patterns, in the order in which their finds are listed
 ENTITY_PATTERNS = {
     "dates": [
         DATE,
         rf"{BEFORE_WORD}{DIGIT}{{4}}[/-]{DIGIT}{{1,2}}[/-]{DIGIT}{{1,2}}{AFTER_WORD}",
-        rf"(?i){BEFORE_WORD}(?:{_MONTHS})[a-z]*[{SPACE}]+{DIGIT}{{1,2}},?[{SPACE}]+{DIGIT}{{4}}{AFTER_WORD}",
+        rf"(?i){BEFORE_WORD}(?:{lexicon.MONTHS})[a-z]*[{SPACE}]+{DIGIT}{{1,2}},?[{SPACE}]+{DIGIT}{{4}}{AFTER_WORD}",
     ],
     "numbers": [rf"{BEFORE_WORD}{DIGIT}{{1,3}}(?:,{DIGIT}{{3}})*(?:\.{DIGIT}+)?{AFTER_WORD}"],
     "currencies": [CURRENCY],
@@ -43,13 +41,12 @@ def entities(subject: str) -> str:
 def formula_parts(formula: str) -> str:
     body = replace_all(formula, "^=+", "")
     sheets = find_all(body, rf"(['\"]?[{WORD}{SPACE}]+['\"]?)!", 1)
-    operators = "[" + "".join(f"\\{c}" for c in lexicon.FORMULA_OPERATORS) + "]"
     return _struct(
         {
             "functions": lowered(find_all(body, rf"{BEFORE_WORD}[A-Z]+(?=\()")),
             "sheets": f"transform({sheets}, s -> trim(BOTH {text(chr(39) + chr(34))} FROM s))",
             "cell_refs": lowered(find_all(body, rf"{BEFORE_WORD}[A-Z]+{DIGIT}+{AFTER_WORD}")),
             "ranges": lowered(find_all(body, rf"[A-Z]+{DIGIT}+:[A-Z]+{DIGIT}+")),
-            "operators": find_all(body, operators),
+            "operators": find_all(body, lexicon.FORMULA_OPERATOR),
         }
     )

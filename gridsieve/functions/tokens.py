@@ -24,7 +24,7 @@ from .patterns import (
 
 SHORT = 2
 DATE = rf"{BEFORE_WORD}{DIGIT}{{1,2}}[/-]{DIGIT}{{1,2}}[/-]{DIGIT}{{2,4}}{AFTER_WORD}"
-CURRENCY = rf"[{lexicon.CURRENCY_SIGNS}][{SPACE}]*[{DIGIT},]+(?:\.{DIGIT}{{2}})?"
+CURRENCY = rf"{lexicon.CURRENCY_SIGN}[{SPACE}]*[{DIGIT},]+(?:\.{DIGIT}{{2}})?"
 CAMEL = ("([a-z])([A-Z])", "$1 $2")
 
 
@@ -150,5 +150,5 @@ def with_synonyms(tokens: str, table: Mapping[str, list[str]] | None = None) ->
 
 def pivot_field(raw: str) -> str:
     """A pivot field name without its ``Sum of`` or similar prefix."""
-    prefixes = "|".join(lexicon.PIVOT_PREFIXES)
+    prefixes = lexicon.PIVOT_PREFIX
     return replace_all(raw, f"(?i)^({prefixes})[{SPACE}]+of[{SPACE}]+", "")

@@ -11,6 +11,9 @@ from ..functions.values import clean_text
 from ..plans.sizing import join_sheets, settled
 
 
+NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def clean_values(cells: DataFrame) -> DataFrame:
     """Values as they are searched: no nulls, no tabs or line ends, no ``|``.
 
@@ -26,7 +29,7 @@ def infer_value_type(cells: DataFrame) -> DataFrame:
         "value_type",
         F.when(value.isNull() | (value == ""), F.lit(None))
         .when(F.lower(value).isin("true", "false"), "boolean")
-        .when(value.try_cast("double").isNotNull(), "number")
+        .when(F.rlike(value, F.lit(NUMBER)), "number")
         .when(F.rlike(value, F.lit(r"^\d{4}-")) & value.try_cast("timestamp").isNotNull(), "date")
         .otherwise("text"),
     )

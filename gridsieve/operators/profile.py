@@ -24,17 +24,19 @@ def sample_rows(cells: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
 
 def profile_columns(
     cells: DataFrame,
-    sample: int | None = 1000,
+    sample: int | None = None,
     seed: int = 0,
-    cap: int | None = 99,
+    cap: int | None = None,
     n_samples: int = 20,
+    max_length: int | None = None,
     approximate: bool = False,
     extents: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per column: header, type, null and distinct counts, first values.
+    """One row per column: header, type, null and distinct counts, the first ``n_samples`` values.
 
-    ``sample=None`` profiles all rows.  The sample is at most ``sample`` rows per sheet, so it
-    is written out once and both aggregations read that, not the cells.
+    All rows, all columns and whole values count, unless ``sample`` limits the rows of a sheet, ``cap`` its
+    columns and ``max_length`` the characters of a value.  A sample is at most ``sample`` rows per
+    sheet, so it is written out once and both aggregations read that, not the cells.
     """
     if extents is None:
         extents = settled(sheet_extents(cells))
@@ -46,7 +48,8 @@ def profile_columns(
         chosen = (F.col("row") == 1) | in_sample(sample, seed)
         kept = settled(join_sheets(kept, extents).where(chosen).drop("last_row", "last_col"))
     data = F.col("row") > 1
-    value = F.when(data, F.substring("value", 1, 200))
+    shown = F.col("value") if max_length is None else F.substring("value", 1, max_length)
+    value = F.when(data, shown)
     width = F.col("last_col") if cap is None else F.least("last_col", F.lit(cap))
     # one marker per column, so that a column without any cell is profiled as well
     markers = extents.select(
@@ -76,7 +79,7 @@ def profile_columns(
         "data_type",
         F.when(F.size(seen) == 0, "empty").when(F.size(seen) == 1, seen[0]).otherwise("mixed"),
     )
-    samples = column_samples(kept.where(data), n_samples)
+    samples = column_samples(kept.where(data), n_samples, max_length)
     none = F.array().cast("array<string>")
     return stats.join(samples, COLUMN, "left").select(
         "source",
@@ -92,11 +95,10 @@ def profile_columns(
     )
 
 
-def column_samples(cells: DataFrame, n: int = 20) -> DataFrame:
-    """The first ``n`` values of each column in row order."""
-    filled = cells.where(F.col("value").isNotNull()).select(
-        *COLUMN, "row", F.substring("value", 1, 200).alias("value")
-    )
+def column_samples(cells: DataFrame, n: int = 20, max_length: int | None = None) -> DataFrame:
+    """The first ``n`` values of each column in row order, cut to ``max_length`` characters if asked."""
+    shown = F.col("value") if max_length is None else F.substring("value", 1, max_length)
+    filled = cells.where(F.col("value").isNotNull()).select(*COLUMN, "row", shown.alias("value"))
     first = first_rows(filled, COLUMN, [F.col("row")], n, "_n")
     listed = F.array_sort(F.collect_list(F.struct("row", "value")))
     return first.groupBy(*COLUMN).agg(

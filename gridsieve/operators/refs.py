@@ -11,6 +11,7 @@ from ..functions import refs
 from ..plans.sizing import join_facts, shuffle_partitions
 
 RANGE_SIZES = [64, 4096, 262_144, 1 << 40]  # heights of the bands that ranges are filed under
+RANGE_WIDTHS = [8, 256, 1 << 40]  # and their widths
 
 
 def _base(zero_based: bool) -> int:
@@ -80,6 +81,18 @@ def parse_ranges(df: DataFrame, area: str = "range") -> DataFrame:
     )
 
 
+def refs_in_ranges(df: DataFrame, ref: str = "ref", area: str = "range") -> DataFrame:
+    """Add ``inside``: whether the reference of a row lies in the range of that row, edges included.
+
+    A reference or range that cannot be read holds nothing: false.
+    """
+    both = parse_ranges(df.select(F.struct("*").alias("_whole"), F.col(area).alias("_area"), F.col(ref).alias("_asked")), "_area")
+    both = refs.read_refs(both, F.col("_asked"), "_row", "_col", "A1")
+    row, col = F.col("_row") - 1, F.col("_col") - 1
+    inside = F.col("valid") & row.between(F.col("r0"), F.col("r1")) & col.between(F.col("c0"), F.col("c1"))
+    return both.select("_whole.*", F.coalesce(inside, F.lit(False)).alias("inside"))
+
+
 def format_ranges(df: DataFrame, notation: str = "A1", zero_based: bool = True) -> DataFrame:
     """Add ``formatted``: the corners as ``A1:B5`` or ``R1C1:R5C2``."""
     write = {"A1": refs.a1, "R1C1": refs.r1c1}.get(notation.upper())
@@ -134,43 +147,48 @@ def bounding_ranges(df: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _band(size: int, row: Column) -> Column:
-    return F.call_function("div", row.cast("long"), F.lit(size).cast("long"))
+def _band(size: Column, place: Column) -> Column:
+    return F.call_function("div", place.cast("long"), size)
+
+
+def _fitting(sizes: list[int], length: Column) -> Column:
+    """The smallest of the sizes that is not below a length."""
+    size = F.lit(sizes[-1])
+    for s in reversed(sizes[:-1]):
+        size = F.when(length <= s, F.lit(s)).otherwise(size)
+    return size.cast("long")
 
 
 def cells_in_ranges(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     """Pairs of a cell and a range that holds it.
 
     ``ranges`` has ``source, sheet`` and zero-based corners; cell rows and columns are
-    one-based.  A range is filed under the smallest band height that fits it, which puts it
-    into one or two bands; a cell looks into its own band of each height that is in use.  So
-    the join is on equal keys and a cell meets only ranges near its row.
+    one-based.  A range is filed under the smallest band height and band width that fit it, which puts
+    it into one to four bands; a cell looks into its own band of each size that is in use.  So
+    the join is on equal keys and a cell meets only ranges near its row and near its column.
     """
-    height = F.col("r1") - F.col("r0") + 1
-    size = F.lit(RANGE_SIZES[-1])
-    for s in reversed(RANGE_SIZES[:-1]):
-        size = F.when(height <= s, F.lit(s)).otherwise(size)
     usable = ranges.where((F.col("r0") <= F.col("r1")) & (F.col("c0") <= F.col("c1")))
-    filed = usable.withColumn("_size", size.cast("long"))
-    filed = filed.withColumn(
-        "_band",
-        F.explode(
-            F.sequence(
-                F.call_function("div", F.col("r0").cast("long"), F.col("_size")),
-                F.call_function("div", F.col("r1").cast("long"), F.col("_size")),
-            )
-        ),
+    filed = usable.withColumns(
+        {
+            "_height": _fitting(RANGE_SIZES, F.col("r1") - F.col("r0") + 1),
+            "_width": _fitting(RANGE_WIDTHS, F.col("c1") - F.col("c0") + 1),
+        }
     )
-    in_use = sorted(r[0] for r in filed.select("_size").distinct().limit(len(RANGE_SIZES)).collect())
+    for band, size, first, last in (("_down", "_height", "r0", "r1"), ("_across", "_width", "c0", "c1")):
+        ends = [_band(F.col(size), F.col(x)) for x in (first, last)]
+        filed = filed.withColumn(band, F.explode(F.sequence(*ends)))
+    most = len(RANGE_SIZES) * len(RANGE_WIDTHS)
+    in_use = sorted(tuple(r) for r in filed.select("_height", "_width").distinct().limit(most).collect())
     row, col = F.col("row") - 1, F.col("col") - 1
-    looks = F.explode(
-        F.array(
-            *[F.struct(F.lit(s).cast("long").alias("_size"), _band(s, row).alias("_band")) for s in in_use or RANGE_SIZES[:1]]
-        )
-    )
-    placed = cells.select("*", looks.alias("_look")).select(
-        *cells.columns, F.col("_look._size").alias("_size"), F.col("_look._band").alias("_band")
-    )
-    joined = join_facts(placed, filed, ["source", "sheet", "_size", "_band"], ["row"], 16)
+
+    def look(height: int, width: int) -> Column:
+        h, w = F.lit(height).cast("long"), F.lit(width).cast("long")
+        fields = {"_height": h, "_width": w, "_down": _band(h, row), "_across": _band(w, col)}
+        return F.struct(*(c.alias(name) for name, c in fields.items()))
+
+    looks = F.explode(F.array(*(look(*x) for x in in_use or [(RANGE_SIZES[0], RANGE_WIDTHS[0])])))
+    keys = ["_height", "_width", "_down", "_across"]
+    placed = cells.select("*", looks.alias("_look")).select(*cells.columns, *(F.col(f"_look.{k}").alias(k) for k in keys))
+    joined = join_facts(placed, filed, ["source", "sheet", *keys], ["row"], 16)
     inside = row.between(F.col("r0"), F.col("r1")) & col.between(F.col("c0"), F.col("c1"))
-    return joined.where(inside).drop("_size", "_band")
+    return joined.where(inside).drop(*keys)

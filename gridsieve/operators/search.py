@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.patterns import unfold
 from ..functions.scores import cell_confidence, column_confidence, sheet_confidence
 from ..functions.values import clean_text
-from ..plans.matching import FEW, match_text
+from ..plans.matching import match_text
 from ..plans.numbering import number_rows
 from ..plans.ranking import first_rows
-from ..plans.sizing import broadcast_if_small, join_facts, measured, settled
+from ..plans.sizing import broadcast_if_small, fits, join_facts, settled
 from .tokens import tokenize
 
 PLACE = ["source", "sheet", "row", "col"]
@@ -45,25 +45,23 @@ def rank_matches(matches: DataFrame, order: list[Column], k: int | None = None)
     """Number the matches of each query from 1; with ``k``, keep the best ``k``."""
     if k is not None:
         return first_rows(matches, ["query_id"], order, k, "rank")
-    return number_rows(matches, "rank", order, within=["query_id"]).withColumn(
-        "rank", F.col("rank").cast("int")
-    )
+    return number_rows(matches, "rank", order, within=["query_id"])
 
 
 def _once_per_text(queries: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Answer each distinct text once and hand the answer to all queries that ask it.
 
-    The same question asked a million times costs one search; a handful of queries is
-    answered as it is.
+    The same question asked a million times costs one search, and an id that comes with several
+    texts gets the answer of each, however many queries there are.
     """
-    queries = queries.select("query_id", "query").where(F.col("query").isNotNull())
-    if measured(queries)[0] <= FEW:
-        return answer(queries)
+    queries = queries.select("query_id", "query").where(F.col("query").isNotNull()).distinct()
     texts = queries.select(F.col("query").alias("query_id"), "query").distinct()
-    answers = settled(answer(texts))
+    answers = answer(texts)
     columns = answers.columns
     found = answers.withColumnRenamed("query_id", "query")
-    return join_facts(queries, found, ["query"], ["query_id"], 8).select(*columns)
+    if fits(queries):
+        return found.join(F.broadcast(queries), "query").select(*columns)
+    return join_facts(queries, settled(found), ["query"], ["query_id"], 8).select(*columns)
 
 
 def _best_first(*place: str) -> list[Column]:
@@ -216,12 +214,12 @@ def search_cells(
     cells: DataFrame,
     case_sensitive: bool = False,
     regex: bool = False,
-    k: int | None = 100,
+    k: int | None = None,
     per_sheet: int | None = None,
     context: bool = True,
     extents: DataFrame | None = None,
 ) -> DataFrame:
-    """The best ``k`` cells of each query, with confidence and the neighbouring values.
+    """All cells that match each query, or the best ``k``, with confidence and the neighbouring values.
 
     Restrict ``cells`` first to search one sheet, column or range.
     """

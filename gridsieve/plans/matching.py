@@ -1,10 +1,10 @@
-"""A table of queries against a column of text, in one pass without shuffling the text.
+"""A table of queries against a column of text, in one pass over the text.
 
-Up to ``FEW`` queries become a filter over literals.  More are filed under one piece of their
-text each (a *gram*) and broadcast; a text offers its grams, a bitmap of the filed grams
-throws nearly all of them out, and the rest meet their queries in a hash join on the gram.
-Queries beyond the broadcast bound are taken in equal parts, one pass for each part.
-All ways test ``contains`` at the end and give the same pairs.
+Up to ``FEW`` queries become a filter over literals.  More are filed under one piece of their text
+each (a *gram*); for a regular expression that is a piece of the longest text that every match must hold.
+A text offers its grams, a bitmap of the filed grams throws nearly all of them out, and the rest meet their
+queries in a join on the gram, which is a broadcast join where the queries are small.  All ways test
+the query itself at the end and give the same pairs.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .sizing import MAX_BROADCAST_BYTES, measured, settled
+from .sizing import broadcast_if_small, measured, settled
 
 FEW = 60  # queries that fit into the bits of a long
-PART = 20_000
 GRAM_SIZES = [0, 1, 2, 3, 6]
-MIN_BITS, MAX_BITS = 12, 17  # the bitmap has 2^12 to 2^17 bits
+MIN_BITS, MAX_BITS = 12, 20  # the bitmap has 2^12 to 2^20 bits
 
 
 def match_text(
@@ -35,30 +35,9 @@ def match_text(
     ``queries`` has the columns ``query_id`` and ``query``; its ids are distinct.
     """
     queries = queries.select("query_id", "query").where(F.col("query").isNotNull())
-    rows, size = measured(queries)
-    if rows <= few:
+    if measured(queries)[0] <= few:
         return _match_literals(queries, df, text, case_sensitive, regex)
-    queries = settled(queries)  # read several times below
-    if regex:
-        return _all(
-            _match_literals(p, df, text, case_sensitive, True)
-            for p in _parts(queries, -(-2 * rows // few), few)
-        )
-    n = max(-(-rows // PART), -(-size // (MAX_BROADCAST_BYTES // 4)))
-    return _all(_match_grams(p, df, text, case_sensitive) for p in _parts(queries, n))
-
-
-def _parts(queries: DataFrame, n: int, most: int | None = None) -> list[DataFrame]:
-    """About ``n`` parts by a hash of the id, split further where one exceeds ``most`` rows."""
-    if n <= 1:
-        return [queries]
-    part = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    parts = [queries.where(part == i) for i in range(n)]
-    if most is None:
-        return parts
-    if queries.groupBy(part).count().agg(F.max("count")).first()[0] > most:
-        return _parts(queries, 2 * n, most)
-    return parts
+    return _match_grams(settled(queries), df, text, case_sensitive, regex)
 
 
 def _no_match(df: DataFrame, kind: T.DataType) -> DataFrame:
@@ -68,19 +47,16 @@ def _no_match(df: DataFrame, kind: T.DataType) -> DataFrame:
     )
 
 
-def _all(frames) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
 def _fold_case(text: Column, case_sensitive: bool) -> Column:
-    return text if case_sensitive else F.lower(text)
+    """Lower case that keeps the length: the dotted capital I is the one letter that would grow."""
+    return text if case_sensitive else F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
 
 
 def _found(text: Column, query: Column, case_sensitive: bool) -> Column:
     """The query as it is spelled in the text."""
     if case_sensitive:
         return query
-    place = F.position(F.lower(query), F.lower(text))
+    place = F.position(_fold_case(query, False), _fold_case(text, False))
     return F.substr(text, place, F.length(query))
 
 
@@ -99,7 +75,7 @@ def _match_literals(
     def hit(query: str) -> Column:
         if regex:
             return F.rlike(subject, F.lit(flags + query))
-        return F.contains(subject, F.lit(query if case_sensitive else query.lower()))
+        return F.contains(subject, _fold_case(F.lit(query), case_sensitive))
 
     scanned = df if regex else df.withColumn("_text", _fold_case(F.col(text), case_sensitive))
     tests = [hit(r["query"]) for r in known]
@@ -120,13 +96,17 @@ def _match_literals(
         .select(*df.columns, F.col("_q.id").alias("query_id"), F.col("_q.q").alias("query"))
     )
     if regex:
-        matched = F.regexp_substr(F.col(text), F.concat(F.lit(flags), F.col("query")))
-        return pairs.withColumn("matched_text", matched)
+        return pairs.withColumn("matched_text", _first_match(F.col(text), F.col("query"), flags))
     return pairs.withColumn(
         "matched_text", _found(F.col(text), F.col("query"), case_sensitive)
     )
 
 
+def _first_match(text: Column, query: Column, flags: str) -> Column:
+    """What the expression matches first; a match of nothing is empty text."""
+    return F.coalesce(F.regexp_substr(text, F.concat(F.lit(flags), query)), F.lit(""))
+
+
 def _gram_size(query: Column) -> Column:
     n = F.length(query)
     size = F.lit(GRAM_SIZES[0])
@@ -142,9 +122,71 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
-def file_queries(queries: DataFrame, case_sensitive: bool) -> DataFrame:
+def required_text(regex: str) -> str:
+    """The longest text that every match of a Java regular expression holds; empty if in doubt."""
+    if "(?" in regex or "\\Q" in regex:
+        return ""
+    runs, run, depth, i = [""], "", 0, 0
+    while i < len(regex):
+        c = regex[i]
+        step, literal = 1, c not in "\\.[]{}()*+?^$|"
+        if c == "|" and depth == 0:
+            return ""
+        if c == "\\":
+            c, step = regex[i + 1 : i + 2], 2
+            if not c or c in "xupPcNkX0123456789":
+                return ""
+            literal = not c.isalnum()
+        elif c == "[":
+            end = regex.find("]", i + 2)
+            if end < 0 or "[" in regex[i + 1 : end] or "\\" in regex[i:end]:
+                return ""
+            step = end + 1 - i
+        elif c == "{":
+            step = regex.find("}", i) + 1 - i
+            if step <= 0:
+                return ""
+        depth += (c == "(" and step == 1) - (c == ")" and step == 1)
+        after = regex[i + step : i + step + 1]
+        keeps = literal and depth == 0 and after not in ("*", "?", "{")
+        if keeps:
+            run += c
+        if not keeps or after == "+":
+            runs.append(run)
+            run = ""
+        i += step
+    return max([*runs, run], key=len)
+
+
+def _required(queries: DataFrame) -> Column:
+    """``required_text`` of the queries, which are few beside the texts."""
+
+    @F.pandas_udf("string")
+    def required(texts: pd.Series) -> pd.Series:
+        return texts.map(required_text)
+
+    return required(F.col("query"))
+
+
+def _variants() -> tuple[str, str]:
+    """Letters that share their capital with another small letter, and that letter."""
+    folded = {chr(c): chr(c).upper().lower() for c in range(0x80, 0x10000)}
+    odd = {c: f for c, f in folded.items() if len(f) == 1 and f != c.lower()} | {"\u0130": "i"}
+    return "".join(odd), "".join(odd.values())
+
+
+def _fold_regex(text: Column) -> Column:
+    """Letters that a regular expression without regard to case holds for the same, as one."""
+    return F.translate(F.lower(F.translate(text, *_variants())), "\u03c2", "\u03c3")
+
+
+def file_queries(queries: DataFrame, case_sensitive: bool, regex: bool = False) -> DataFrame:
     """Each query with its gram size and the gram that the fewest queries share."""
-    keyed = queries.withColumn("_key", _fold_case(F.col("query"), case_sensitive))
+    if regex:
+        key = _required(queries)
+        keyed = queries.withColumn("_key", key if case_sensitive else _fold_regex(key))
+    else:
+        keyed = queries.withColumn("_key", _fold_case(F.col("query"), case_sensitive))
     keyed = keyed.withColumn("_size", _gram_size(F.col("_key")))
     by_size = reduce(
         lambda c, s: F.when(F.col("_size") == s, _grams(F.col("_key"), s)).otherwise(c),
@@ -155,45 +197,48 @@ def file_queries(queries: DataFrame, case_sensitive: bool) -> DataFrame:
     shared = each.groupBy("_gram").agg(F.count(F.lit(1)).alias("_shared"))
     return (
         each.join(shared, "_gram")
-        .groupBy("query_id")
-        .agg(
-            F.first("query").alias("query"),
-            F.first("_key").alias("_key"),
-            F.first("_size").alias("_size"),
-            F.min_by("_gram", F.struct("_shared", "_gram")).alias("_gram"),
-        )
+        .groupBy("query_id", "query", "_key", "_size")
+        .agg(F.min_by("_gram", F.struct("_shared", "_gram")).alias("_gram"))
     )
 
 
 def _match_grams(
-    queries: DataFrame, df: DataFrame, text: str, case_sensitive: bool
+    queries: DataFrame, df: DataFrame, text: str, case_sensitive: bool, regex: bool
 ) -> DataFrame:
-    """For at most about ``PART`` queries of a checked size."""
-    filed = settled(file_queries(queries, case_sensitive))
-    known = filed.select("_size", F.xxhash64("_gram").alias("hash")).distinct().collect()
-    sizes = sorted({r["_size"] for r in known})
+    """For any number of queries: one scan of the text."""
+    filed = settled(file_queries(queries, case_sensitive, regex))
+    sizes = sorted(r["_size"] for r in filed.select("_size").distinct().collect())
     if not sizes:
         return _no_match(df, queries.schema["query_id"].dataType)
-    slots = 1 << min(max((8 * len(known)).bit_length(), MIN_BITS), MAX_BITS)
-    words = np.zeros(slots // 64, dtype=np.uint64)
-    for r in known:
-        slot = r["hash"] % slots
-        words[slot // 64] |= np.uint64(1 << slot % 64)
-    bitmap = F.lit(words.view(np.int64))
+    n_grams = filed.agg(F.approx_count_distinct("_gram")).first()[0]
+    slots = 1 << min(max((8 * n_grams).bit_length(), MIN_BITS), MAX_BITS)
+
+    def slot_of(gram: Column) -> Column:
+        return F.pmod(F.xxhash64(gram), F.lit(slots)).cast("int")
+
+    # at most as many rows as the bitmap has words
+    bit = F.expr("shiftleft(1L, slot % 64)")
+    found = filed.select(slot_of(F.col("_gram")).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word"))
+    words = np.zeros(slots // 64, dtype=np.int64)
+    for r in found.agg(F.bit_or(bit).alias("bits")).collect():
+        words[r["word"]] = r["bits"]
+    bitmap = F.lit(words)
 
     def is_filed(gram: Column) -> Column:
-        slot = F.pmod(F.xxhash64(gram), F.lit(slots)).cast("int")
+        slot = slot_of(gram)
         return F.getbit(F.get(bitmap, F.shiftright(slot, 6)), slot % 64) == 1
 
+    folded = _fold_case(F.col(text), case_sensitive)
+    if regex and not case_sensitive:
+        folded = _fold_regex(F.col(text))
     offered = F.concat(*[F.filter(_grams(F.col("_text"), s), is_filed) for s in sizes])
-    offers = (
-        df.withColumn("_text", _fold_case(F.col(text), case_sensitive))
-        .withColumn("_gram", F.explode(offered))
-    )
-    pairs = offers.join(F.broadcast(filed), "_gram").where(F.contains("_text", F.col("_key")))
-    return pairs.select(
-        *df.columns,
-        "query_id",
-        "query",
-        _found(F.col(text), F.col("query"), case_sensitive).alias("matched_text"),
-    )
+    offers = df.withColumn("_text", folded).withColumn("_gram", F.explode(offered))
+    flags = "" if case_sensitive else "(?iu)"
+    if regex:
+        hit = F.contains("_text", F.col("_key")) & F.rlike(F.col(text), F.concat(F.lit(flags), F.col("query")))
+        matched = _first_match(F.col(text), F.col("query"), flags)
+    else:
+        hit = F.contains("_text", F.col("_key"))
+        matched = _found(F.col(text), F.col("query"), case_sensitive)
+    pairs = offers.join(broadcast_if_small(filed), "_gram").where(hit)
+    return pairs.select(*df.columns, "query_id", "query", matched.alias("matched_text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .sizing import broadcast_if_small, settled, shuffle_partitions
+from .sizing import broadcast_if_small, shuffle_partitions, written
 
 _PLACES = (1 << 33) - 1  # low bits of monotonically_increasing_id: place in the partition
 
@@ -21,7 +21,8 @@ def number_rows(
     keys = [F.col(k) for k in within or []]
     n = shuffle_partitions(df.sparkSession)
     place = F.monotonically_increasing_id()
-    laid = settled(
+    # the number holds the partition and the place in it, and stays with the row in the files
+    laid = written(
         df.repartitionByRange(n, *keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_place", place)

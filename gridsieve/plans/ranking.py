@@ -26,6 +26,6 @@ def first_rows(
         lanes.withColumn("_n", number.over(by_lane))
         .where(F.col("_n") <= k)
         .drop("_n", "_lane")
-        .withColumn(name, number.over(by_key))
+        .withColumn(name, number.over(by_key).cast("long"))
         .where(F.col(name) <= k)
     )

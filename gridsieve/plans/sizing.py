@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 MAX_BROADCAST_BYTES = 64 << 20
 MAX_BROADCAST_ROWS = 500_000
 
 
 def measured(df: DataFrame) -> tuple[int, int]:
-    """Rows of a table and the bytes of its text, from one aggregation."""
-    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in texts), F.lit(0))
+    """Rows of a table and the bytes of its texts and nested values, from one aggregation."""
+
+    def weight(f: T.StructField) -> Column:
+        c = F.col(f"`{f.name}`")
+        return F.octet_length(c if isinstance(f.dataType, (T.StringType, T.BinaryType)) else c.cast("string"))
+
+    varied = (T.StringType, T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+    weights = [weight(f) for f in df.schema.fields if isinstance(f.dataType, varied)]
+    size = sum((F.coalesce(w, F.lit(0)) for w in weights), F.lit(0))
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size.cast("long")).alias("b")).first()
     return row["n"], row["b"] or 0
 
@@ -34,6 +41,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write a large table as Parquet below the shared folder, once, and go on from there.
+
+    Columnar and compressed, unlike a checkpoint; it stays until that folder is cleared.
+    """
+    use_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def use_checkpoint_dir(spark: SparkSession) -> None:
     """Take the shared folder of the cluster; make a temporary one only in local mode."""
     context = spark.sparkContext

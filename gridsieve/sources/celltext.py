@@ -28,9 +28,10 @@ def cell_lines(cells: DataFrame) -> DataFrame:
     extents = settled(sheet_extents(cells))
     block = 10_000
     parts = shuffle_partitions(cells.sparkSession)
-    starts = F.explode(F.sequence(F.lit(1), F.col("last_row"), F.lit(block)))
+    first, step = F.lit(1).cast("long"), F.lit(block).cast("long")
+    starts = F.explode(F.sequence(first, F.col("last_row").cast("long"), step))
     blocks = extents.select("source", "sheet", "last_row", "last_col", starts.alias("s"))
-    until = F.least(F.col("s") + (block - 1), F.col("last_row"))
+    until = F.least(F.col("s") + (block - 1), F.col("last_row").cast("long"))
     markers = blocks.repartition(parts).select(
         "source", "sheet", F.explode(F.sequence(F.col("s"), until)).alias("row"), "last_col"
     )
@@ -43,15 +44,27 @@ def cell_lines(cells: DataFrame) -> DataFrame:
         F.max("last_col").alias("width"),
         F.collect_list(F.when(F.col("col").isNotNull(), cell)).alias("filled"),
     )
-    values = F.map_from_entries(F.array_compact("filled"))
-    line = F.array_join(
-        F.transform(
-            F.sequence(F.lit(1), F.col("width")),
-            lambda c: cell_text(F.col("row"), c, F.try_element_at(values, c)),
-        ),
-        "\t",
-    )
-    return grouped.select(*ROW, line.alias("line")).sortWithinPartitions(*ROW)
+    # of several cells at one place the first by value is written
+    sorted_cells = F.array_sort(F.array_compact("filled"))
+    opened = grouped.select(*ROW, "width", sorted_cells.alias("cells"))
+    return opened.select(*ROW, _line(F.col("row"), F.col("cells"), F.col("width")).alias("line")).sortWithinPartitions(*ROW)
+
+
+def _line(row: Column, cells: Column, width: Column) -> Column:
+    """Cells in column order, with empty ones where a column has none: one walk over the cells."""
+
+    def empty(first: Column, last: Column) -> Column:
+        none = F.lit(None).cast("string")
+        columns = F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(columns, lambda c: cell_text(row, c, none))
+
+    def with_gap(cell: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(cells, i - 1)["col"], F.lit(0))
+        own = F.concat(empty(before + 1, cell["col"] - 1), F.array(cell_text(row, cell["col"], cell["value"])))
+        return F.when(before < cell["col"], own).otherwise(F.array().cast("array<string>"))
+
+    last = F.coalesce(F.get(cells, F.size(cells) - 1)["col"], F.lit(0))
+    return F.array_join(F.concat(F.flatten(F.transform(cells, with_gap)), empty(last + 1, width)), "\t")
 
 
 def write_cell_text(cells: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -67,7 +80,7 @@ def parse_cells(df: DataFrame, text: str = "text") -> DataFrame:
     def part(i: int) -> Column:
         return F.when(tagged, F.regexp_extract(F.col(text), TAG, i))
 
-    row, col = part(1).try_cast("int"), part(2).try_cast("int")
+    row, col = part(1).try_cast("long"), part(2).try_cast("int")
     return (
         df.withColumn("row", row)
         .withColumn("col", col)

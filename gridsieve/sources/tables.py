@@ -10,7 +10,7 @@ from ..functions.values import plain_text, shortest_digits, value_kind, value_te
 from ..plans.numbering import number_rows
 
 CELLS = (
-    "source string, sheet string, row int, col int, cell_ref string, value string, "
+    "source string, sheet string, row long, col int, cell_ref string, value string, "
     "value_type string, formula string"
 )
 
@@ -42,7 +42,7 @@ def table_to_cells(
         row = F.col("_row") + 1
     n = len(cols)
     steps = df.select(
-        row.cast("int").alias("_row"),
+        row.cast("long").alias("_row"),
         *[F.expr(f"{plain_text(f'`{c}`', kinds[c])} AS _v{i}") for i, c in enumerate(cols)],
     )
     for step in (shortest_digits, value_text):
@@ -51,7 +51,7 @@ def table_to_cells(
             steps = steps.selectExpr("_row", *done)
     if header:
         names = [f"{text(c)} AS _v{i}" for i, c in enumerate(cols)]
-        steps = steps.union(df.sparkSession.range(0, 1, 1, 1).selectExpr("1 AS _row", *names))
+        steps = steps.union(df.sparkSession.range(0, 1, 1, 1).selectExpr("1L AS _row", *names))
 
     def beside(i: int) -> str:
         return f"coalesce(_v{i}, '')" if 0 <= i < n else "cast(NULL AS string)"

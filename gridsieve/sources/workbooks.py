@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.sizing import broadcast_if_small
+from ..plans.sizing import broadcast_if_small, written
 from .tables import CELLS
 
 # the reader travels with its job: executors need no copy of this package
@@ -65,8 +65,10 @@ def open_workbooks(files: DataFrame) -> DataFrame:
 def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Good cells, and ``source, sheet, error`` of what failed.
 
-    A sheet that breaks half-way leaves none of its cells behind.
+    A sheet that breaks half-way leaves none of its cells behind.  The workbooks are read once: what
+    they hold is written to the shared folder before it is split.
     """
+    raw = written(raw)
     rejects = raw.where(F.col("error").isNotNull()).select("source", "sheet", "error")
     cells = raw.where(F.col("error").isNull()).drop("error")
     broken = rejects.where(F.col("sheet").isNotNull()).select("source", "sheet").distinct()
@@ -74,7 +76,7 @@ def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 _SCHEMA = pa.schema(
-    [(n, pa.int32() if t == "int" else pa.string()) for n, t in (f.split() for f in RAW.split(", "))]
+    [(n, {"int": pa.int32(), "long": pa.int64()}.get(t, pa.string())) for n, t in (f.split() for f in RAW.split(", "))]
 )
 
 

@@ -116,3 +116,26 @@ def test_infer_value_type(spark, make_cells):
     assert [r["value_type"] for r in cells.orderBy("row").collect()] == [
         "boolean", "number", "number", "date", "date", "text", None, None,
     ]
+
+
+def test_number_texts(make_cells):
+    values = ["12", "-1.5", "+.5", "1e9", "3.", "12D", "5f", "NaN", "Infinity", "1_0", "0x1", ".", "1e"]
+    found = g.infer_value_type(make_cells([(i, 1, v) for i, v in enumerate(values, 1)])).collect()
+    kinds = {r["value"]: r["value_type"] for r in found}
+    assert [v for v in values if kinds[v] == "number"] == values[:5]
+
+
+def test_two_cells_at_one_place_do_not_stop_the_lines(make_cells):
+    cells = make_cells([(1, 2, "b"), (1, 2, "a"), (1, 4, "d"), (3, 1, "x")])
+    lines = {r["row"]: r["line"] for r in g.cell_lines(cells).collect()}
+    assert lines[1] == "R1C1|\tR1C2|a\tR1C3|\tR1C4|d"
+    assert lines[2] == "R2C1|\tR2C2|\tR2C3|\tR2C4|" and lines[3] == "R3C1|x\tR3C2|\tR3C3|\tR3C4|"
+
+
+def test_rows_beyond_the_int_range(spark):
+    far = 2**31 + 5
+    table = spark.createDataFrame([(far, "v")], "k long, v string")
+    cells = g.table_to_cells(table, "b", "s", cols=["v"], row=F.col("k"), header=False)
+    assert tuple(cells.select("row", "cell_ref").first()) == (far, f"A{far}")
+    tagged = spark.createDataFrame([(f"R{far}C2|x",)], "text string")
+    assert g.parse_cells(tagged).first()["row"] == far

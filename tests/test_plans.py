@@ -132,3 +132,12 @@ def test_large_sides_are_not_broadcast(spark, data, make_queries, monkeypatch):
         assert sorted(map(str, g.profile_columns(cells).collect())) == sorted(map(str, usual))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_any_number_of_queries_scans_once(spark, data):
+    cells = big(spark, data)
+    many = spark.range(100_000).selectExpr("id AS query_id", "concat('name ', hex(id * 7919)) AS query")
+    regexes = spark.range(10_000).selectExpr("id AS query_id", "concat('^name ', hex(id * 7919), '[0-9]+') AS query")
+    for found in (g.match_cells(many, cells), g.match_cells(regexes, cells, regex=True)):
+        text = plan(found)
+        assert text.count("FileScan parquet") == cells._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")

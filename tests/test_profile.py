@@ -56,7 +56,8 @@ def test_column_without_any_cell_is_profiled(spark, make_cells):
 
 def test_column_cap(spark, make_cells):
     cells = make_cells([(r, c, "x") for r in (1, 2) for c in range(1, 121)])
-    columns, sheets, books = g.profile(cells)
+    assert g.profile_columns(cells).count() == 120
+    columns, sheets, books = g.profile(cells, cap=99)
     assert columns.count() == 99
     sheet = sheets.first()
     assert sheet["column_count"] == 120 and sheet["data_summary"] == "99 columns: 99 text"
@@ -65,8 +66,10 @@ def test_column_cap(spark, make_cells):
 
 def test_values_are_cut(spark, make_cells):
     cells = make_cells([(1, 1, "h"), (2, 1, "x" * 300), (3, 1, "x" * 250)])
-    got = column(g.profile_columns(cells), 1)
+    got = column(g.profile_columns(cells, max_length=200), 1)
     assert [len(v) for v in got["sample_values"]] == [200, 200] and got["unique_count"] == 1
+    whole = column(g.profile_columns(cells), 1)
+    assert [len(v) for v in whole["sample_values"]] == [300, 250] and whole["unique_count"] == 2
 
 
 def test_summary_counts_down_and_keeps_column_order(spark):
@@ -94,7 +97,9 @@ def test_postings(spark, make_cells):
     columns = g.profile_columns(cells)
     heads = {r["token"] for r in g.build_header_postings(columns).collect()}
     assert heads == {"total", "revenue", "total_revenue"}
-    postings = g.build_content_postings(columns)
+    assert g.build_content_postings(columns).count() == 8
+    assert {r["token"] for r in g.build_cell_postings(cells).where("row = 2").collect()} == set("one two three four five six seven".split())
+    postings = g.build_content_postings(columns, per_value=5, max_length=100)
     first = sorted(r["token"] for r in postings.where("value LIKE 'one%'").collect())
     assert first == ["five", "four", "one", "seven", "six"]
     assert postings.where("value LIKE 'xx%'").select(F.length("value")).first()[0] == 100

@@ -105,3 +105,10 @@ def test_cells_in_ranges_against_brute_force(spark, make_cells):
     }
     assert got == expected
     assert g.cells_in_ranges(cells, ranges).count() == len(expected)
+
+
+def test_refs_in_ranges(spark):
+    rows = [("B3", "A1:C5", 1), ("D6", "A1:C5", 2), ("A1", "R1C1:R2C2", 3), ("x", "A1:B2", 4), (None, None, 5), ("C5", "C5:A1", 6)]
+    found = g.refs_in_ranges(spark.createDataFrame(rows, "ref string, range string, r0 int")).collect()
+    assert [r["inside"] for r in found] == [True, False, True, False, False, False]
+    assert [r["r0"] for r in found] == [1, 2, 3, 4, 5, 6]

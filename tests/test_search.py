@@ -91,7 +91,8 @@ def test_all_ways_to_match_agree(spark, noisy, make_queries, case_sensitive, mon
     )
     assert pairs(60) == brute
     assert pairs(0) == brute
-    monkeypatch.setattr(matching, "PART", 3)  # several passes
+    monkeypatch.setattr(matching, "MIN_BITS", 6)
+    monkeypatch.setattr(matching, "MAX_BITS", 6)  # a bitmap that lets nearly all through
     assert pairs(0) == brute
 
 
@@ -168,3 +169,64 @@ def test_unresolved_and_summary(spark, make_cells, make_queries):
     assert [r["query"] for r in g.unresolved(queries, found).collect()] == ["zz"]
     row = g.summarize_matches(found).first()
     assert row["n_matches"] == 2 and round(row["avg_confidence"], 6) == 0.85
+
+
+def test_an_id_with_two_texts_is_answered_for_both_however_many_ask(spark, make_cells):
+    cells = make_cells([(r, 1, "alpha beta" if r % 2 else "beta") for r in range(1, 41)])
+    two = [(1, "alpha"), (1, "beta")]
+
+    def answers(rows):
+        asked = spark.createDataFrame(rows, "query_id int, query string")
+        found = g.search_cells(asked, cells, k=5).where("query_id = 1")
+        return sorted((r["matched_text"], r["row"], r["rank"]) for r in found.collect())
+
+    few, many = answers(two + [(2, "x")]), answers(two + [(i, f"x{i}") for i in range(2, 82)])
+    assert few == many and len(few) == 10
+
+
+def test_all_matches_come_unless_k_is_given(make_cells, make_queries):
+    cells = make_cells([(r, 1, "same") for r in range(1, 301)])
+    assert g.search_cells(make_queries("same"), cells).count() == 300
+
+
+def test_letters_that_grow_when_lowered(make_cells, make_queries):
+    cells = make_cells([(1, 1, "\u0130stanbul paper"), (2, 1, "PAPER \u0130")])
+    for few in (60, 0):
+        found = matching.match_text(make_queries("paper", "\u0130STANBUL", "istanbul"), cells, "value", few=few)
+        assert sorted((r["query_id"], r["row"], r["matched_text"]) for r in found.collect()) == [
+            (1, 1, "paper"), (1, 2, "PAPER"), (2, 1, "\u0130stanbul"), (3, 1, "\u0130stanbul"),
+        ]
+    best = g.search_cells(make_queries("paper"), cells.where("row = 1"), context=False).first()
+    assert best["matched_text"] == "paper" and best["confidence"] == 0.9
+
+
+def test_a_regex_that_matches_nothing_is_scored_by_the_rule(make_cells, make_queries):
+    cells = make_cells([(1, 1, "abc"), (2, 1, "--")])
+    for few in (60, 0):
+        found = matching.match_text(make_queries("z*"), cells, "value", regex=True, few=few)
+        assert {r["matched_text"] for r in found.collect()} == {""}
+    scores = {r["row"]: r["confidence"] for r in g.search_cells(make_queries("z*"), cells, regex=True).collect()}
+    assert scores == {1: 0.9, 2: 0.5}
+
+
+REGEXES = ["alpha", "^al", "be?ta", "(be)ta", "g+amma", "[ab]lpha x", "ta|ga", "\\bbeta", "ph.{1,2}", "a\\.b", "\u017fs", "k", "z*", "\u00dfe"]
+
+
+@pytest.mark.parametrize("case_sensitive", [False, True])
+def test_many_regexes_give_the_pairs_of_few(make_cells, make_queries, case_sensitive):
+    texts = ["alpha beta", "ALPHA", "gggamma a.b", "bta", "ablpha x", "\u017f\u017f SS", "\u212a", "STRASSE stra\u00dfe", ""]
+    cells = make_cells([(r, 1, t) for r, t in enumerate(texts, 1)])
+
+    def pairs(few):
+        found = matching.match_text(make_queries(*REGEXES), cells, "value", case_sensitive, True, few=few)
+        return sorted((r["query_id"], r["row"], r["matched_text"]) for r in found.collect())
+
+    assert pairs(0) == pairs(60)
+
+
+def test_required_text():
+    cases = {
+        "abc": "abc", "ab+cd": "ab", "ab?cde": "cde", "a|b": "", "(ab)cde?": "cd", "x{3}yz": "yz", "[abc]def": "def", "a\\.b": "a.b",
+        "\\bword\\b": "word", "\\x41bc": "", "(?x)a b": "", "[a\\]]b": "", "": "", "^start$": "start", "ab*": "a", "((a|b)c)de": "de",
+    }
+    assert {r: matching.required_text(r) for r in cases} == cases
