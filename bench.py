@@ -81,11 +81,11 @@ def main() -> None:
 
     benches = {
         "number_rows_to_cells": (n_cells, lambda: run(line_cells())),
-        "search_cells": (n_cells, lambda: run(g.search_cells(small_queries(spark, FLAGSHIP), cells))),
-        "search_cells_hot": (n_cells, lambda: run(g.search_cells(small_queries(spark, [(1, "1"), (2, "R")]), cells))),
+        "search_cells": (n_cells, lambda: run(g.search_cells(small_queries(spark, FLAGSHIP), cells, k=100))),
+        "search_cells_hot": (n_cells, lambda: run(g.search_cells(small_queries(spark, [(1, "1"), (2, "R")]), cells, k=100))),
         "match_many_queries": (n_names, lambda: run(g.match_cells(names, searched))),
-        "profile_columns": (n_cells, lambda: run(g.profile_columns(cells))),
-        "profile_columns_all_rows": (n_cells, lambda: run(g.profile_columns(cells, sample=None))),
+        "profile_columns": (n_cells, lambda: run(g.profile_columns(cells, sample=1000))),
+        "profile_columns_all_rows": (n_cells, lambda: run(g.profile_columns(cells))),
         "search_columns": (n_asked, lambda: run(g.search_columns(asked, postings, k=100))),
         "route_queries": (
             n_asked,

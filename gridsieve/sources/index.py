@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.sizing import broadcast_if_small, shuffle_partitions
 
-# table: the columns its files are sorted by after the source
+# table: the columns its files are laid out and sorted by
 INDEX_TABLES = {
-    "column_profile": ["sheet_name", "column_index"],
-    "sheet_profile": ["sheet_name"],
-    "workbook_profile": [],
-    "header_postings": ["token", "sheet_name", "column_index"],
-    "content_postings": ["token", "sheet_name", "column_letter"],
+    "column_profile": ["source", "sheet_name", "column_index"],
+    "sheet_profile": ["source", "sheet_name"],
+    "workbook_profile": ["source"],
+    "header_postings": ["token", "source", "sheet_name", "column_index"],
+    "content_postings": ["token", "source", "sheet_name", "column_letter"],
+    "cell_postings": ["token", "source", "sheet_name", "row", "column_index"],
 }
+BUCKETS = 64  # folders that the rows of a saving are dealt to by their first sort column
+LIVE = "live"  # which saving of a source counts, by table
 
 
 def changed_files(files: DataFrame, manifest: DataFrame | None, force: bool = False) -> DataFrame:
@@ -31,56 +36,75 @@ def invalidate(table: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def save_index(tables: dict[str, DataFrame], path: str) -> None:
-    """Write index tables in folders by source, replacing only the sources at hand.
+    """Add index tables, replacing only the sources at hand.
 
-    Rows are laid out by source and then token, so a large source is written by many tasks and
-    its files have narrow token ranges that a lookup can skip.
+    Each saving is a generation with folders by a hash of the token (of the source, where there are
+    no tokens), its files sorted within, so that a lookup of a token reads one folder and skips most of it.
+    Which generation of a source counts is written last: a saving that fails is never seen, and
+    older rows of a source stay in their files unread.  One writer at a time.
     """
+    spark = next(iter(tables.values())).sparkSession
+    generation = _next_generation(spark, path)
+    sources = []
     for name, df in tables.items():
-        order = ["source", *INDEX_TABLES[name]]
+        order = INDEX_TABLES[name]
+        bucketed = df.withColumn("bucket", _bucket(F.col(order[0])))
         (
-            df.repartitionByRange(shuffle_partitions(df.sparkSession), *order)
-            .sortWithinPartitions(*order)
-            .write.partitionBy("source")
-            .option("partitionOverwriteMode", "dynamic")
-            .mode("overwrite")
-            .parquet(f"{path}/{name}")
+            bucketed.repartitionByRange(shuffle_partitions(spark), "bucket", *order)
+            .sortWithinPartitions("bucket", *order)
+            .write.partitionBy("bucket")
+            .parquet(f"{path}/{name}/generation={generation}")
         )
+        sources.append(df.select(F.lit(name).alias("table"), "source").distinct())
+    _add_live(reduce(DataFrame.union, sources), path, generation)
 
 
 def load_index(
     spark: SparkSession, path: str, tokens: list[str] | None = None
 ) -> dict[str, DataFrame]:
-    """All saved tables by name; ``tokens`` narrows the postings inside the Parquet scan."""
+    """All saved tables by name; ``tokens`` narrows the postings to their buckets and, inside the scan, to
+    the tokens."""
+    live = spark.read.parquet(f"{path}/{LIVE}").groupBy("table", "source").agg(F.max("generation").alias("generation"))
     tables = {}
     for name, order in INDEX_TABLES.items():
         folder = f"{path}/{name}"
         if not _exists(spark, folder):
             continue
-        # a source named 2024 must come back as text
-        schema = spark.read.option("recursiveFileLookup", "true").parquet(folder).schema
-        df = spark.read.schema(schema.add("source", "string")).parquet(folder)
-        if tokens is not None and "token" in order:
-            df = df.where(F.col("token").isin(tokens))
-        tables[name] = df
+        df = spark.read.parquet(folder)
+        if tokens is not None and order[0] == "token":
+            asked = spark.createDataFrame([(t,) for t in tokens], "token string")
+            buckets = [r[0] for r in asked.select(_bucket(F.col("token"))).distinct().collect()]
+            df = df.where(F.col("bucket").isin(buckets) & F.col("token").isin(tokens))
+        current = live.where(F.col("table") == name).select("source", "generation")
+        kept = df.join(broadcast_if_small(current), ["source", "generation"])
+        tables[name] = kept.select([c for c in df.columns if c not in ("generation", "bucket")])
     return tables
 
 
-def drop_sources(spark: SparkSession, path: str, sources: list[str]) -> None:
-    """Delete the saved rows of some sources: their folders in every table."""
-    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for name in INDEX_TABLES:
-        for source in sources:
-            folder, system = _hadoop(spark, f"{path}/{name}/source={escape(source)}")
-            if system.exists(folder):
-                system.delete(folder, True)
+def drop_sources(spark: SparkSession, path: str, sources: list[str] | DataFrame) -> None:
+    """Forget the saved rows of some sources (names or a table with a column ``source``) in every table."""
+    if isinstance(sources, list):
+        sources = spark.createDataFrame([(s,) for s in sources], "source string")
+    names = F.array(*(F.lit(name) for name in INDEX_TABLES))
+    gone = sources.select(F.explode(names).alias("table"), "source").distinct()
+    _add_live(gone, path, _next_generation(spark, path))
 
 
-def _hadoop(spark: SparkSession, path: str):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _bucket(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def _add_live(sources: DataFrame, path: str, generation: int) -> None:
+    rows = sources.select("table", "source", F.lit(generation).alias("generation"))
+    rows.write.mode("append").parquet(f"{path}/{LIVE}")
+
+
+def _next_generation(spark: SparkSession, path: str) -> int:
+    if not _exists(spark, f"{path}/{LIVE}"):
+        return 0
+    return spark.read.parquet(f"{path}/{LIVE}").agg(F.max("generation")).first()[0] + 1
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    folder, system = _hadoop(spark, path)
-    return system.exists(folder)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)

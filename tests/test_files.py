@@ -1,3 +1,4 @@
+import re
 import zipfile
 
 import pytest
@@ -150,6 +151,10 @@ def test_index_is_saved_loaded_replaced_and_dropped(spark, make_cells, tmp_path)
     assert {r["token"] for r in narrowed.collect()} == {"head"}
     assert "In(token" in narrowed._jdf.queryExecution().toString() or "EqualTo(token" in narrowed._jdf.queryExecution().toString()
 
+    # one token reads one folder of each saving
+    read = narrowed._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*\(bucket#[0-9]+ = [0-9]+\)", read)
+
     # saving one source again leaves the other alone
     g.save_index(index_of(make_cells, "2023"), path)
     assert {r["source"] for r in g.load_index(spark, path)["sheet_profile"].collect()} == {"2023", "file:/x/b 1.xlsx"}
@@ -157,5 +162,5 @@ def test_index_is_saved_loaded_replaced_and_dropped(spark, make_cells, tmp_path)
 
     gone = spark.createDataFrame([("2023",)], "source string")
     assert {r["source"] for r in g.invalidate(g.load_index(spark, path)["sheet_profile"], gone).collect()} == {"file:/x/b 1.xlsx"}
-    g.drop_sources(spark, path, ["file:/x/b 1.xlsx"])
+    g.drop_sources(spark, path, ["file:/x/b 1.xlsx", "nowhere"])
     assert {r["source"] for r in g.load_index(spark, path)["content_postings"].collect()} == {"2023"}
