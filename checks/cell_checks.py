@@ -177,6 +177,17 @@ def cell_lines(spark, d):
     return g.cell_lines(text_cells(spark, d)).select("sheet", "row", "line")
 
 
+@check(
+    f"""SELECT sheet, row, string_agg({tagged_sql('value')}, chr(9) ORDER BY col) AS line
+    FROM (SELECT sheet, row, col, {clean_sql('value')} AS value FROM ({cells_sql('orders')})) GROUP BY ALL"""
+)
+def table_lines(spark, d):
+    """Lines straight from the rows of a table."""
+    cols = "o_orderstatus o_orderpriority o_totalprice o_orderdate".split()
+    lines = g.table_lines(table(spark, d, "orders"), "sales.xlsx", "orders", cols=cols, row=F.col("o_orderkey") + 2)
+    return lines.select("sheet", "row", "line")
+
+
 @check(
     f"""SELECT sheet, row, string_agg({tagged_sql("coalesce(value, '')")}, chr(9) ORDER BY col) AS line
     FROM ({HOLED_SQL}) GROUP BY ALL"""

@@ -64,8 +64,26 @@ def unfold(array: str | Column) -> Column:
 
 
 def has_whole_word(subject: Column, word: Column) -> Column:
-    """Whether ``word`` occurs with a word edge on both of its sides."""
+    """Whether ``word`` occurs with a word edge on both of its sides.
+
+    The first occurrence is looked at by itself; only where it has no edges and there is another one
+    is an expression made of the word and searched for.
+    """
+
+    def is_word(sign: Column) -> Column:
+        return F.rlike(sign, F.lit(f"^[{WORD}]"))
+
+    place, length = F.position(word, subject), F.length(word)
+    before = F.when(place > 1, F.substr(subject, place - 1, F.lit(1))).otherwise("")
+    after = F.substr(subject, place + length, F.lit(1))
+    starts = is_word(before) != is_word(F.substr(word, F.lit(1), F.lit(1)))
+    ends = is_word(after) != is_word(F.substr(word, length, F.lit(1)))
     quoted = F.concat(
         F.lit("\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")
     )
-    return F.rlike(subject, F.concat(F.lit(AT_EDGE), quoted, F.lit(AT_EDGE)))
+    return (
+        F.when(place == 0, False)
+        .when((length > 0) & starts & ends, True)
+        .when((length > 0) & (F.position(word, subject, place + 1) == 0), False)
+        .otherwise(F.rlike(subject, F.concat(F.lit(AT_EDGE), quoted, F.lit(AT_EDGE))))
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F, types as T
 
 from .patterns import SPACES, replace_all, text
+from .refs import r1c1
 
 _FLOATS = (T.DoubleType, T.FloatType)
 
@@ -71,3 +72,10 @@ def clean_text(value: str, kind: str) -> Column:
     thorough = f"translate(trim(BOTH {text(SPACES)} FROM {value}), {marks}, {by})"
     cleaned = f"CASE WHEN rlike({value}, {odd}) THEN {thorough} ELSE trim({value}) END"
     return F.expr(f"coalesce(CASE WHEN {kind} = 'text' THEN {cleaned} ELSE {value} END, '')")
+
+
+def cell_text(row: Column, col: Column, value: Column) -> Column:
+    """A tagged cell; one with a quote in it is quoted and its quotes doubled."""
+    text = F.concat(r1c1(row, col), F.lit("|"), F.coalesce(value, F.lit("")))
+    doubled = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(F.contains(text, F.lit('"')), doubled).otherwise(text)

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import lexicon
 from ..functions.refs import column_letters
 from ..functions.sampling import in_sample, sample_count
 from ..plans.ranking import first_rows
-from ..plans.sizing import join_sheets, settled
+from ..plans.sizing import join_facts, join_sheets, settled
 from .cells import sheet_extents
 
 SHEET = ["source", "sheet"]
 COLUMN = ["source", "sheet", "col"]
+SAMPLE_BLOCK = 1024  # rows that are counted together when the first values are looked for
 
 
 def sample_rows(cells: DataFrame, n: int = 1000, seed: int = 0) -> DataFrame:
@@ -99,7 +100,13 @@ def column_samples(cells: DataFrame, n: int = 20, max_length: int | None = None)
     """The first ``n`` values of each column in row order, cut to ``max_length`` characters if asked."""
     shown = F.col("value") if max_length is None else F.substring("value", 1, max_length)
     filled = cells.where(F.col("value").isNotNull()).select(*COLUMN, "row", shown.alias("value"))
-    first = first_rows(filled, COLUMN, [F.col("row")], n, "_n")
+    # blocks of rows are counted first, so that only those that hold the first values are sorted
+    counted = filled.groupBy(*COLUMN, F.expr(f"row div {SAMPLE_BLOCK}").alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*COLUMN).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < n)
+    last = needed.groupBy(*COLUMN).agg(F.max("_block").alias("_last"))
+    early = join_facts(filled, last, COLUMN, ["row"], 16).where(F.expr(f"row div {SAMPLE_BLOCK} <= _last")).drop("_last")
+    first = first_rows(early, COLUMN, [F.col("row")], n, "_n")
     listed = F.array_sort(F.collect_list(F.struct("row", "value")))
     return first.groupBy(*COLUMN).agg(
         F.transform(listed, lambda s: s["value"]).alias("sample_values")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import refs
+from ..functions.values import cell_text
 from ..operators.cells import clean_values, sheet_extents
 from ..plans.sizing import settled, shuffle_partitions
 
@@ -12,13 +13,6 @@ ROW = ["source", "sheet", "row"]
 TAG = r"(?s)^R([0-9]+)C([0-9]+)[^|]*\|(.*)$"
 
 
-def cell_text(row: Column, col: Column, value: Column) -> Column:
-    """A tagged cell; one with a quote in it is quoted and its quotes doubled."""
-    text = F.concat(refs.r1c1(row, col), F.lit("|"), F.coalesce(value, F.lit("")))
-    doubled = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
-    return F.when(F.contains(text, F.lit('"')), doubled).otherwise(text)
-
-
 def cell_lines(cells: DataFrame) -> DataFrame:
     """``source, sheet, row, line``: every row up to the last, every cell up to the last.
 

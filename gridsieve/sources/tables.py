@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.patterns import text
 from ..functions.refs import letters
-from ..functions.values import plain_text, shortest_digits, value_kind, value_text
+from ..functions.values import cell_text, clean_text, plain_text, shortest_digits, value_kind, value_text
 from ..plans.numbering import number_rows
 
 CELLS = (
@@ -35,23 +35,8 @@ def table_to_cells(
     """
     cols = cols or df.columns
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    if row is None:
-        if not key_cols:
-            raise ValueError("give key_cols or row")
-        df = number_rows(df, "_row", [F.col(c) for c in key_cols])
-        row = F.col("_row") + 1
     n = len(cols)
-    steps = df.select(
-        row.cast("long").alias("_row"),
-        *[F.expr(f"{plain_text(f'`{c}`', kinds[c])} AS _v{i}") for i, c in enumerate(cols)],
-    )
-    for step in (shortest_digits, value_text):
-        if any(isinstance(kinds[c], (T.DoubleType, T.FloatType)) for c in cols):
-            done = [f"{step(f'_v{i}', kinds[c])} AS _v{i}" for i, c in enumerate(cols)]
-            steps = steps.selectExpr("_row", *done)
-    if header:
-        names = [f"{text(c)} AS _v{i}" for i, c in enumerate(cols)]
-        steps = steps.union(df.sparkSession.range(0, 1, 1, 1).selectExpr("1L AS _row", *names))
+    steps = _texts(df, key_cols, cols, row, header)
 
     def beside(i: int) -> str:
         return f"coalesce(_v{i}, '')" if 0 <= i < n else "cast(NULL AS string)"
@@ -82,3 +67,54 @@ def table_to_cells(
         "cast(NULL AS string) AS formula",
         *(["c.left_value", "c.right_value"] if neighbours else []),
     )
+
+
+def _texts(
+    df: DataFrame, key_cols: list[str] | None, cols: list[str], row: Column | None, header: bool
+) -> DataFrame:
+    """``_row`` and the values of the columns as text, ``_v0, _v1 ...``, one row per sheet row."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if row is None:
+        if not key_cols:
+            raise ValueError("give key_cols or row")
+        df = number_rows(df, "_row", [F.col(c) for c in key_cols])
+        row = F.col("_row") + 1
+    steps = df.select(
+        row.cast("long").alias("_row"),
+        *[F.expr(f"{plain_text(f'`{c}`', kinds[c])} AS _v{i}") for i, c in enumerate(cols)],
+    )
+    for step in (shortest_digits, value_text):
+        if any(isinstance(kinds[c], (T.DoubleType, T.FloatType)) for c in cols):
+            done = [f"{step(f'_v{i}', kinds[c])} AS _v{i}" for i, c in enumerate(cols)]
+            steps = steps.selectExpr("_row", *done)
+    if header:
+        names = [f"{text(c)} AS _v{i}" for i, c in enumerate(cols)]
+        steps = steps.union(df.sparkSession.range(0, 1, 1, 1).selectExpr("1L AS _row", *names))
+    return steps
+
+
+def table_lines(
+    df: DataFrame,
+    source: str,
+    sheet: str,
+    key_cols: list[str] | None = None,
+    cols: list[str] | None = None,
+    row: Column | None = None,
+    header: bool = True,
+) -> DataFrame:
+    """``source, sheet, row, line``: the rows of a table as tagged text, straight from the wide rows.
+
+    The lines are those of ``cell_lines`` over ``table_to_cells``, without cells and, with ``row``, without a shuffle.
+    """
+    cols = cols or df.columns
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    cells = []
+    for i, c in enumerate(cols):
+        kind = text(value_kind(kinds[c]))
+        if header:
+            kind = f"CASE WHEN _row = 1 THEN 'text' ELSE {kind} END"
+        value = clean_text(f"_v{i}", f"CASE WHEN _v{i} IS NOT NULL THEN {kind} END")
+        cells.append(cell_text(F.col("_row"), F.lit(i + 1), value))
+    line = F.array_join(F.array(*cells), "\t")
+    wide = _texts(df, key_cols, cols, row, header)
+    return wide.select(F.lit(source).alias("source"), F.lit(sheet).alias("sheet"), F.col("_row").alias("row"), line.alias("line"))

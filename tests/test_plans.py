@@ -141,3 +141,11 @@ def test_any_number_of_queries_scans_once(spark, data):
     for found in (g.match_cells(many, cells), g.match_cells(regexes, cells, regex=True)):
         text = plan(found)
         assert text.count("FileScan parquet") == cells._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+def test_lines_of_a_table_take_no_shuffle(spark, data):
+    df = spark.read.parquet(f"{data}/part.parquet")
+    lines = g.table_lines(df, "goods.xlsx", "part", cols=["p_name", "p_size", "p_retailprice"], row=F.col("p_partkey") + 2)
+    assert "Exchange" not in plan(lines)
+    cells = g.table_to_cells(df, "goods.xlsx", "part", cols=["p_name", "p_size", "p_retailprice"], row=F.col("p_partkey") + 2)
+    assert lines.exceptAll(g.cell_lines(cells).select(lines.columns)).count() == 0

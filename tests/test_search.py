@@ -230,3 +230,15 @@ def test_required_text():
         "\\bword\\b": "word", "\\x41bc": "", "(?x)a b": "", "[a\\]]b": "", "": "", "^start$": "start", "ab*": "a", "((a|b)c)de": "de",
     }
     assert {r: matching.required_text(r) for r in cases} == cases
+
+
+def test_whole_words_by_place_and_by_expression(spark):
+    from gridsieve.functions.patterns import AT_EDGE, has_whole_word
+
+    rng = random.Random(8)
+    rows = [("".join(rng.choices("ab -é", k=rng.randint(0, 7))), "".join(rng.choices("ab -é", k=rng.randint(0, 3)))) for _ in range(3000)]
+    rows += [("xa-a-a", "a-a"), ("ab a", "a"), ("", ""), ("a", ""), ("a\\E", "\\E"), ("b \\Qa", "\\Q")]
+    df = spark.createDataFrame(rows, "subject string, word string")
+    quoted = F.concat(F.lit("\\Q"), F.replace("word", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    plain = F.rlike("subject", F.concat(F.lit(AT_EDGE), quoted, F.lit(AT_EDGE)))
+    assert df.where(has_whole_word(F.col("subject"), F.col("word")) != plain).count() == 0
