@@ -11,7 +11,7 @@ from ..plans.sizing import broadcast_if_small
 from .common import optional, settled
 
 BITS = 4  # of each dimension on the curve
-ROWS_PER_RUN = 10_000  # least rows of a cell that are ranked apart from the others of the cell
+ROWS_PER_RUN = 1_000  # least rows of a cell that are ranked apart from the others of the cell
 RUNS = 20_000  # runs in all, beyond one for each cell
 
 

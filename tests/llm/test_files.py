@@ -117,7 +117,7 @@ def check_shards(rows, n_shards=24):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values())
 
 
-@pytest.mark.parametrize("per_run", [10_000, 3])
+@pytest.mark.parametrize("per_run", [1_000, 3])
 def test_shards(docs, texts, edge, nothing, monkeypatch, per_run):
     monkeypatch.setattr(sharding, "ROWS_PER_RUN", per_run)
     for table in (docs, edge):
