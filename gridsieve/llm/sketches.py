@@ -23,6 +23,7 @@ from .common import in_batches, optional, words
 K = 128
 SHINGLE_WORDS = 5
 FINGERPRINT = "array<long>"
+MOST_BUCKETS = 20_000  # of ids that are sorted by themselves
 
 
 def shingle_hashes(found: list[bytes], width: int = SHINGLE_WORDS) -> list[int]:
@@ -167,9 +168,9 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(optional(docs, id_col, "long").alias("doc_id"), optional(docs, text_col, "string").alias("text"))
     ids = rows.select("doc_id")
-    n = 4 * shuffle_partitions(docs.sparkSession)
+    n = min(MOST_BUCKETS, 4 * shuffle_partitions(docs.sparkSession))
     shares = [i / n for i in range(1, n)]
-    cuts = np.unique(ids.agg(F.percentile_approx("doc_id", shares, 100 * n).alias("x")).first()["x"] or [])
+    cuts = np.unique(ids.agg(F.percentile_approx("doc_id", shares, 20 * n).alias("x")).first()["x"] or [])
 
     @F.pandas_udf("int")
     def bucket(x: pd.Series) -> pd.Series:
