@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import lexicon
 from ..functions.refs import column_letters
@@ -80,7 +80,8 @@ def profile_columns(
         "data_type",
         F.when(F.size(seen) == 0, "empty").when(F.size(seen) == 1, seen[0]).otherwise("mixed"),
     )
-    samples = column_samples(kept.where(data), n_samples, max_length)
+    # a sample is small: its first values are sorted out at once
+    samples = _listed(kept.where(data), shown, n_samples, count_blocks=sample is None)
     none = F.array().cast("array<string>")
     return stats.join(samples, COLUMN, "left").select(
         "source",
@@ -99,13 +100,12 @@ def profile_columns(
 def column_samples(cells: DataFrame, n: int = 20, max_length: int | None = None) -> DataFrame:
     """The first ``n`` values of each column in row order, cut to ``max_length`` characters if asked."""
     shown = F.col("value") if max_length is None else F.substring("value", 1, max_length)
+    return _listed(cells, shown, n, count_blocks=True)
+
+
+def _listed(cells: DataFrame, shown: Column, n: int, count_blocks: bool) -> DataFrame:
     filled = cells.where(F.col("value").isNotNull()).select(*COLUMN, "row", shown.alias("value"))
-    # blocks of rows are counted first, so that only those that hold the first values are sorted
-    counted = filled.groupBy(*COLUMN, F.expr(f"row div {SAMPLE_BLOCK}").alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*COLUMN).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    needed = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < n)
-    last = needed.groupBy(*COLUMN).agg(F.max("_block").alias("_last"))
-    early = join_facts(filled, last, COLUMN, ["row"], 16).where(F.expr(f"row div {SAMPLE_BLOCK} <= _last")).drop("_last")
+    early = _early_rows(filled, n) if count_blocks else filled
     first = first_rows(early, COLUMN, [F.col("row")], n, "_n")
     listed = F.array_sort(F.collect_list(F.struct("row", "value")))
     return first.groupBy(*COLUMN).agg(
@@ -113,6 +113,19 @@ def column_samples(cells: DataFrame, n: int = 20, max_length: int | None = None)
     )
 
 
+def _early_rows(filled: DataFrame, n: int) -> DataFrame:
+    """The blocks of rows that hold the first ``n`` values of each column.
+
+    Blocks are counted by a plain aggregation, so that only a few of them are sorted afterwards.
+    """
+    counted = filled.groupBy(*COLUMN, F.expr(f"row div {SAMPLE_BLOCK}").alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*COLUMN).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < n)
+    last = needed.groupBy(*COLUMN).agg(F.max("_block").alias("_last"))
+    joined = join_facts(filled, last, COLUMN, ["row"], 16)
+    return joined.where(F.expr(f"row div {SAMPLE_BLOCK} <= _last")).drop("_last")
+
+
 def detect_pivot(cells: DataFrame) -> DataFrame:
     """Per sheet, whether its header row reads like a pivot table."""
     headers = cells.where((F.col("row") == 1) & (F.coalesce("value", F.lit("")) != ""))
