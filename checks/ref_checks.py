@@ -224,12 +224,12 @@ def refs_in_ranges(spark, d):
 
 
 @check(
-    f"""SELECT p_partkey AS range_id, row, col, value FROM ({cells_sql('part')}) c JOIN part ON c.col - 1 = p_partkey % 5"""
+    f"""SELECT n_nationkey AS range_id, row, col, value FROM ({cells_sql('part')}) c JOIN nation ON c.col - 1 = n_nationkey % 5"""
 )
 def cells_in_whole_columns(spark, d):
-    """A range over a whole column for every part."""
-    key = F.col("p_partkey")
-    zones = table(spark, d, "part").select(
+    """A range over a whole column for every nation."""
+    key = F.col("n_nationkey")
+    zones = table(spark, d, "nation").select(
         key.alias("range_id"), F.lit("goods.xlsx").alias("source"), F.lit("part").alias("sheet"), F.lit(0).alias("r0"),
         (key % 5).cast("int").alias("c0"), F.lit(100_000_000).alias("r1"), (key % 5).cast("int").alias("c1"),
     )
