@@ -54,14 +54,14 @@ def _once_per_text(queries: DataFrame, answer: Callable[[DataFrame], DataFrame])
     The same question asked a million times costs one search, and an id that comes with several
     texts gets the answer of each, however many queries there are.
     """
-    queries = queries.select("query_id", "query").where(F.col("query").isNotNull()).distinct()
+    queries = queries.select("query_id", "query").where(F.col("query").isNotNull())
     texts = queries.select(F.col("query").alias("query_id"), "query").distinct()
     answers = answer(texts)
     columns = answers.columns
     found = answers.withColumnRenamed("query_id", "query")
     if fits(queries):
-        return found.join(F.broadcast(queries), "query").select(*columns)
-    return join_facts(queries, settled(found), ["query"], ["query_id"], 8).select(*columns)
+        return found.join(F.broadcast(queries.distinct()), "query").select(*columns)
+    return join_facts(queries.distinct(), settled(found), ["query"], ["query_id"], 8).select(*columns)
 
 
 def _best_first(*place: str) -> list[Column]:
