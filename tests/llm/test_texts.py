@@ -265,3 +265,23 @@ def test_latent_space_is_orthogonal_up_to_its_scale(docs, data, spark):
     space = decontam.latent_space(rows, items, terms, decontam.inverse_frequencies(rows, terms), sample_docs=50)
     unit = space / np.linalg.norm(space, axis=0)
     assert np.abs(unit.T @ unit - np.eye(unit.shape[1])).max() < 1e-6
+
+
+@pytest.mark.parametrize("every", [3, 1])
+def test_short_item_that_many_documents_hold(spark, data, docs, texts, every):
+    """A passage counts however frequent it is, also in every row."""
+    short = "seven grey herons wait by the mill until dusk falls"
+    benchmark = spark.read.parquet(f"{data}/benchmark.parquet").select("item_id", "text")
+    benchmark = benchmark.unionByName(spark.createDataFrame([(9_999, short)], "item_id long, text string"))
+    rng, rows, holders = random.Random(4), [], set()
+    for n, (i, text) in enumerate(sorted(texts.items())):
+        base = (text or "").split(" ")
+        if n % every == 0:
+            at = rng.randrange(len(base) + 1)
+            base[at:at] = short.split()
+            holders.add(i)
+        rows.append((i, " ".join(base)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontam.find_leaks(table, decontam.searchers(table, benchmark)).filter("item_id = 9999").collect()
+    assert {r["doc_id"] for r in found} == holders
+    assert {(r["kind"], r["similarity"]) for r in found} == {("copy", 1.0)}
