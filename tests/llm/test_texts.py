@@ -285,3 +285,19 @@ def test_short_item_that_many_documents_hold(spark, data, docs, texts, every):
     found = decontam.find_leaks(table, decontam.searchers(table, benchmark)).filter("item_id = 9999").collect()
     assert {r["doc_id"] for r in found} == holders
     assert {(r["kind"], r["similarity"]) for r in found} == {("copy", 1.0)}
+
+
+def test_reworded_item_of_one_sentence(spark):
+    """It has no answer apart from itself, so 0.6 of its words in order are enough; 0.4 are not."""
+    item = "which of these seven rivers flows north through the old town before it meets the sea"
+    reworded = "which of these seven streams runs north through the ancient town before it joins the ocean"
+    other = "which of my two rivers flows south past some old mill until rain fills a lake"
+    assert decontam._item(1, item).answer == [] and decontam._item(1, item + "?").answer == []
+    assert decontam._item(1, "Who came? The duke.").answer == [b"the", b"duke"]
+    assert decontam._item(1, "Who came\nthe duke").answer == [b"the", b"duke"]
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, f"noise here {reworded} more noise"), (2, f"noise here {other} more noise"), (3, f"noise {item} noise")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    searchers = decontam.searchers(docs, benchmark)
+    assert {r["doc_id"]: r["kind"] for r in decontam.find_leaks(docs, searchers).collect()} == {1: "paraphrase", 3: "copy"}
+    assert [r["doc_id"] for r in decontam.drop_leaks(docs, searchers).collect()] == [2]
