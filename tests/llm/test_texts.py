@@ -301,3 +301,33 @@ def test_reworded_item_of_one_sentence(spark):
     searchers = decontam.searchers(docs, benchmark)
     assert {r["doc_id"]: r["kind"] for r in decontam.find_leaks(docs, searchers).collect()} == {1: "paraphrase", 3: "copy"}
     assert [r["doc_id"] for r in decontam.drop_leaks(docs, searchers).collect()] == [2]
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    """Items below 8 words are found word for word; passages without blanks by pairs of signs."""
+    chinese = "北京的秋天天气凉爽，香山的红叶吸引了许多来自各地的游客前往观赏"
+    thai = "ประเทศไทยมีแม่น้ำสายสำคัญหลายสายไหลผ่านที่ราบลุ่มภาคกลาง"
+    japanese = "日本で一番高い山はどこですか。富士山です"
+    items = [(1, "Capital of France?\nParis"), (2, chinese), (3, thai), (4, japanese), (5, "Yes"), (6, "红叶"), (7, " — "), (8, "Paris Paris")]
+    assert decontam.words("A “b” c—d… 天气很") == [x.encode() for x in ("a", "b", "c", "d", "天气", "气很")]
+    assert decontam.words("हिन्दी été") == ["हिन्दी".encode(), "été".encode()]
+    filler = "nothing of any note is said in this row of plain words " * 4
+    texts = [
+        f"{filler} the capital of france: paris {filler}",
+        f"{filler} the capital of old france is paris {filler}",
+        f"他说过{chinese}这句话。" + "今年的经济增长速度比去年更快一些。" * 5,
+        f"{filler} {thai} {filler}",
+        f"「{japanese}」と言いました",
+        "今年的经济增长速度比去年更快一些，专家认为明年会继续保持稳定。" * 5,
+        f"{filler} yes, it is {filler}",
+        None,
+        f"「{japanese.replace('。', '')}」",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for kept in (items, [x for x in items if x[0] in (1, 5)]):
+        searchers = decontam.searchers(docs, spark.createDataFrame(kept, "item_id long, text string"))
+        found = decontam.find_leaks(docs, searchers).collect()
+        want = {(0, 1), (2, 2), (2, 6), (3, 3), (4, 4), (6, 5), (8, 4)}
+        assert {(r["doc_id"], r["item_id"]) for r in found} == {x for x in want if x[1] in dict(kept)}
+        assert {r["kind"] for r in found} == {"copy"}
+        assert next((r["first_word"], r["last_word"]) for r in found if r["item_id"] == 1) == (49, 52)
