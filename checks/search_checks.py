@@ -343,24 +343,25 @@ def describe_workbooks(spark, d):
 ROUTED_SHEETS = ["part", "supplier", "customer", "nation", "region", "orders"]
 
 
-def routed(spark, d, force=None):
+def routed(spark, d, force=None, k=10, count_all=False):
     cells = edged_cells(spark, d)
     columns, sheets, books = map(settled, g.profile(cells))
     searched = clean_cells(spark, d, *ROUTED_SHEETS)
     return g.route_queries(
-        asked(spark, d), searched, settled(g.build_header_postings(columns)), sheets, books, force=force, k=10
+        asked(spark, d), searched, settled(g.build_header_postings(columns)), sheets, books, force=force, k=k, count_all=count_all
     )
 
 
 ROUTED_CELLS = clean_cells_sql(*ROUTED_SHEETS)
 TOP_CELLS = """SELECT * EXCLUDE (query), CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, source, sheet, row, col) AS BIGINT) AS rank
     FROM ({found}) QUALIFY rank <= 10"""
+ALL_CELLS = TOP_CELLS.replace(" QUALIFY rank <= 10", "")
 
 
-def routed_cells_sql(rows: str) -> str:
-    """The best cells of queries, found once per distinct text."""
+def routed_cells_sql(rows: str, ranked: str) -> str:
+    """The best cells of queries, or all, found once per distinct text."""
     texts = f"SELECT DISTINCT query AS query_id, query FROM ({rows})"
-    top = TOP_CELLS.format(found=found_sql(texts, ROUTED_CELLS))
+    top = ranked.format(found=found_sql(texts, ROUTED_CELLS))
     return f"SELECT a.query_id, t.* EXCLUDE (query_id) FROM ({rows}) a JOIN ({top}) t ON t.query_id = a.query"
 
 
@@ -369,13 +370,13 @@ def routed_columns_sql(rows: str) -> str:
     return f"SELECT a.query_id, t.* EXCLUDE (query_id) FROM ({rows}) a JOIN ({columns_sql(texts, HEADER_POSTINGS)}) t ON t.query_id = a.query"
 
 
-def matches_sql(force: str | None) -> str:
+def matches_sql(force: str | None, ranked: str = TOP_CELLS) -> str:
     head = f"WITH cq AS ({class_sql(ASKED)})"
     cells_of = "SELECT * FROM cq" if force == "cells" else "SELECT * FROM cq WHERE query_class IN ('content_search', 'pattern_match')"
     parts = []
     if force != "index":
         parts.append(
-            f"SELECT query_id, 'cell' AS match_type, source, sheet AS name, cell_ref AS place, value AS found, confidence, rank FROM ({routed_cells_sql(cells_of)})"
+            f"SELECT query_id, 'cell' AS match_type, source, sheet AS name, cell_ref AS place, value AS found, confidence, rank FROM ({routed_cells_sql(cells_of, ranked)})"
         )
     if force != "cells":
         columns = routed_columns_sql("SELECT * FROM cq WHERE query_class = 'column_lookup'")
@@ -394,11 +395,11 @@ def matches_sql(force: str | None) -> str:
     return f"{head} SELECT * FROM ({body}) x({names})"
 
 
-def summary_sql(force: str | None) -> str:
+def summary_sql(force: str | None, ranked: str = TOP_CELLS) -> str:
     none = lexicon.NO_RESULT_MESSAGE if force is None else f"No matches with {force}"
     index = "query_class IN ('column_lookup', 'sheet_lookup', 'metadata_query')"
     tier = quote(force) if force else f"CASE WHEN n IS NULL THEN 'complex' WHEN {index} THEN 'index' ELSE 'cells' END"
-    return f"""WITH ms AS (SELECT query_id, count(*) AS n, avg(confidence) AS a FROM ({matches_sql(force)}) GROUP BY 1)
+    return f"""WITH ms AS (SELECT query_id, count(*) AS n, avg(confidence) AS a FROM ({matches_sql(force, ranked)}) GROUP BY 1)
     SELECT query_id, query, query_class, {tier} AS tier, coalesce(n, 0) AS n_matches, round(coalesce(a, 0), 5) AS avg_confidence,
       CASE WHEN n IS NULL THEN {quote(none)} END AS message
     FROM ({class_sql(ASKED)}) LEFT JOIN ms USING (query_id)"""
@@ -441,3 +442,29 @@ def route_queries_forced_to_index(spark, d):
 @check(summary_sql("cells"))
 def route_queries_forced_to_cells(spark, d):
     return routed(spark, d, "cells")[1].withColumn("avg_confidence", F.round("avg_confidence", 5))
+
+
+@check(matches_sql(None, ALL_CELLS))
+def route_queries_whole(spark, d):
+    return told(routed(spark, d, k=None)[0])
+
+
+@check(summary_sql(None, ALL_CELLS))
+def route_queries_whole_summary(spark, d):
+    return routed(spark, d, k=None)[1].withColumn("avg_confidence", F.round("avg_confidence", 5))
+
+
+@check(summary_sql("cells", ALL_CELLS))
+def route_queries_whole_forced_to_cells(spark, d):
+    return routed(spark, d, "cells", k=None)[1].withColumn("avg_confidence", F.round("avg_confidence", 5))
+
+
+@check(matches_sql(None))
+def route_queries_top(spark, d):
+    return told(routed(spark, d, count_all=True)[0])
+
+
+@check(summary_sql(None, ALL_CELLS))
+def route_queries_top_summary(spark, d):
+    """Ten cells a query, but all of them counted."""
+    return routed(spark, d, count_all=True)[1].withColumn("avg_confidence", F.round("avg_confidence", 5))

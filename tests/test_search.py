@@ -242,3 +242,21 @@ def test_whole_words_by_place_and_by_expression(spark):
     quoted = F.concat(F.lit("\\Q"), F.replace("word", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     plain = F.rlike("subject", F.concat(F.lit(AT_EDGE), quoted, F.lit(AT_EDGE)))
     assert df.where(has_whole_word(F.col("subject"), F.col("word")) != plain).count() == 0
+
+
+def test_routing_counts_beyond_the_best(spark, make_cells, make_queries):
+    cells = make_cells([(1, 1, "p_name")] + [(r, 1, f"cold widget {r}") for r in range(2, 27)], sheet="part")
+    columns, sheets, books = g.profile(cells)
+    index = (g.build_header_postings(columns), sheets, books)
+    matches, summary = g.route_queries(make_queries("cold widget"), cells, *index, k=10, count_all=True)
+    assert sorted(r["rank"] for r in matches.collect()) == list(range(1, 11))
+    assert [r["n_matches"] for r in summary.collect()] == [25]
+
+
+def test_registered_routing_counts_all_matches(spark, data):
+    from checks import search_checks
+
+    whole = search_checks.route_queries_whole_summary(spark, data)
+    most = whole.where("tier = 'cells'").agg(F.max("n_matches")).first()[0]
+    assert most > 10
+    assert search_checks.route_queries_whole(spark, data).where("match_type = 'cell'").agg(F.max("rank")).first()[0] == most
