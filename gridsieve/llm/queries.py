@@ -8,7 +8,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, language, licenses, line_dedup, packing, sharding, simhash, sketches, warc, wordpiece
+from . import (
+    bytepairs, decontam, language, licenses, line_dedup, packing, repeats, sharding, simhash, sketches, warc, whitening, wordpiece,
+)
 from .common import load, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +121,37 @@ FROM marked GROUP BY doc_id
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return decontam.find_leaks(docs, decontam.searchers(docs, load(spark, sf_dir, "benchmark")))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.by_component(whitening.whiten(vectors, whitening.fit_axes(vectors)))
+
+
+@query
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bytepairs.Ranks.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bytepairs.encode(load(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2(bytepairs.decode(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = repeats.with_planted_runs(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = repeats.collapse_runs(docs).withColumn("best", repeats.longest(F.col("runs")))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
