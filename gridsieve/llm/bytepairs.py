@@ -8,17 +8,16 @@ ones is folded where it stands, and one of very many bytes is merged with a heap
 from __future__ import annotations
 
 import base64
-import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
@@ -30,39 +29,69 @@ COMMON = 262_144  # words encoded ahead and held by every worker, at most
 COMMON_BYTES = 48  # longer words are never held
 LONG = 128  # bytes of a word from which on it is merged with a heap
 COUNTED = 200_000  # different words that a task counts before it hands them on
-BUCKETS = 1 << 15
+SECOND = 30  # where the second place begins within a hash
 HOLE = -1
-EVERY = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+
+
+def every_sign() -> str:
+    return "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
 
 
 def _matched(pattern: str) -> set[str]:
     """The signs that a class of the encoder's own regular expressions holds."""
     single = tiktoken.Encoding("signs", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
-    return set(bytes(single.encode_ordinary(EVERY)).decode())
+    return set(bytes(single.encode_ordinary(every_sign())).decode())
+
+
+def _ranges(signs: set[str]) -> str:
+    """Signs as the inside of a class of a regular expression."""
+    codes = np.array(sorted(map(ord, signs)))
+    cuts = np.flatnonzero(np.diff(codes) > 1) + 1
+    return "".join(f"\\U{x[0]:08x}-\\U{x[-1]:08x}" for x in np.split(codes, cuts))
+
+
+def _spelled(pattern: str, classes: dict[str, str]) -> str:
+    """A pattern with its named classes spelled out as ranges."""
+    out, inside = [], False
+    for part in re.findall(r"\\[pP]\{\w+\}|\\.|.", pattern, re.DOTALL):
+        if part in ("[", "]"):
+            inside = part == "["
+        if part in classes:
+            part = classes[part] if inside else f"[{classes[part]}]"
+        elif part == r"\S":
+            part = f"[^{classes[chr(92) + 's']}]"
+        out.append(part)
+    return "".join(out)
 
 
 class Splitter:
-    """Words of a text as the encoder cuts them; its tables of letters may be older than those of ``regex``."""
-
-    def __init__(self, pattern: str):
-        self.pattern = pattern
-        self.plain = regex.compile(pattern)
-        newer = {c: sorted(set(regex.findall(c, EVERY)) - _matched(c)) for c in (r"\p{L}", r"\p{N}") if c in pattern}
-        strict = pattern
-        for name, signs in newer.items():
-            if signs:
-                strict = strict.replace(name, f"[{name}--[{''.join(signs)}]]")
-        self.strict = regex.compile(strict, regex.V1)
-        signs = "".join(map(re.escape, chain(*newer.values())))
-        self.odd = re.compile(f"[{signs}]" if signs else r"(?!)")
+    """Words of a text as the encoder cuts them.
+
+    Letters, numbers and blanks are what they are to the encoder's own library, whose tables differ from those of
+    Python.  They are spelled out up to U+FFFF; for signs beyond it others of their class stand in while the
+    text is cut, so a pattern may name such signs by their class only.
+    """
+
+    def __init__(self, pattern: str, classes: dict[str, str] | None = None, far: dict[int, str] | None = None):
+        if classes is None:
+            signs = {c: _matched(c) for c in (r"\s", r"\p{L}", r"\p{N}")}
+            classes = {c: _ranges({x for x in s if x < "\U00010000"}) for c, s in signs.items()}
+            far = {c: _ranges({x for x in signs[c] if x >= "\U00010000"}) for c in (r"\p{L}", r"\p{N}")}
+        self.parts = pattern, classes, far
+        self.near = re.compile(_spelled(pattern, classes))
+        self.beyond = re.compile("[\U00010000-\U0010ffff]")
+        letters, numbers = (re.compile(f"[{far[c]}]") for c in (r"\p{L}", r"\p{N}"))
+        self.stand_in = cache(lambda x: "\u00aa" if letters.match(x) else "\u00b2" if numbers.match(x) else "\u00a4")
 
     def __reduce__(self):
-        return Splitter, (self.pattern,)
+        return Splitter, self.parts
 
-    def words(self, text: str) -> list[str]:
-        if not text.isascii() and self.odd.search(text):
-            return self.strict.findall(text)
-        return self.plain.findall(text)
+    def words(self, text: bytes) -> list[str]:
+        if not text or np.frombuffer(text, np.uint8).max() < 0xF0:
+            return self.near.findall(text.decode())
+        whole = text.decode()
+        alike = self.beyond.sub(lambda m: self.stand_in(m[0]), whole)
+        return [whole[m.start() : m.end()] for m in self.near.finditer(alike)]
 
 
 @dataclass
@@ -77,13 +106,29 @@ class Ranks:
         with open(path, "rb") as f:
             return Ranks({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
-    def literal(self) -> Column:
-        """The rank map, dealt to buckets by a hash of the piece, as a constant that Spark folds once."""
-        buckets: list[list[dict]] = [[] for _ in range(BUCKETS)]
-        for piece, rank in self.ids.items():
-            bucket = xxhash.xxh64_intdigest(piece, seed=42) % BUCKETS
-            buckets[bucket].append({"p": base64.b64encode(piece).decode(), "r": rank})
-        return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<struct<p:binary,r:int>>>")
+    def literal(self) -> RankMap:
+        """The rank map as constants that Spark folds once: all pairs of tokens that make a token.
+
+        A pair lies in one of two tables, in each at a place that a part of its hash gives (cuckoo hashing).
+        """
+        id_bits = max(max(self.ids.values()).bit_length(), 1)
+        pairs = [
+            ((self.ids[piece[:i]] + 1 << id_bits | self.ids[piece[i:]]) << id_bits | rank)
+            for piece, rank in self.ids.items() for i in range(1, len(piece)) if piece[:i] in self.ids and piece[i:] in self.ids
+        ]
+        bits = max(len(pairs) * 5 // 4, 2).bit_length()
+        tables: tuple[list, list] = ([None] * (1 << bits), [None] * (1 << bits))
+        for entry in pairs:
+            for turn in range(1000):  # the one that was there goes to the other table
+                digest = xxhash.xxh64_intdigest((entry >> id_bits).to_bytes(8, "little"), seed=42)
+                table, slot = tables[turn % 2], (digest >> SECOND * (turn % 2)) & ((1 << bits) - 1)
+                entry, table[slot] = table[slot], entry
+                if entry is None:
+                    break
+            else:
+                raise ValueError("the tables of pairs are too full")
+        one, two = (_constant((x or 0 for x in t), "bigint") for t in tables)
+        return RankMap(one, two, _constant((self.ids[bytes([i])] for i in range(256)), "int"), bits, id_bits)
 
     def hexes(self) -> Column:
         """The pieces by id as a constant array of hexadecimal texts."""
@@ -93,40 +138,77 @@ class Ranks:
         return F.split(F.lit(",".join(pieces)), ",")
 
 
-def rank_of(piece: Column, literal: Column) -> Column:
-    """The rank of a piece, or null where it is no token."""
-    bucket = F.get(literal, F.pmod(F.xxhash64(piece), F.lit(BUCKETS)).cast("int"))
-    return F.get(F.filter(bucket, lambda e: e["p"] == piece), F.lit(0))["r"]
+def _constant(numbers: Iterable[int], kind: str) -> Column:
+    return F.from_json(F.lit(f"[{','.join(map(str, numbers))}]"), f"array<{kind}>")
+
+
+@dataclass
+class RankMap:
+    """Constants: two tables of pairs, the ids of the 256 bytes, the bits of a place and of an id.
+
+    An entry is the ids of a pair, the first of them plus 1, and the rank of the token that they make, next to each other.
+    """
+
+    one: Column
+    two: Column
+    single: Column
+    bits: int
+    id_bits: int
+
+    def pair(self, left: Column, right: Column) -> Column:
+        return F.shiftleft(left.cast("long") + 1, self.id_bits).bitwiseOR(right.cast("long"))
+
+    def rank(self, pair: Column) -> Column:
+        """The rank of the token that a pair of ids makes, or a number beyond all ids.
+
+        Without the pair that was asked for, the entry of that pair is its rank and any other one is large.
+        """
+        mask, asked, h = F.lit((1 << self.bits) - 1), F.shiftleft(pair, self.id_bits), F.xxhash64(pair)
+        found = [F.get(t, x.bitwiseAND(mask).cast("int")) for t, x in ((self.one, h), (self.two, F.shiftrightunsigned(h, SECOND)))]
+        return F.least(*(e.bitwiseXOR(asked) for e in found))
+
+
+def fold_merges(word: Column, ranks: RankMap) -> Column:
+    """Ids of a word: those of its bytes, with the adjacent pair of least rank (the leftmost of equals) merged until none is left.
+
+    Ranks of pairs are kept from step to step; only those of the pairs beside the last merge are looked up.
+    """
+    latin = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")  # a sign for each byte
+    n, none = F.octet_length(word), F.array().cast("array<bigint>")
+    single = F.transform(latin, lambda c: F.get(ranks.single, F.ascii(c)))
 
+    def state(ids: Column, left: Column, ask: Column, right: Column) -> Column:
+        return F.struct(ids.alias("ids"), left.alias("left"), ask.alias("ask"), right.alias("right"))
 
-def fold_merges(word: Column, literal: Column) -> Column:
-    """Ids of a word: its bytes, with the adjacent pair of least rank (the leftmost of equals) merged until none is left."""
-    content = F.encode(word, "UTF-8")
-    pieces = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.substring(content, i, F.lit(1)))
+    def begun(ids: Column) -> Column:
+        pairs = F.slice(F.zip_with(ids, F.slice(ids, 2, n), ranks.pair), 1, n - 1)  # the last id has no partner
+        return state(ids, none, pairs, none)
 
-    def ranked(pieces: Column, last: Column) -> Column:
-        """Pieces with the ranks of all pairs; without pairs, or once nothing was merged, there are none."""
-        pairs = F.sequence(F.lit(1), last)
-        ranks = F.transform(pairs, lambda i: rank_of(F.concat(F.get(pieces, i - 1), F.get(pieces, i)), literal))
-        return F.when(last > 0, ranks)
+    def merged(old: Column, _: Column) -> Column:
+        ids = old["ids"]
+        known = F.concat(old["left"], F.transform(old["ask"], ranks.rank), old["right"])
 
-    def merged(state: Column, _: Column) -> Column:
-        pieces = state["pieces"]
-        ranks = F.when(state["open"], ranked(pieces, F.size(pieces) - 1))
+        def at(known: Column, i: Column) -> Column:
+            """The state with the pair at place ``i`` (from 1) made one."""
+            new = F.get(known, i - 1).cast("int")
+            before = F.when(i > 1, F.array(ranks.pair(F.get(ids, i - 2), new))).otherwise(none)
+            after = F.when(i < F.size(known), F.array(ranks.pair(new, F.get(ids, i + 1)))).otherwise(none)
+            return state(
+                F.concat(F.slice(ids, F.lit(1), i - 1), F.array(new), F.slice(ids, i + 2, n)),
+                F.slice(known, F.lit(1), F.greatest(i - 2, F.lit(0))), F.concat(before, after), F.slice(known, i + 2, n),
+            )
 
-        def at(found: Column) -> Column:
-            """The pieces with those at place ``found`` and after it as one."""
-            joined = F.array(F.concat(F.get(pieces, found - 1), F.get(pieces, found)))
-            return F.concat(F.slice(pieces, F.lit(1), found - 1), joined, F.slice(pieces, found + 1 + 1, F.size(pieces)))
+        def step(known: Column) -> Column:
+            least = F.array_min(known)
+            place = F.array(F.array_position(known, least).cast("int"))
+            done = F.get(F.transform(place, lambda i: at(known, i)), F.lit(0))
+            return F.when(least < (1 << ranks.id_bits), done).otherwise(state(ids, known, none, none))
 
-        place = F.transform(F.array(ranks), lambda r: F.coalesce(F.array_position(r, F.array_min(r)), F.lit(0)).cast("int"))
-        new = F.transform(place, lambda i: F.struct(F.when(i > 0, at(i)).otherwise(pieces).alias("pieces"), (i > 0).alias("open")))
-        return F.when(state["open"], F.get(new, F.lit(0))).otherwise(state)
+        return F.get(F.transform(F.array(known), step), F.lit(0))
 
-    start = F.struct(pieces.alias("pieces"), F.lit(True).alias("open"))
-    done = F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, merged, lambda s: s["pieces"])
-    ids = F.transform(done, lambda p: rank_of(p, literal))
-    return F.when(F.octet_length(word) > 0, ids).otherwise(F.array().cast("array<int>"))
+    start = F.get(F.transform(F.array(single), begun), F.lit(0))
+    folded = F.aggregate(latin, start, merged, lambda s: s["ids"])
+    return F.when(n > 0, folded).otherwise(F.array().cast("array<int>"))
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -167,7 +249,7 @@ def count_words(docs: DataFrame, splitter: Splitter, text_col: str = "text") ->
         cut, held = shared.value.words, Counter()
         for batch in batches:
             for text in raw(batch.column(0)):
-                held.update(cut(text.decode()))
+                held.update(cut(text))
                 if len(held) >= COUNTED:
                     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(held.values(), pa.int64())], schema=schema)
                     held.clear()
@@ -245,7 +327,7 @@ def encode(
             texts, lengths, holes = [], [], []
             for text in raw(batch.column(0)):
                 codes.missed = []
-                ids = list(chain.from_iterable(map(codes.__getitem__, cut(text.decode()))))
+                ids = list(chain.from_iterable(map(codes.__getitem__, cut(text))))
                 open_holes = []
                 if codes.missed:
                     at = np.flatnonzero(np.array(ids) == HOLE).tolist()
