@@ -27,10 +27,10 @@ from .common import optional, raw, ship
 
 COMMON = 262_144  # words encoded ahead and held by every worker, at most
 COMMON_BYTES = 48  # longer words are never held
-LONG = 128  # bytes of a word from which on it is merged with a heap
+LONG = 64  # bytes of a word from which on it is merged with a heap
 COUNTED = 200_000  # different words that a task counts before it hands them on
 SECOND = 30  # where the second place begins within a hash
-HOLE = -1
+HOLE = b"\xff\xff\xff\xff"  # -1, where an id would be
 
 
 def every_sign() -> str:
@@ -169,46 +169,27 @@ class RankMap:
 
 
 def fold_merges(word: Column, ranks: RankMap) -> Column:
-    """Ids of a word: those of its bytes, with the adjacent pair of least rank (the leftmost of equals) merged until none is left.
-
-    Ranks of pairs are kept from step to step; only those of the pairs beside the last merge are looked up.
-    """
+    """Ids of a word: those of its bytes, with the adjacent pair of least rank (the leftmost of equals) merged until none is left."""
     latin = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")  # a sign for each byte
-    n, none = F.octet_length(word), F.array().cast("array<bigint>")
-    single = F.transform(latin, lambda c: F.get(ranks.single, F.ascii(c)))
+    gone, ended = F.lit(-1), F.lit(-2)  # an id merged into the one before it; the mark of a word that is done
 
-    def state(ids: Column, left: Column, ask: Column, right: Column) -> Column:
-        return F.struct(ids.alias("ids"), left.alias("left"), ask.alias("ask"), right.alias("right"))
-
-    def begun(ids: Column) -> Column:
-        pairs = F.slice(F.zip_with(ids, F.slice(ids, 2, n), ranks.pair), 1, n - 1)  # the last id has no partner
-        return state(ids, none, pairs, none)
-
-    def merged(old: Column, _: Column) -> Column:
-        ids = old["ids"]
-        known = F.concat(old["left"], F.transform(old["ask"], ranks.rank), old["right"])
-
-        def at(known: Column, i: Column) -> Column:
-            """The state with the pair at place ``i`` (from 1) made one."""
-            new = F.get(known, i - 1).cast("int")
-            before = F.when(i > 1, F.array(ranks.pair(F.get(ids, i - 2), new))).otherwise(none)
-            after = F.when(i < F.size(known), F.array(ranks.pair(new, F.get(ids, i + 1)))).otherwise(none)
-            return state(
-                F.concat(F.slice(ids, F.lit(1), i - 1), F.array(new), F.slice(ids, i + 2, n)),
-                F.slice(known, F.lit(1), F.greatest(i - 2, F.lit(0))), F.concat(before, after), F.slice(known, i + 2, n),
-            )
+    def merged(ids: Column, _: Column) -> Column:
+        pairs = F.zip_with(ids, F.slice(ids, 2, F.size(ids)), lambda a, b: ranks.rank(ranks.pair(a, b)))  # the last: null
 
-        def step(known: Column) -> Column:
-            least = F.array_min(known)
-            place = F.array(F.array_position(known, least).cast("int"))
-            done = F.get(F.transform(place, lambda i: at(known, i)), F.lit(0))
-            return F.when(least < (1 << ranks.id_bits), done).otherwise(state(ids, known, none, none))
+        def step(least: Column, known: Column) -> Column:
+            i = F.array_position(known, least).cast("int")
+            placed = F.transform(
+                F.array(i), lambda i: F.transform(ids, lambda x, k: F.when(k == i - 1, least.cast("int")).when(k == i, gone).otherwise(x))
+            )
+            whole = F.filter(F.get(placed, F.lit(0)), lambda x: x != gone)
+            return F.when(least < (1 << ranks.id_bits), whole).otherwise(F.array_append(ids, ended))
 
-        return F.get(F.transform(F.array(known), step), F.lit(0))
+        new = F.get(F.transform(F.array(pairs), lambda known: step(F.array_min(known), known)), F.lit(0))
+        return F.when(F.get(ids, F.size(ids) - 1) == ended, ids).otherwise(new)
 
-    start = F.get(F.transform(F.array(single), begun), F.lit(0))
-    folded = F.aggregate(latin, start, merged, lambda s: s["ids"])
-    return F.when(n > 0, folded).otherwise(F.array().cast("array<int>"))
+    single = F.transform(latin, lambda c: F.get(ranks.single, F.ascii(c)))
+    folded = F.aggregate(latin, single, merged, lambda ids: F.filter(ids, lambda x: x >= 0))
+    return F.when(F.octet_length(word) > 0, folded).otherwise(F.array().cast("array<int>"))
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -275,11 +256,11 @@ def common_words(counts: DataFrame, most: int = COMMON) -> DataFrame:
 
 
 class _Codes(dict):
-    """Ids of words; a word that is not there leaves a hole and is noted."""
+    """Ids of words as bytes; a word that is not there leaves a hole and is noted."""
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> bytes:
         self.missed.append(word)
-        return (HOLE,)
+        return HOLE
 
 
 @dataclass
@@ -292,7 +273,8 @@ class _Held:
 
     def codes(self) -> _Codes:
         if not hasattr(self, "built"):
-            self.built = _Codes(zip(self.words, map(tuple, np.split(self.ids, self.ends[:-1])), strict=True)) if self.words else _Codes()
+            data, ends = self.ids.astype("<i4").tobytes(), [0, *(4 * self.ends).tolist()]
+            self.built = _Codes((w, data[a:b]) for w, a, b in zip(self.words, ends, ends[1:], strict=False))
         return self.built
 
 
@@ -327,19 +309,19 @@ def encode(
             texts, lengths, holes = [], [], []
             for text in raw(batch.column(0)):
                 codes.missed = []
-                ids = list(chain.from_iterable(map(codes.__getitem__, cut(text))))
+                ids = np.frombuffer(b"".join(map(codes.__getitem__, cut(text))), "<i4")
                 open_holes = []
                 if codes.missed:
-                    at = np.flatnonzero(np.array(ids) == HOLE).tolist()
+                    at = np.flatnonzero(ids < 0).tolist()
                     far = {i: heap_merges(w.encode(), known) for i, w in zip(at, codes.missed, strict=True) if len(w.encode()) > long}
-                    shift = 0
+                    grown = 0
                     for i, word in zip(at, codes.missed, strict=True):
                         if i in far:
-                            ids[i + shift : i + shift + 1] = far[i]
-                            shift += len(far[i]) - 1
+                            ids = np.concatenate([ids[: i + grown], np.array(far[i], "<i4"), ids[i + grown + 1 :]])
+                            grown += len(far[i]) - 1
                         else:
-                            open_holes.append({"at": i + shift, "word": word})
-                texts.append(np.array(ids, np.int32))
+                            open_holes.append({"at": i + grown, "word": word})
+                texts.append(ids)
                 lengths.append(len(ids))
                 holes.append(open_holes)
             offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
