@@ -29,6 +29,7 @@ COMMON = 262_144  # words encoded ahead and held by every worker, at most
 COMMON_BYTES = 48  # longer words are never held
 LONG = 64  # bytes of a word from which on it is merged with a heap
 COUNTED = 200_000  # different words that a task counts before it hands them on
+PLACE_BITS = 24  # of a byte in a word that is folded
 SECOND = 30  # where the second place begins within a hash
 HOLE = b"\xff\xff\xff\xff"  # -1, where an id would be
 
@@ -128,7 +129,10 @@ class Ranks:
             else:
                 raise ValueError("the tables of pairs are too full")
         one, two = (_constant((x or 0 for x in t), "bigint") for t in tables)
-        return RankMap(one, two, _constant((self.ids[bytes([i])] for i in range(256)), "int"), bits, id_bits)
+        single = [self.ids[bytes([i])] for i in range(256)]
+        none = 1 << id_bits
+        of_bytes = _constant((self.ids.get(bytes([i, j]), none) for i in range(256) for j in range(256)), "bigint")
+        return RankMap(one, two, _constant(single, "bigint"), of_bytes, bits, id_bits)
 
     def hexes(self) -> Column:
         """The pieces by id as a constant array of hexadecimal texts."""
@@ -144,7 +148,7 @@ def _constant(numbers: Iterable[int], kind: str) -> Column:
 
 @dataclass
 class RankMap:
-    """Constants: two tables of pairs, the ids of the 256 bytes, the bits of a place and of an id.
+    """Constants: two tables of pairs, the ids of the 256 bytes, the ranks of all pairs of bytes, the bits of a place and of an id.
 
     An entry is the ids of a pair, the first of them plus 1, and the rank of the token that they make, next to each other.
     """
@@ -152,6 +156,7 @@ class RankMap:
     one: Column
     two: Column
     single: Column
+    of_bytes: Column
     bits: int
     id_bits: int
 
@@ -169,26 +174,43 @@ class RankMap:
 
 
 def fold_merges(word: Column, ranks: RankMap) -> Column:
-    """Ids of a word: those of its bytes, with the adjacent pair of least rank (the leftmost of equals) merged until none is left."""
+    """Ids of a word: those of its bytes, with the adjacent pair of least rank (the leftmost of equals) merged until none is left.
+
+    A piece is one long: the rank of what it and the next piece make, its first byte's place in the word, its id.
+    The least of them is the next merge; it changes two pieces, and all others are copied.
+    """
+    id_bits = ranks.id_bits
+    shift, none = id_bits + PLACE_BITS, F.lit(1 << id_bits)
+    low, ids = F.lit((1 << shift) - 1), F.lit((1 << id_bits) - 1)
     latin = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")  # a sign for each byte
-    gone, ended = F.lit(-1), F.lit(-2)  # an id merged into the one before it; the mark of a word that is done
 
-    def merged(ids: Column, _: Column) -> Column:
-        pairs = F.zip_with(ids, F.slice(ids, 2, F.size(ids)), lambda a, b: ranks.rank(ranks.pair(a, b)))  # the last: null
+    def made(left: Column, right: Column) -> Column:
+        return F.shiftleft(F.least(ranks.rank(ranks.pair(left, right)), none), shift)  # without a right piece: none
 
-        def step(least: Column, known: Column) -> Column:
-            i = F.array_position(known, least).cast("int")
-            placed = F.transform(
-                F.array(i), lambda i: F.transform(ids, lambda x, k: F.when(k == i - 1, least.cast("int")).when(k == i, gone).otherwise(x))
+    def merged(pieces: Column, _: Column) -> Column:
+        def at(least: Column, i: Column) -> Column:
+            new = F.shiftrightunsigned(least, shift)
+            before, after = F.get(pieces, i - 2), F.get(pieces, i + 1)
+            changed = F.array(
+                made(before.bitwiseAND(ids), new).bitwiseOR(before.bitwiseAND(low)),
+                made(new, after.bitwiseAND(ids)).bitwiseOR(least.bitwiseAND(low).bitwiseXOR(least.bitwiseAND(ids))).bitwiseOR(new),
             )
-            whole = F.filter(F.get(placed, F.lit(0)), lambda x: x != gone)
-            return F.when(least < (1 << ranks.id_bits), whole).otherwise(F.array_append(ids, ended))
+            first = F.greatest(i - 2, F.lit(0))
+            return F.concat(F.slice(pieces, 1, first), F.array_compact(changed), F.slice(pieces, i + 2, F.size(pieces)))
+
+        def step(least: Column) -> Column:
+            done = F.transform(F.array(F.array_position(pieces, least).cast("int")), lambda i: at(least, i))
+            return F.when(least < F.lit(1 << id_bits + shift), F.get(done, F.lit(0))).otherwise(pieces)
+
+        return F.get(F.transform(F.array(F.array_min(pieces)), step), F.lit(0))
 
-        new = F.get(F.transform(F.array(pairs), lambda known: step(F.array_min(known), known)), F.lit(0))
-        return F.when(F.get(ids, F.size(ids) - 1) == ended, ids).otherwise(new)
+    def piece(byte: Column, i: Column, signs: Column) -> Column:
+        beside = F.get(ranks.of_bytes, byte * 256 + F.ascii(F.get(signs, i + 1)))
+        rank = F.shiftleft(F.coalesce(beside, none), shift)
+        return rank.bitwiseOR(F.shiftleft(i.cast("long"), id_bits)).bitwiseOR(F.get(ranks.single, byte))
 
-    single = F.transform(latin, lambda c: F.get(ranks.single, F.ascii(c)))
-    folded = F.aggregate(latin, single, merged, lambda ids: F.filter(ids, lambda x: x >= 0))
+    begun = F.transform(F.array(latin), lambda signs: F.transform(signs, lambda c, i: piece(F.ascii(c), i, signs)))
+    folded = F.aggregate(latin, F.get(begun, F.lit(0)), merged, lambda x: F.transform(x, lambda y: y.bitwiseAND(ids).cast("int")))
     return F.when(F.octet_length(word) > 0, folded).otherwise(F.array().cast("array<int>"))
 
 
