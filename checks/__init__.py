@@ -26,6 +26,7 @@ def check(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 def load_all() -> None:
     from . import (  # noqa: F401
         cell_checks,
+        compare_checks,
         index_checks,
         profile_checks,
         ref_checks,

@@ -1,5 +1,6 @@
 """Search and profile the cells of workbooks and tables with Spark."""
 
+from .operators.blocks import data_ranges
 from .operators.cells import (
     cap_columns,
     clean_values,
@@ -12,6 +13,8 @@ from .operators.cells import (
     trim_to_used,
     truncate_values,
 )
+from .operators.compare import compare_sheets
+from .operators.fuzzy import fuzzy_cells, fuzzy_headers, similar_texts
 from .operators.postings import (
     build_cell_postings,
     build_content_postings,
