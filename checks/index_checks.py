@@ -102,6 +102,22 @@ def save_and_load_index(spark, d):
     return g.load_index(spark, path)["header_postings"]
 
 
+@check(
+    f"SELECT * FROM ({HEADER_POSTINGS}) WHERE source NOT IN ('people.xlsx', 'goods.xlsx') "
+    "OR (source = 'people.xlsx' AND sheet_name = 'customer' AND column_index = 1)"
+)
+def save_index_again(spark, d):
+    """Saved twice, the second time with fewer columns of one workbook and no tokens of another, then compacted."""
+    path = scratch(spark)
+    columns = column_profile(spark, d)
+    g.save_index({"column_profile": columns, "header_postings": g.build_header_postings(columns)}, path)
+    fewer = columns.where("source = 'goods.xlsx' OR (source = 'people.xlsx' AND sheet_name = 'customer' AND column_index = 1)")
+    tokens = g.build_header_postings(fewer.where("source = 'people.xlsx'"))
+    g.save_index({"column_profile": fewer, "header_postings": tokens}, path)
+    g.compact_index(spark, path)
+    return g.load_index(spark, path)["header_postings"]
+
+
 @check(f"SELECT * FROM ({HEADER_POSTINGS}) WHERE source <> 'people.xlsx' AND token IN ('name', 'price', 'nationkey')")
 def drop_sources(spark, d):
     path = scratch(spark)

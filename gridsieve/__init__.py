@@ -79,6 +79,6 @@ from .operators.tokens import (
 )
 from .plans.routing import classify_queries, route_queries
 from .sources.celltext import cell_lines, parse_cells, parse_lines, read_cell_text, write_cell_text
-from .sources.index import changed_files, drop_sources, invalidate, load_index, save_index
+from .sources.index import changed_files, compact_index, drop_sources, invalidate, load_index, save_index
 from .sources.tables import table_lines, table_to_cells
 from .sources.workbooks import list_workbooks, open_workbooks, read_workbooks, split_rejects

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.sizing import broadcast_if_small, shuffle_partitions
@@ -35,28 +36,52 @@ def invalidate(table: DataFrame, sources: DataFrame) -> DataFrame:
     return table.join(broadcast_if_small(gone), "source", "left_anti")
 
 
-def save_index(tables: dict[str, DataFrame], path: str) -> None:
-    """Add index tables, replacing only the sources at hand.
+def save_index(tables: dict[str, DataFrame], path: str, sources: DataFrame | None = None) -> None:
+    """Add index tables, replacing only the sources at hand in all of them.
+
+    A source that any of the tables holds counts as saved anew in each: where it has no rows now, its
+    former rows are no longer seen.  ``sources``, a table with a column ``source``, names some more of them, such as
+    workbooks that came to have no rows at all.
 
     Each saving is a generation with folders by a hash of the token (of the source, where there are
     no tokens), its files sorted within, so that a lookup of a token reads one folder and skips most of it.
-    Which generation of a source counts is written last: a saving that fails is never seen, and
-    older rows of a source stay in their files unread.  One writer at a time.
+    Which generation of a source counts is written last: a saving that fails is never seen, and the next one takes its
+    place.  Older rows stay in their files unread until ``compact_index``.  One writer at a time.
     """
     spark = next(iter(tables.values())).sparkSession
     generation = _next_generation(spark, path)
-    sources = []
     for name, df in tables.items():
-        order = INDEX_TABLES[name]
-        bucketed = df.withColumn("bucket", _bucket(F.col(order[0])))
-        (
-            bucketed.repartitionByRange(shuffle_partitions(spark), "bucket", *order)
-            .sortWithinPartitions("bucket", *order)
-            .write.partitionBy("bucket")
-            .parquet(f"{path}/{name}/generation={generation}")
-        )
-        sources.append(df.select(F.lit(name).alias("table"), "source").distinct())
-    _add_live(reduce(DataFrame.union, sources), path, generation)
+        _write(df, path, name, generation)
+    # from the files: no table is computed a second time
+    found = [spark.read.schema(df.schema).parquet(_folder(path, name, generation)).select("source") for name, df in tables.items()]
+    saved = reduce(DataFrame.union, [*found, *([sources.select("source")] if sources is not None else [])]).distinct()
+    _add_live(saved, list(tables), path, generation)
+
+
+def compact_index(spark: SparkSession, path: str) -> None:
+    """Write what counts of all generations as one, and empty the older ones.
+
+    The older files are emptied only when the new generation counts: broken off before, the index is as it was, and
+    after that it holds the same rows, with some files too many until it is compacted again.  One writer at
+    a time, and no reader that has loaded the index before.
+    """
+    live = _read(spark, f"{path}/{LIVE}")
+    if live is None:
+        return
+    generation = _next_generation(spark, path)
+    older = sorted(r[0] for r in live.select("saved").distinct().collect())  # one row a saving
+    tables = load_index(spark, path)
+    kept = []
+    for name, df in tables.items():
+        _write(df, path, name, generation)
+        rows = spark.read.schema(df.schema).parquet(_folder(path, name, generation))
+        kept.append(rows.select(F.lit(name).alias("table"), "source").distinct())
+    if kept:
+        _write_live(reduce(DataFrame.union, kept), path, generation)
+    for old in older:
+        for name, df in tables.items():
+            _write(spark.createDataFrame([], df.schema), path, name, old)
+        _write_live(spark.createDataFrame([], live.drop("saved").schema), path, old)
 
 
 def load_index(
@@ -64,13 +89,12 @@ def load_index(
 ) -> dict[str, DataFrame]:
     """All saved tables by name; ``tokens`` narrows the postings to their buckets and, inside the scan, to
     the tokens."""
-    live = spark.read.parquet(f"{path}/{LIVE}").groupBy("table", "source").agg(F.max("generation").alias("generation"))
+    live = _read(spark, f"{path}/{LIVE}").groupBy("table", "source").agg(F.max("saved").alias("generation"))
     tables = {}
     for name, order in INDEX_TABLES.items():
-        folder = f"{path}/{name}"
-        if not _exists(spark, folder):
+        df = _read(spark, f"{path}/{name}")
+        if df is None:
             continue
-        df = spark.read.parquet(folder)
         if tokens is not None and order[0] == "token":
             asked = spark.createDataFrame([(t,) for t in tokens], "token string")
             buckets = [r[0] for r in asked.select(_bucket(F.col("token"))).distinct().collect()]
@@ -85,26 +109,49 @@ def drop_sources(spark: SparkSession, path: str, sources: list[str] | DataFrame)
     """Forget the saved rows of some sources (names or a table with a column ``source``) in every table."""
     if isinstance(sources, list):
         sources = spark.createDataFrame([(s,) for s in sources], "source string")
-    names = F.array(*(F.lit(name) for name in INDEX_TABLES))
-    gone = sources.select(F.explode(names).alias("table"), "source").distinct()
-    _add_live(gone, path, _next_generation(spark, path))
+    _add_live(sources.select("source").distinct(), list(INDEX_TABLES), path, _next_generation(spark, path))
 
 
 def _bucket(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
 
 
-def _add_live(sources: DataFrame, path: str, generation: int) -> None:
-    rows = sources.select("table", "source", F.lit(generation).alias("generation"))
-    rows.write.mode("append").parquet(f"{path}/{LIVE}")
+def _folder(path: str, name: str, generation: int) -> str:
+    return f"{path}/{name}/generation={generation}"
 
 
-def _next_generation(spark: SparkSession, path: str) -> int:
-    if not _exists(spark, f"{path}/{LIVE}"):
-        return 0
-    return spark.read.parquet(f"{path}/{LIVE}").agg(F.max("generation")).first()[0] + 1
+def _write(df: DataFrame, path: str, name: str, generation: int) -> None:
+    order = INDEX_TABLES[name]
+    (
+        df.withColumn("bucket", _bucket(F.col(order[0])))
+        .repartitionByRange(shuffle_partitions(df.sparkSession), "bucket", *order)
+        .sortWithinPartitions("bucket", *order)
+        .write.partitionBy("bucket")
+        .mode("overwrite")  # what a saving that failed has left there
+        .parquet(_folder(path, name, generation))
+    )
+
+
+def _add_live(sources: DataFrame, names: list[str], path: str, generation: int) -> None:
+    tables = F.explode(F.array(*(F.lit(name) for name in names)))
+    _write_live(sources.select(tables.alias("table"), "source"), path, generation)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+def _write_live(rows: DataFrame, path: str, generation: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/{LIVE}/saved={generation}")
+
+
+def _next_generation(spark: SparkSession, path: str) -> int:
+    live = _read(spark, f"{path}/{LIVE}")
+    last = None if live is None else live.agg(F.max("saved")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table, or nothing where there are no files yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise

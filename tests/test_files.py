@@ -164,3 +164,60 @@ def test_index_is_saved_loaded_replaced_and_dropped(spark, make_cells, tmp_path)
     assert {r["source"] for r in g.invalidate(g.load_index(spark, path)["sheet_profile"], gone).collect()} == {"file:/x/b 1.xlsx"}
     g.drop_sources(spark, path, ["file:/x/b 1.xlsx", "nowhere"])
     assert {r["source"] for r in g.load_index(spark, path)["content_postings"].collect()} == {"2023"}
+
+
+def sources_of(spark, path):
+    return {name: sorted({r["source"] for r in df.collect()}) for name, df in g.load_index(spark, path).items()}
+
+
+def test_a_source_that_lost_all_rows_of_a_table(spark, make_cells, tmp_path):
+    path = str(tmp_path / "index")
+    g.save_index(index_of(make_cells, "a", "b"), path)
+    again = index_of(make_cells, "a")
+    again["header_postings"] = again["header_postings"].where("false")
+    g.save_index(again, path)
+    found = sources_of(spark, path)
+    assert found["header_postings"] == ["b"] and found["column_profile"] == ["a", "b"]
+    g.save_index(index_of(make_cells, "c"), path, sources=spark.createDataFrame([("b",)], "source string"))
+    assert sources_of(spark, path) == {n: ["c"] if n == "header_postings" else ["a", "c"] for n in again}
+
+
+def test_compaction(spark, make_cells, tmp_path, monkeypatch):
+    from gridsieve.sources import index
+
+    path = str(tmp_path / "index")
+    monkeypatch.setattr(index, "BUCKETS", 2)
+    g.compact_index(spark, path)  # nothing there yet
+    for names in (["a", "b"], ["c", "b"]):
+        g.save_index({n: df for n, df in index_of(make_cells, *names).items() if n in ("sheet_profile", "header_postings")}, path)
+    g.drop_sources(spark, path, ["b"])
+
+    def rows():
+        return {n: sorted(map(str, df.collect())) for n, df in g.load_index(spark, path).items()}
+
+    def files():
+        return {str(f.relative_to(path)).split("/")[1] for f in (tmp_path / "index").rglob("part-*") if f.relative_to(path).parts[0] != "live"}
+
+    before = rows()
+    with monkeypatch.context() as m:  # broken off before the new generation counts, and between the emptied ones
+        m.setattr(index, "_write_live", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            g.compact_index(spark, path)
+    assert rows() == before
+    write, calls = index._write, []
+
+    def breaks(df, path, name, generation):
+        calls.append(name)
+        if len(calls) > len(before) + 2:
+            raise ZeroDivisionError
+        write(df, path, name, generation)
+
+    with monkeypatch.context() as m:
+        m.setattr(index, "_write", breaks)
+        with pytest.raises(ZeroDivisionError):
+            g.compact_index(spark, path)
+    assert rows() == before
+    g.compact_index(spark, path)
+    assert rows() == before and len(files()) == 1
+    g.save_index({"sheet_profile": index_of(make_cells, "b")["sheet_profile"]}, path)
+    assert sources_of(spark, path) == {"sheet_profile": ["a", "b", "c"], "header_postings": ["a", "c"]}
