@@ -352,6 +352,14 @@ def routed(spark, d, force=None, k=10, count_all=False):
     )
 
 
+def routed_summary(spark, d, force=None):
+    cells = edged_cells(spark, d)
+    columns, sheets, books = map(settled, g.profile(cells))
+    searched = clean_cells(spark, d, *ROUTED_SHEETS)
+    found = g.summarize_routing(asked(spark, d), searched, settled(g.build_header_postings(columns)), sheets, books, force=force)
+    return found.withColumn("avg_confidence", F.round("avg_confidence", 5))
+
+
 ROUTED_CELLS = clean_cells_sql(*ROUTED_SHEETS)
 TOP_CELLS = """SELECT * EXCLUDE (query), CAST(row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC, source, sheet, row, col) AS BIGINT) AS rank
     FROM ({found}) QUALIFY rank <= 10"""
@@ -451,12 +459,12 @@ def route_queries_whole(spark, d):
 
 @check(summary_sql(None, ALL_CELLS))
 def route_queries_whole_summary(spark, d):
-    return routed(spark, d, k=None)[1].withColumn("avg_confidence", F.round("avg_confidence", 5))
+    return routed_summary(spark, d)
 
 
 @check(summary_sql("cells", ALL_CELLS))
 def route_queries_whole_forced_to_cells(spark, d):
-    return routed(spark, d, "cells", k=None)[1].withColumn("avg_confidence", F.round("avg_confidence", 5))
+    return routed_summary(spark, d, "cells")
 
 
 @check(matches_sql(None))

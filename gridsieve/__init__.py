@@ -77,7 +77,7 @@ from .operators.tokens import (
     tokenize_pivot_fields,
     tokenize_queries,
 )
-from .plans.routing import classify_queries, route_queries
+from .plans.routing import classify_queries, route_queries, summarize_routing
 from .sources.celltext import cell_lines, parse_cells, parse_lines, read_cell_text, write_cell_text
 from .sources.index import changed_files, compact_index, drop_sources, invalidate, load_index, save_index
 from .sources.tables import table_lines, table_to_cells

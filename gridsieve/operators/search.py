@@ -238,6 +238,30 @@ def search_cells(
     return _once_per_text(queries, answer)
 
 
+def _count_per_text(queries: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``query_id, n, total``: the number of matches and the sum of their confidences, added up by text first."""
+
+    def answer(texts: DataFrame) -> DataFrame:
+        return find(texts).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("confidence").alias("total"))
+
+    return _once_per_text(queries, answer)
+
+
+def count_columns(queries: DataFrame, header_postings: DataFrame) -> DataFrame:
+    confidence = column_confidence(F.col("token"), F.col("header"))
+    return _count_per_text(queries, lambda q: match_headers(q, header_postings).withColumn("confidence", confidence))
+
+
+def count_sheets(queries: DataFrame, sheet_profile: DataFrame) -> DataFrame:
+    confidence = sheet_confidence(F.col("query"), F.col("sheet_name"))
+    return _count_per_text(queries, lambda q: match_sheets(q, sheet_profile).withColumn("confidence", confidence))
+
+
+def count_cells(queries: DataFrame, cells: DataFrame, case_sensitive: bool = False, regex: bool = False) -> DataFrame:
+    values = cells.select("value")
+    return _count_per_text(queries, lambda q: score_cells(match_cells(q, values, case_sensitive, regex)))
+
+
 def summarize_matches(matches: DataFrame) -> DataFrame:
     """Number of matches and their average confidence per query."""
     return matches.groupBy("query_id").agg(
