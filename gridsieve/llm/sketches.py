@@ -95,21 +95,21 @@ def merge_groups(prints: DataFrame, by: str, k: int = K, lanes: int = 64) -> Dat
     Partitions merge what they hold, then lanes of a group, then the lanes, so that a hot group is
     never read whole by one task; a task holds one fingerprint of a group at a time.
     """
-    schema = f"`{by}` string, fingerprint {FINGERPRINT}"
-    rows = prints.select(F.col(f"`{by}`").cast("string").alias(by), "fingerprint")
-    run = lambda batches: _merge_sorted(batches, by, k)
+    schema = f"value string, fingerprint {FINGERPRINT}"
+    rows = prints.select(F.col(f"`{by}`").cast("string").alias("value"), "fingerprint")
+    run = lambda batches: _merge_sorted(batches, k)
     lane = F.spark_partition_id() % lanes
-    part = rows.mapInArrow(run, schema).withColumn("lane", lane).repartition(by, "lane").sortWithinPartitions(by)
-    half = part.select(by, "fingerprint").mapInArrow(run, schema)
-    return half.repartition(by).sortWithinPartitions(by).mapInArrow(run, schema)
+    part = rows.mapInArrow(run, schema).withColumn("lane", lane).repartition("value", "lane").sortWithinPartitions("value")
+    half = part.select("value", "fingerprint").mapInArrow(run, schema)
+    return half.repartition("value").sortWithinPartitions("value").mapInArrow(run, schema).toDF(by, "fingerprint")
 
 
-def _merge_sorted(batches: Iterator[pa.RecordBatch], by: str, k: int) -> Iterator[pa.RecordBatch]:
+def _merge_sorted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     held: dict[str | None, np.ndarray] = {}
 
     def out(keys: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(keys, pa.string()), _arrays([held.pop(x) for x in keys])], [by, "fingerprint"]
+            [pa.array(keys, pa.string()), _arrays([held.pop(x) for x in keys])], ["value", "fingerprint"]
         )
 
     for batch in batches:
@@ -164,7 +164,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     are written as hexadecimal hashes in order.
 
     Ids are cut at approximate quantiles into buckets that are sorted by themselves, and the head of each bucket
-    is also dealt to the bucket before it, so texts are shuffled once.
+    is also dealt to the bucket before it, so texts are shuffled once.  Rows without an id stay where they are.
     """
     rows = docs.select(optional(docs, id_col, "long").alias("doc_id"), optional(docs, text_col, "string").alias("text"))
     ids = rows.select("doc_id")
@@ -175,7 +175,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     @F.pandas_udf("int")
     def bucket(x: pd.Series) -> pd.Series:
         places = len(cuts) - np.searchsorted(cuts, x.fillna(0).to_numpy(np.int64), side="left")
-        return pd.Series(np.where(x.isna(), -1, places), dtype="int32")
+        return pd.Series(places, dtype="int32")
 
     # one row for each bucket, of which there are as many as partitions times four
     found = ids.filter("doc_id IS NOT NULL").groupBy(bucket("doc_id").alias("b")).agg(F.max("doc_id").alias("head"))
@@ -188,10 +188,12 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     own = F.struct(bucket("doc_id").alias("bucket"), F.lit(0).alias("copied"))
     copy = F.struct(also("doc_id").alias("bucket"), F.lit(1).alias("copied"))
-    dealt = rows.select("doc_id", "text", F.explode(F.array(own, copy)).alias("at")).select("at.*", "doc_id", "text")
-    dealt = dealt.filter((F.col("copied") == 0) | (F.col("bucket") >= 0))
+    dealt = rows.filter("doc_id IS NOT NULL").select("doc_id", "text", F.explode(F.array(own, copy)).alias("at"))
+    dealt = dealt.select("at.*", "doc_id", "text").filter((F.col("copied") == 0) | (F.col("bucket") >= 0))
     ordered = dealt.repartition("bucket").sortWithinPartitions("bucket", "copied", F.desc("doc_id"), "text")
-    return ordered.mapInArrow(lambda batches: _beside_next(batches, k), EDITED)
+    alone = rows.filter("doc_id IS NULL").select(F.lit(-1).alias("bucket"), F.lit(0).alias("copied"), "doc_id", "text")
+    run = lambda batches: _beside_next(batches, k)
+    return ordered.mapInArrow(run, EDITED).unionByName(alone.mapInArrow(run, EDITED))
 
 
 class _Text:
