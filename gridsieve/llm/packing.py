@@ -79,32 +79,30 @@ def pack(pieces: DataFrame, capacity: int = 2048, leaf: int = LEAF) -> DataFrame
     """``pieces`` (with ``length``, 1 to ``capacity``) with ``sequence_id, offset`` (long) added.
 
     Every row is packed; equal rows are packed one by one.  Lengths beyond the capacity are an error.
-    An empty table gives none.  A column called ``sequence_id`` or ``offset`` is replaced.
+    An empty table gives none.  A column called ``sequence_id`` or ``offset`` is replaced; others may have any name.
     """
-    pieces = settled(pieces.drop("sequence_id", "offset"))
-    n_leaves = max(1, -(-pieces.count() // leaf))
-    # equal rows may share a leaf: their number is what matters, not which of them is where
-    node = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in pieces.columns if c != "ids")), F.lit(n_leaves)).cast("int")
-    ordered = pieces.withColumn("_node", node).repartition(n_leaves, "_node").sortWithinPartitions("_node", F.desc("length"))
-    where = pieces.schema.names
-    packed = settled(ordered.mapInArrow(lambda b: _pack_leaves(b, capacity, where), _packed_schema(pieces)))
-    bins = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill"))
-    moves = _merge_up(bins, n_leaves, capacity)
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    rows = settled(pieces.select(F.col("length").cast("long").alias("length"), row.alias("row")))
+    n_leaves = max(1, -(-rows.count() // leaf))
+    # rows are numbered as they lie in the checkpoint, so equal ones are dealt like others
+    node = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_leaves)).cast("int")
+    ordered = rows.withColumn("node", node).repartition(n_leaves, "node").sortWithinPartitions("node", F.desc("length"))
+    zero = F.lit(0).cast("long")
+    schema = rows.select("row", "length", zero.alias("sequence_id"), zero.alias("offset")).schema
+    packed = settled(ordered.mapInArrow(lambda b: _pack_leaves(b, capacity), schema))
+    own = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)]
+    moves = _merge_up(packed.groupBy("sequence_id").agg(F.sum("length").alias("fill")), n_leaves, capacity)
     if moves is None:
-        return packed
+        return packed.select(*own, "sequence_id", "offset")
     moved = packed.join(moves, "sequence_id", "left")
     return moved.select(
-        *(F.col(f"`{c}`") for c in where),
+        *own,
         F.coalesce("host", "sequence_id").alias("sequence_id"),
         (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"),
     )
 
 
-def _packed_schema(pieces: DataFrame):
-    zero = F.lit(0).cast("long")
-    return pieces.withColumns({"sequence_id": zero, "offset": zero}).schema
-
-
 class _Bins:
     """Bins by the room they have left; the tightest that takes an item is the lowest set bit."""
 
@@ -128,20 +126,18 @@ class _Bins:
         return found, self.capacity - room
 
 
-def _pack_leaves(batches: Iterator[pa.RecordBatch], capacity: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
+def _pack_leaves(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.RecordBatch]:
     node, bins = None, _Bins(capacity)
     for batch in batches:
         sequences, offsets = [], []
-        for own, size in zip(batch.column("_node").to_pylist(), batch.column("length").to_pylist(), strict=True):
+        for own, size in zip(batch.column("node").to_pylist(), batch.column("length").to_pylist(), strict=True):
             if own != node:
                 node, bins = own, _Bins(capacity)
             found, offset = bins.put(size)
             sequences.append((node << 36) + found)
             offsets.append(offset)
-        kept = [batch.column(c) for c in columns]
-        yield pa.RecordBatch.from_arrays(
-            [*kept, pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())], [*columns, "sequence_id", "offset"]
-        )
+        columns = [batch.column("row"), batch.column("length"), pa.array(sequences, pa.int64()), pa.array(offsets, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "length", "sequence_id", "offset"])
 
 
 def _merge_up(bins: DataFrame, n_nodes: int, capacity: int) -> DataFrame | None:
