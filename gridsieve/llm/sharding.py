@@ -7,11 +7,11 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..plans.sizing import broadcast_if_small
+from ..plans.sizing import broadcast_if_small, written
 from .common import optional, settled
 
 BITS = 4  # of each dimension on the curve
-ROWS_PER_RUN = 1_000  # least rows of a cell that are ranked apart from the others of the cell
+ROWS_PER_RUN = 100  # least rows of a cell that are ranked apart from the others of the cell
 RUNS = 20_000  # runs in all, beyond one for each cell
 
 
@@ -93,24 +93,34 @@ def shard_by_curve(
 
     The dimensions are those columns and the size of the text; a column the table does not have is null
     throughout.  size is the UTF-8 bytes of the text and 8; a null text has 8 and the checksum of nothing.  Along the
-    curve, rows of a cell follow a hash of their id, then id, size and checksum; rows equal in all of these are
-    alike in the result.  Row r of n (from 0) is in shard floor(r * shards / n), so counts differ by one at
+    curve, rows of a cell follow a hash of their id and text, then id, size and checksum; rows equal in all of these
+    are alike in the result.  The hash of a row without an id also takes its place in the table, so that a great many of
+    them with one text are spread, each in the shard that this place gives.  Row r of n (from 0) is in shard floor(r * shards / n), so counts differ by one at
     most; slot counts from 0 in each shard.
 
     A cell is split by the hash into runs that are ranked apart, so that no task holds a large cell; their counts,
     one for each cell and some ``RUNS`` more, are summed up in one small window.
     """
+    return _places(docs, shards, id_col, text_col, dims, bits).select("doc_id", "size", "text_crc32", "curve", "shard", "slot")
+
+
+def _places(
+    docs: DataFrame, shards: int, id_col: str, text_col: str, dims: tuple[str, ...], bits: int, *also: Column
+) -> DataFrame:
+    """The result of ``shard_by_curve`` with further columns of the rows."""
     text = optional(docs, text_col, "string")
+    doc_id = optional(docs, id_col, "long")
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long")
     cells = [_cell(kinds.get(d, "string"), optional(docs, d, kinds.get(d, "string")), bits) for d in dims]
     base = settled(
         docs.select(
-            optional(docs, id_col, "long").alias("doc_id"),
+            doc_id.alias("doc_id"),
             size.alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
             *(c.alias(f"d{i}") for i, c in enumerate([*cells, _cell("bigint", size, bits)])),
-            F.xxhash64(optional(docs, id_col, "long"), text).alias("lot"),
+            F.xxhash64(F.coalesce(doc_id, F.monotonically_increasing_id()), doc_id.isNull(), text).alias("lot"),
+            *also,
         )
     )
     names = [f"d{i}" for i in range(len(dims) + 1)]
@@ -131,24 +141,29 @@ def shard_by_curve(
     row = F.col("first") + F.col("rank")
     found = placed.withColumn("row", row).withColumn("shard", F.expr(f"row * {shards} div {max(1, total)}").cast("int"))
     first_row = F.expr(f"(cast(shard as bigint) * {total} + {shards - 1}) div {shards}")
-    return found.select("doc_id", "size", "text_crc32", "curve", "shard", (F.col("row") - first_row).alias("slot"))
+    return found.withColumn("slot", F.col("row") - first_row)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 24, id_col: str = "doc_id", **options) -> DataFrame:
     """Write documents as one folder of Parquet files a shard, in curve order, and return a manifest.
 
     The manifest has ``shard``, ``rows`` and the smallest and largest value of each column that can be ordered,
-    by which a reader prunes whole files.  Ids must not repeat.
+    by which a reader prunes whole files.  Every row is written once, also those with the same id or none: rows
+    are numbered in a copy of the table, and meet their places by that number.  Columns called ``_row``, ``_shard``,
+    ``_slot`` or ``_piece`` are replaced.
     """
-    places = shard_by_curve(docs, shards, id_col, **options).select(
-        F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot")
+    docs = docs.drop("_row", "_shard", "_slot", "_piece")
+    numbered = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    text_col, dims, bits = options.get("text_col", "text"), options.get("dims", ("lang", "source")), options.get("bits", BITS)
+    places = _places(numbered, shards, id_col, text_col, dims, bits, F.col("_row")).select(
+        "_row", F.col("shard").alias("_shard"), F.col("slot").alias("_slot")
     )
-    joined = docs.join(places, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_id"))).drop("_id")
+    joined = numbered.join(places, "_row").drop("_row")
     # a shard is spread over several files, each a run of slots, so that no task writes a whole one
     piece = F.floor(F.col("_slot") / 1_000_000)
     ordered = joined.withColumn("_piece", piece).repartition("_shard", "_piece").sortWithinPartitions("_shard", "_slot")
     ordered.drop("_piece").write.partitionBy("_shard").parquet(path)
-    written = docs.sparkSession.read.parquet(path)
+    shards_read = docs.sparkSession.read.parquet(path)
     plain = [f.name for f in docs.schema.fields if f.dataType.simpleString() in ("string", "bigint", "int", "double", "date", "timestamp")]
     ends = [x for c in plain for x in (F.min(f"`{c}`").alias(f"min_{c}"), F.max(f"`{c}`").alias(f"max_{c}"))]
-    return written.groupBy(F.col("_shard").alias("shard")).agg(F.count(F.lit(1)).alias("rows"), *ends)
+    return shards_read.groupBy(F.col("_shard").alias("shard")).agg(F.count(F.lit(1)).alias("rows"), *ends)
