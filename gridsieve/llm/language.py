@@ -217,8 +217,11 @@ def keep_known(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFra
     """``docs`` without those whose language is ``und`` and those that the trees do not code.
 
     A text that takes the best tree more bits a byte than the uniform code is in none of the languages.
-    Where nothing could be learnt, texts with a letter stay.  All columns stay as they are.
+    Where nothing could be learnt, texts with a letter stay.  All columns stay as they are; without a text column
+    all texts are null, and none stays.
     """
+    if text_col not in docs.columns:
+        return docs.filter(F.lit(False))
     shared = ship(docs.sparkSession, trees)
     place = docs.columns.index(text_col)
 

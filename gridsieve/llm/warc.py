@@ -161,7 +161,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """``RECORDS`` of the archives in the column ``path``; a row with ``error`` for what is not valid.
 
     Frames are decoded one by one as the file is read.  After a bad frame the rest of its archive cannot be
-    found and counts as one error; after a bad record reading goes on.  A null path has no records.
+    found and counts as one error; after a bad record reading goes on.  A null path has no records, and a path
+    without a file that may be read is one error; other failures of the file system end the task, which is tried again.
     payload_bytes and payload_digest are of the full payload, also for revisits, whose payload is not
     there.  ``payloads=False`` checks the payloads and leaves them out.
     """
@@ -180,7 +181,7 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
                             yield (path, number, *[None] * 8, str(e))
                         else:
                             yield (path, number, *found[:-1], found[-1] if payloads else None, None)
-                except (BadRecord, zstandard.ZstdError) as e:
+                except (BadRecord, zstandard.ZstdError, pa.ArrowInvalid, FileNotFoundError, PermissionError) as e:
                     yield (path, number + 1, *[None] * 8, str(e))
 
     paths = archives.select("path").repartition(max(1, archives.count()))
@@ -190,6 +191,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
 def frames(path: str) -> Iterator[bytes]:
     """The content of each frame of an archive, with its dictionary if it begins with one."""
     files, place = pyarrow.fs.FileSystem.from_uri(path)
+    if files.get_file_info(place).type != pyarrow.fs.FileType.File:
+        raise BadRecord("there is no such file")
     with files.open_input_stream(place, compression=None) as stream:
         data = stream.read(8)
         dictionary = None

@@ -7,6 +7,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
+
 from gridsieve.llm import line_dedup, simhash, sketches
 from gridsieve.llm.components import components
 
@@ -116,7 +118,8 @@ def plain_lines(texts):
         for k in {key(x) for x in (text or "").split("\n")}:
             if len(k) >= 20:
                 holders[k].append(i)
-    keeper = {k: max((i for i in v if i is not None), default=None) for k, v in holders.items() if len(v) >= 3}
+    n_docs = lambda v: len(set(v) - {None}) + v.count(None)
+    keeper = {k: max((i for i in v if i is not None), default=None) for k, v in holders.items() if n_docs(v) >= 3}
     out = []
     for i, text in texts:
         lines = (text or "").split("\n")
@@ -136,6 +139,19 @@ def test_shared_lines(docs, texts, edge, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_lines_of_repeated_and_missing_ids(spark):
+    lines = [f"a line of its own number {i}, long enough" for i in range(6)]
+    rows = [(1, lines[0]), (1, lines[0]), (2, lines[0] + "\n" + lines[1])]  # two documents hold line 0
+    rows += [(3, lines[1] + "\n" + lines[2]), (3, lines[2] + "\n" + lines[3]), (4, lines[1] + "\nx")]
+    rows += [(None, lines[4] + "\n" + lines[5])] * 40 + [(None, f"{lines[5]}\nshort {i}") for i in range(40)] + [(9, lines[5])]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = [(r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(table).collect()]
+    assert sorted(found, key=str) == plain_lines(rows)
+    assert (1, lines[0], 1, 0) in found and (2, lines[0], 2, 1) in found
+    most = line_dedup.line_keys(table).groupBy("doc_id", "part").count().agg({"count": "max"}).first()[0]
+    assert most == 80  # two keys of each of the forty equal rows, one set of two when gathered
+
+
 def test_line_keys_at_their_bounds():
     assert line_dedup.key_of(b" \v\f" + b"A" * 20 + b"\r", 20) == b"a" * 20
     assert line_dedup.key_of(b"a" * 19 + b"  ", 20) is None
@@ -207,6 +223,9 @@ def test_sketches_merge_and_estimate(spark):
     for source in ("hot", None):
         own = {s for _, x, g in parts if g == source for s in sketches.shingle_hashes((x or "").encode().split())}
         assert [h % 2**64 for h in merged[source]] == sorted(own)[: sketches.K]
+    for name in ("lane", "value", "fingerprint"):
+        again = sketches.merge_groups(prints.select("fingerprint", *([F.col("source").alias(name)] if name != "fingerprint" else [])), name)
+        assert again.columns == [name, "fingerprint"] and again.count() == (2 if name != "fingerprint" else 4)
     pairs = spark.createDataFrame([([1, 2], [2, 3]), (None, []), ([5], None)], "a array<long>, b array<long>")
     found = sketches.compare(pairs, "a", "b").collect()
     assert [round(r["resemblance"], 3) for r in found] == [0.333, 1.0, 0.0]

@@ -141,6 +141,28 @@ def test_written_shards_prune(docs, spark, tmp_path):
     assert sum(shards_of) <= 18 < 6 * len(shards_of)  # a language does not lie in all shards
 
 
+def test_written_shards_of_repeated_and_missing_ids(spark, tmp_path):
+    rows = [(7, "a", "en", 1), (7, "b", "en", 2), (7, "b", "en", 3), (None, "c", None, 4), (None, "c", None, 5), (None, None, "fr", 6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, _row int")
+    manifest = sharding.write_shards(table, str(tmp_path / "shards"), shards=4).collect()
+    assert sum(r["rows"] for r in manifest) == 6
+    written = spark.read.parquet(str(tmp_path / "shards")).select("doc_id", "text", "lang")
+    assert sorted(map(tuple, written.collect()), key=str) == sorted((r[:3] for r in rows), key=str)
+
+
+def test_equal_rows_without_an_id_are_spread(spark):
+    same = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    table = same.union(spark.range(3000).select("id", F.concat(F.lit("text "), "id"))).withColumn("lang", F.lit("en"))
+    found = sharding.shard_by_curve(table)
+    check_shards(found.collect())
+    assert found.filter("doc_id IS NULL").select("shard").distinct().count() == 24
+    pieces = table.select("doc_id", F.lit(0).alias("piece"), F.lit(5).alias("length"), F.lit("x").alias("node"), F.lit("y").alias("_node"))
+    leaves = packing.pack(pieces, capacity=100, leaf=1000)
+    assert leaves.columns == [*pieces.columns, "sequence_id", "offset"] and leaves.filter("node = 'x' AND _node = 'y'").count() == 9000
+    sizes = [r["count"] for r in leaves.groupBy((F.col("sequence_id") / (1 << 36)).cast("int").alias("leaf")).count().collect()]
+    assert len(sizes) == 9 and max(sizes) < 1500
+
+
 # --- archives -------------------------------------------------------------------------------------
 
 
@@ -214,6 +236,9 @@ def test_bad_archives(spark, tmp_path):
         "revisit": [False, True], "cut": [False, True], "junk": [False, True], "dictionary": [False], "packed": [True],
     }
     assert pyarrow.fs.FileSystem.from_uri(paths[0][1])[1].endswith("good")
+    absent = [f"file://{tmp_path}/absent", f"file://{tmp_path}", "no address", paths[0][1]]
+    rows = warc.read_archives(spark.createDataFrame([(p,) for p in absent], "path string")).collect()
+    assert {r["path"]: r["error"] is None for r in rows} == dict(zip(absent, [False, False, False, True], strict=True))
 
 
 def test_no_pages(pages, tmp_path):

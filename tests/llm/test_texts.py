@@ -75,6 +75,9 @@ def test_language_edges(edge, nothing, spark):
     assert none.names == [] and language.predict(nothing, none).count() == 0
     assert {r["lang_pred"] for r in language.predict(edge, none).collect()} == {"und"}
     assert language.keep_known(edge, none).count() == 7
+    untitled = edge.drop("text")
+    assert language.keep_known(untitled, trees).count() == 0 and language.keep_known(untitled, trees).columns == untitled.columns
+    assert decontam.drop_leaks(untitled, []).count() == 12
 
 
 # --- licenses -------------------------------------------------------------------------------------
@@ -87,12 +90,15 @@ def plain_words(text):
 def plain_notices(text, templates, threshold):
     """Words that a matching block covers, and the best containment, for each template."""
     found, out = plain_words(text), []
-    for label, template in templates:
-        own = plain_words(template)
+    marks_of = lambda t: set(plain_words(" ".join(t[2:])))
+    for label, text, *_ in (whole := [(*t, "")[:3] for t in templates]):
+        own, marks = plain_words(text), marks_of(whole[len(out)])
+        rivals = [marks_of(t) - marks for t in whole if marks and t[0] != label and marks < marks_of(t)]
         width, tokens, covered, best = math.ceil(1.25 * len(own)), set(own), set(), 0.0
         for start in range(max(1, len(found) - width + 1)):
-            share = len(tokens & set(found[start : start + width])) / len(tokens)
-            if share >= threshold - 1e-12:
+            block = set(found[start : start + width])
+            share = len(tokens & block) / len(tokens)
+            if share >= threshold - 1e-12 and marks <= block and not any(r & block for r in rivals):
                 covered |= set(range(start, min(len(found), start + width)))
                 best = max(best, share)
         out.append((label, covered, best))
@@ -106,7 +112,7 @@ def test_notices(spark):
     for i in range(120):
         found = [rng.choice(vocabulary) if rng.random() < 0.5 else f"w{rng.randrange(50)}" for _ in range(rng.randrange(120))]
         for _ in range(rng.randrange(3)):
-            label, template = rng.choice(licenses.TEMPLATES)
+            template = rng.choice(licenses.TEMPLATES)[1]
             own = [w for w in plain_words(template) if rng.random() > 0.15]
             at = rng.randrange(len(found) + 1)
             found[at:at] = own
@@ -130,6 +136,33 @@ def test_notices(spark):
     assert matches > 30
 
 
+def test_one_right_label(spark):
+    """Labels given by hand; those of the fixed phrases always count."""
+    by_hand = [
+        ("Licensed under CC BY 4.0.", "cc-by"),
+        ("Text. Licensed under CC BY-NC 4.0. More text follows here.", "cc-by-nc"),
+        ("Licensed under CC BY-ND 4.0.", "cc-by-nd"),
+        ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa"),
+        ("Licensed under CC BY 4.0. The pictures in it are older, as you may see, and licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa"),
+        ("Released under the BSD license.", "bsd"),
+        ("Released under the Apache License.", "apache"),
+        ("Released under the MIT License.", "mit"),
+        ("It was released under the license of the publisher", ""),
+        ("Licensed under the Eclipse License, Version 2.0.", ""),
+        ("Licensed under the Eclipse Public License, Version 2.0.", "epl"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", "gpl,lgpl"),
+        ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+        ("Licensed under the conditions of your library, version 2.0", ""),
+        ("You may obtain a copy of the License at http://www.example.org/licenses/LICENSE-2.0 and may not use this file", ""),
+        (licenses.TEMPLATES[2][1], "mit"),
+    ]
+    table = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(by_hand)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in licenses.scan(table).collect()}
+    assert [found[i]["labels"] for i in range(len(by_hand))] == [x for _, x in by_hand]
+    lesser = found[11]
+    assert {s["label"] for s in lesser["spans"]} == {"lgpl"} and lesser["base_labels"] == "gpl"
+
+
 def test_license_edges(edge, nothing, spark):
     found = licenses.scan(edge).collect()
     assert len(found) == 12 and all(r["labels"] == "" and r["score"] == 0 for r in found)
