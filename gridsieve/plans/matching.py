@@ -20,6 +20,8 @@ from .sizing import broadcast_if_small, measured, settled
 FEW = 60  # queries that fit into the bits of a long
 GRAM_SIZES = [0, 1, 2, 3, 6]
 MIN_BITS, MAX_BITS = 12, 20  # the bitmap has 2^12 to 2^20 bits
+ADDED = ("query_id", "query", "matched_text")
+INNER = ("_text", "_gram", "_mask", "_i", "_q", "_key", "_size")  # columns of the way there
 
 
 def match_text(
@@ -32,12 +34,22 @@ def match_text(
 ) -> DataFrame:
     """Rows of ``df`` with ``query_id, query, matched_text`` for each query found in ``text``.
 
-    ``queries`` has the columns ``query_id`` and ``query``; its ids are distinct.
+    ``queries`` has the columns ``query_id`` and ``query``; its ids are distinct.  Columns of ``df`` with the names
+    that are added are replaced, in any spelling; ``text`` may be one of them.  All others may have any name.
     """
     queries = queries.select("query_id", "query").where(F.col("query").isNotNull())
+    aside = {c: f"_aside_{i}" for i, c in enumerate(df.columns) if c.lower() in (*ADDED, *INNER) and c != text}
+    back = {a: c for c, a in aside.items() if c.lower() in INNER}
+    if text.lower() in (*ADDED, *INNER):
+        aside[text] = "_aside_text"
+        back |= {"_aside_text": text} if text.lower() in INNER else {}
+    rows = df.withColumnsRenamed(aside).drop(*(a for a in aside.values() if a not in back and a != "_aside_text"))
+    subject = aside.get(text, text)
     if measured(queries)[0] <= few:
-        return _match_literals(queries, df, text, case_sensitive, regex)
-    return _match_grams(settled(queries), df, text, case_sensitive, regex)
+        found = _match_literals(queries, rows, subject, case_sensitive, regex)
+    else:
+        found = _match_grams(settled(queries), rows, subject, case_sensitive, regex)
+    return found.withColumnsRenamed(back).drop("_aside_text")
 
 
 def _no_match(df: DataFrame, kind: T.DataType) -> DataFrame:

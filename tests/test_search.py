@@ -260,3 +260,20 @@ def test_registered_routing_counts_all_matches(spark, data):
     most = whole.where("tier = 'cells'").agg(F.max("n_matches")).first()[0]
     assert most > 10
     assert search_checks.route_queries_whole(spark, data).where("match_type = 'cell'").agg(F.max("rank")).first()[0] == most
+
+
+@pytest.mark.parametrize("few", [60, 0])
+@pytest.mark.parametrize("regex", [False, True])
+def test_any_column_names(make_cells, make_queries, few, regex):
+    """Names that matching uses itself: those it adds are replaced, the others come back as they were."""
+    odd = ["_text", "_gram", "_mask", "_i", "_q", "_key", "_Size"]
+    cells = make_cells([(1, 1, "Cold widget"), (2, 1, "ring")]).withColumns({c: F.lit(c) for c in [*odd, "Query", "query_id", "matched_text"]})
+    found = matching.match_text(make_queries("widget"), cells, "value", regex=regex, few=few)
+    assert sorted(found.columns) == sorted([*(c for c in cells.columns if c not in ("Query", *matching.ADDED)), *matching.ADDED])
+    rows = found.collect()
+    assert [(r["row"], r["query_id"], r["query"], r["matched_text"]) for r in rows] == [(1, 1, "widget", "widget")]
+    assert all(rows[0][c] == c for c in odd)
+    for name in ("query", "_text"):
+        renamed = cells.drop("Query", "_text").withColumnRenamed("value", name)
+        found = matching.match_text(make_queries("widget"), renamed, name, regex=regex, few=few)
+        assert [(r["row"], r["query"]) for r in found.collect()] == [(1, "widget")] and (name == "query" or "_text" in found.columns)
