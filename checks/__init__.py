@@ -31,5 +31,6 @@ def load_all() -> None:
         profile_checks,
         ref_checks,
         search_checks,
+        summary_checks,
         token_checks,
     )

@@ -15,6 +15,7 @@ from .operators.cells import (
 )
 from .operators.compare import compare_sheets
 from .operators.fuzzy import fuzzy_cells, fuzzy_headers, similar_texts
+from .operators.pivot import cells_to_table, pivot_table
 from .operators.postings import (
     build_cell_postings,
     build_content_postings,
@@ -63,6 +64,8 @@ from .operators.search import (
     unresolved,
     with_context,
 )
+from .operators.states import column_states, column_statistics, merge_states, read_states
+from .operators.strata import draw_strata, merge_draws, sample_draws, sample_strata
 from .operators.tokens import (
     expand_synonyms,
     extract_entities,

@@ -97,17 +97,22 @@ def profile_columns(
     )
 
 
-def column_samples(cells: DataFrame, n: int = 20, max_length: int | None = None) -> DataFrame:
-    """The first ``n`` values of each column in row order, cut to ``max_length`` characters if asked."""
+def column_samples(cells: DataFrame, n: int = 20, max_length: int | None = None, with_rows: bool = False) -> DataFrame:
+    """The first ``n`` values of each column in row order, cut to ``max_length`` characters if asked.
+
+    ``with_rows`` gives ``first_values``, the values with the numbers of their rows.
+    """
     shown = F.col("value") if max_length is None else F.substring("value", 1, max_length)
-    return _listed(cells, shown, n, count_blocks=True)
+    return _listed(cells, shown, n, count_blocks=True, with_rows=with_rows)
 
 
-def _listed(cells: DataFrame, shown: Column, n: int, count_blocks: bool) -> DataFrame:
+def _listed(cells: DataFrame, shown: Column, n: int, count_blocks: bool, with_rows: bool = False) -> DataFrame:
     filled = cells.where(F.col("value").isNotNull()).select(*COLUMN, "row", shown.alias("value"))
     early = _early_rows(filled, n) if count_blocks else filled
     first = first_rows(early, COLUMN, [F.col("row")], n, "_n")
-    listed = F.array_sort(F.collect_list(F.struct("row", "value")))
+    listed = F.array_sort(F.collect_list(F.struct(F.col("row").cast("long").alias("row"), "value")))
+    if with_rows:
+        return first.groupBy(*COLUMN).agg(listed.alias("first_values"))
     return first.groupBy(*COLUMN).agg(
         F.transform(listed, lambda s: s["value"]).alias("sample_values")
     )

@@ -12,6 +12,7 @@ from ..plans.sizing import broadcast_if_small, shuffle_partitions
 # table: the columns its files are laid out and sorted by
 INDEX_TABLES = {
     "column_profile": ["source", "sheet_name", "column_index"],
+    "column_states": ["source", "sheet_name", "column_index"],
     "sheet_profile": ["source", "sheet_name"],
     "workbook_profile": ["source"],
     "header_postings": ["token", "source", "sheet_name", "column_index"],
