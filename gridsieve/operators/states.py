@@ -55,9 +55,13 @@ def column_states(cells: DataFrame, n_samples: int = 20, max_length: int | None
         .withColumn("ranks", F.when(F.col("n_numbers") > 0, F.col("_ranks")))
         .drop("_ranks")
     )
-    firsts = column_samples(cells.where(data), n_samples, max_length, with_rows=True)
-    named = states.join(firsts, COLUMN, "left").withColumnsRenamed({"sheet": "sheet_name", "col": "column_index"})
-    return named.withColumn("first_values", F.coalesce("first_values", F.array().cast("array<struct<row:long,value:string>>")))
+    if n_samples:
+        firsts = column_samples(cells.where(data), n_samples, max_length, with_rows=True)
+        states = states.join(firsts, COLUMN, "left")
+    else:
+        states = states.withColumn("first_values", F.lit(None))
+    named = states.withColumnsRenamed({"sheet": "sheet_name", "col": "column_index"})
+    return named.withColumn("first_values", F.coalesce("first_values", F.array()).cast("array<struct<row:long,value:string>>"))
 
 
 def _number(data: Column) -> Column:
