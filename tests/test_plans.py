@@ -149,3 +149,11 @@ def test_lines_of_a_table_take_no_shuffle(spark, data):
     assert "Exchange" not in plan(lines)
     cells = g.table_to_cells(df, "goods.xlsx", "part", cols=["p_name", "p_size", "p_retailprice"], row=F.col("p_partkey") + 2)
     assert lines.exceptAll(g.cell_lines(cells).select(lines.columns)).count() == 0
+
+
+def test_middling_sides_are_not_broadcast(spark):
+    """Some 60,000 rows: the driver would hold them several times over."""
+    from gridsieve.plans.sizing import fits
+
+    assert fits(spark.range(10_000)) and not fits(spark.range(60_000))
+    assert not fits(spark.range(9_000).selectExpr("repeat('x', 1000) AS text"))
