@@ -157,3 +157,10 @@ def test_middling_sides_are_not_broadcast(spark):
 
     assert fits(spark.range(10_000)) and not fits(spark.range(60_000))
     assert not fits(spark.range(9_000).selectExpr("repeat('x', 1000) AS text"))
+
+
+def test_tokens_of_samples_are_made_once(spark, data):
+    columns = g.profile_columns(sheet_cells(spark, data, "part"))
+    for few in (None, 2):
+        text = plan(g.build_content_postings(columns, per_value=few))
+        assert not re.search("Filter.*regexp_extract_all", text)
