@@ -164,3 +164,11 @@ def test_tokens_of_samples_are_made_once(spark, data):
     for few in (None, 2):
         text = plan(g.build_content_postings(columns, per_value=few))
         assert not re.search("Filter.*regexp_extract_all", text)
+
+
+def test_other_tables_of_many_rows_are_dealt_to_all_cores(spark, data, tmp_path):
+    from checks.sheets import table
+
+    spark.range(60_000).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert table(spark, str(tmp_path), "part").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert "Exchange" not in plan(table(spark, data, "part"))

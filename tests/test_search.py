@@ -277,3 +277,12 @@ def test_any_column_names(make_cells, make_queries, few, regex):
         renamed = cells.drop("Query", "_text").withColumnRenamed("value", name)
         found = matching.match_text(make_queries("widget"), renamed, name, regex=regex, few=few)
         assert [(r["row"], r["query"]) for r in found.collect()] == [(1, "widget")] and (name == "query" or "_text" in found.columns)
+
+
+def test_classes_are_cut_into_tokens_only_without_a_rule(spark, make_queries):
+    """The rules decide first; neither a null text nor one with a complex word reaches the tokens."""
+    asked = make_queries("find the price column", None, "compare a b", "cold widget", "one two three four five", "what* is", "")
+    found = {r["query_id"]: r["query_class"] for r in g.classify_queries(asked).collect()}
+    assert found == {1: "column_lookup", 2: "complex", 3: "complex", 4: "content_search", 5: "complex", 6: "pattern_match", 7: "content_search"}
+    text = g.classify_queries(asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_unruled" in text
