@@ -172,3 +172,14 @@ def test_other_tables_of_many_rows_are_dealt_to_all_cores(spark, data, tmp_path)
     spark.range(60_000).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert table(spark, str(tmp_path), "part").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert "Exchange" not in plan(table(spark, data, "part"))
+
+
+def test_many_metadata_queries_pass_by_few_workbooks(spark):
+    from gridsieve.plans.routing import describe_for
+
+    books = spark.createDataFrame([("a.xlsx", 1), ("b.xlsx", 2)], "source string, total_sheets int")
+    asked = spark.range(200_000).withColumnRenamed("id", "query_id")
+    told = describe_for(asked, books)
+    text = plan(told)
+    assert "BroadcastHashJoin" in text and "NestedLoop" not in text and "Exchange hashpartitioning" not in text
+    assert told.count() == 400_000 and told.distinct().count() == 400_000
