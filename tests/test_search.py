@@ -286,3 +286,17 @@ def test_classes_are_cut_into_tokens_only_without_a_rule(spark, make_queries):
     assert found == {1: "column_lookup", 2: "complex", 3: "complex", 4: "content_search", 5: "complex", 6: "pattern_match", 7: "content_search"}
     text = g.classify_queries(asked)._jdf.queryExecution().optimizedPlan().toString()
     assert "_unruled" in text
+
+
+@pytest.mark.parametrize("regex", [False, True])
+def test_few_short_queries_are_broadcast_beside_many_long_ones(spark, make_cells, monkeypatch, regex):
+    from gridsieve.plans import sizing
+
+    cells = make_cells([(r, 1, f"part {r:07d}") for r in range(1, 60)] + [(60, 1, "x"), (61, 1, None)])
+    texts = [f"{r:07d}" for r in range(30, 200)] + ["7", "x", "pa", "art"]
+    asked = spark.createDataFrame([(t, t) for t in texts], "query_id string, query string")
+    want = sorted((t, r["row"]) for t in texts for r in cells.collect() if r["value"] and t in r["value"])
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 20)
+    found = matching.match_text(asked, cells, "value", regex=regex)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
+    assert sorted((r["query_id"], r["row"]) for r in found.collect()) == want
