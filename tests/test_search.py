@@ -300,3 +300,16 @@ def test_few_short_queries_are_broadcast_beside_many_long_ones(spark, make_cells
     found = matching.match_text(asked, cells, "value", regex=regex)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
     assert sorted((r["query_id"], r["row"]) for r in found.collect()) == want
+
+
+def test_equal_values_are_counted_each_time(make_cells, make_queries):
+    from gridsieve.operators import search
+
+    cells = make_cells([(1, 1, "ring"), *((r, 1, "cold ring") for r in range(2, 9)), (9, 1, None), (10, 1, "Ring")])
+    counted = search.count_cells(make_queries("ring", "none"), cells)
+    whole = g.search_cells(make_queries("ring", "none"), cells)
+    total = whole.agg(F.sum("confidence")).first()[0]
+    row = counted.collect()
+    assert [(r["query_id"], r["n"]) for r in row] == [(1, whole.count())] and abs(row[0]["total"] - total) < 1e-9
+    text = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS times" in text
