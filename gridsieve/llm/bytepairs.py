@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from heapq import heapify, heappop, heappush
@@ -19,7 +19,6 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import tiktoken
-import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.sizing import written
@@ -30,7 +29,7 @@ COMMON_BYTES = 48  # longer words are never held
 LONG = 64  # bytes of a word from which on it is merged with a heap
 COUNTED = 200_000  # different words that a task counts before it hands them on
 PLACE_BITS = 24  # of a byte in a word that is folded
-SECOND = 30  # where the second place begins within a hash
+FEW = 16  # columns of a row of pairs that may fit into gaps far back
 HOLE = b"\xff\xff\xff\xff"  # -1, where an id would be
 
 
@@ -110,29 +109,24 @@ class Ranks:
     def literal(self) -> RankMap:
         """The rank map as constants that Spark folds once: all pairs of tokens that make a token.
 
-        A pair lies in one of two tables, in each at a place that a part of its hash gives (cuckoo hashing).
+        The pairs of a left token lie in one table, each its right token's id behind a place of the left one's own.
         """
         id_bits = max(max(self.ids.values()).bit_length(), 1)
-        pairs = [
-            ((self.ids[piece[:i]] + 1 << id_bits | self.ids[piece[i:]]) << id_bits | rank)
-            for piece, rank in self.ids.items() for i in range(1, len(piece)) if piece[:i] in self.ids and piece[i:] in self.ids
-        ]
-        bits = max(len(pairs) * 5 // 4, 2).bit_length()
-        tables: tuple[list, list] = ([None] * (1 << bits), [None] * (1 << bits))
-        for entry in pairs:
-            for turn in range(1000):  # the one that was there goes to the other table
-                digest = xxhash.xxh64_intdigest((entry >> id_bits).to_bytes(8, "little"), seed=42)
-                table, slot = tables[turn % 2], (digest >> SECOND * (turn % 2)) & ((1 << bits) - 1)
-                entry, table[slot] = table[slot], entry
-                if entry is None:
-                    break
-            else:
-                raise ValueError("the tables of pairs are too full")
-        one, two = (_constant((x or 0 for x in t), "bigint") for t in tables)
+        rights: dict[int, dict[int, int]] = {}
+        for piece, rank in self.ids.items():
+            for i in range(1, len(piece)):
+                if piece[:i] in self.ids and piece[i:] in self.ids:
+                    rights.setdefault(self.ids[piece[:i]], {})[self.ids[piece[i:]]] = rank
+        begins, size = displaced({left: np.array(sorted(row)) for left, row in rights.items()})
+        entries, begin_of = ["null"] * size, ["null"] * (1 << id_bits)
+        for left, row in rights.items():
+            begin_of[left] = begins[left]
+            for right, rank in row.items():
+                entries[begins[left] + right] = left << id_bits + 1 | rank
         single = [self.ids[bytes([i])] for i in range(256)]
         none = 1 << id_bits
         of_bytes = _constant((self.ids.get(bytes([i, j]), none) for i in range(256) for j in range(256)), "bigint")
-        return RankMap(one, two, _constant(single, "bigint"), of_bytes, bits, id_bits)
+        return RankMap(_constant(entries, "bigint"), _constant(begin_of, "int"), _constant(single, "bigint"), of_bytes, id_bits)
 
     def hexes(self) -> Column:
         """The pieces by id as a constant array of hexadecimal texts."""
@@ -142,76 +136,119 @@ class Ranks:
         return F.split(F.lit(",".join(pieces)), ",")
 
 
-def _constant(numbers: Iterable[int], kind: str) -> Column:
+def _constant(numbers: Iterable[int | str], kind: str) -> Column:
     return F.from_json(F.lit(f"[{','.join(map(str, numbers))}]"), f"array<{kind}>")
 
 
+def displaced(rows: dict[int, np.ndarray]) -> tuple[dict[int, int], int]:
+    """Where each row of rising columns begins, so that no two rows share a place, and the number of places.
+
+    Rows go into gaps that they fit, those of most columns first (row displacement); one of many columns, or of as
+    many as the row before, is tried from there on.  A row may begin before the first place, as long as its columns do not lie there.
+    """
+    begins, low, used = {}, 0, 0
+    free, columns, start = np.ones(1, bool), 0, 0
+    for left in sorted(rows, key=lambda x: (-len(rows[x]), x)):
+        gaps = rows[left] - rows[left][0]
+        if len(gaps) != columns:
+            columns, start = len(gaps), low if len(gaps) <= FEW else start
+        width = 64
+        while True:
+            if start + width + gaps[-1] >= len(free):
+                free = np.concatenate([free, np.ones(len(free) + width + int(gaps[-1]), bool)])
+            at = start + np.flatnonzero(free[start : start + width])
+            for gap in gaps[1:]:
+                at = at[free[at + gap]]
+                if not len(at):
+                    break
+            if len(at):
+                break
+            start, width = start + width, 4 * width
+        places = int(at[0]) + gaps
+        free[places] = False
+        start = int(at[0])
+        begins[left], used = int(places[0] - rows[left][0]), max(used, int(places[-1]) + 1)
+        while low < used and not free[low]:
+            low += 1
+    return begins, used
+
+
 @dataclass
 class RankMap:
-    """Constants: two tables of pairs, the ids of the 256 bytes, the ranks of all pairs of bytes, the bits of a place and of an id.
+    """Constants: the table of pairs, where the pairs of each left id begin, the ids of the 256 bytes, the ranks of all pairs of bytes, the bits of an id.
 
-    An entry is the ids of a pair, the first of them plus 1, and the rank of the token that they make, next to each other.
+    An entry is the left id of a pair and the rank of the token that the pair makes, next to each other.
     """
 
-    one: Column
-    two: Column
+    entries: Column
+    begins: Column
     single: Column
     of_bytes: Column
-    bits: int
     id_bits: int
 
-    def pair(self, left: Column, right: Column) -> Column:
-        return F.shiftleft(left.cast("long") + 1, self.id_bits).bitwiseOR(right.cast("long"))
+    def rank(self, left: Column, right: Column) -> Column:
+        """The rank of the token that two ids make, or the number above all ids.
 
-    def rank(self, pair: Column) -> Column:
-        """The rank of the token that a pair of ids makes, or a number beyond all ids.
-
-        Without the pair that was asked for, the entry of that pair is its rank and any other one is large.
+        Without the left id that was asked for, the entry of that id is its rank and any other one is large.
         """
-        mask, asked, h = F.lit((1 << self.bits) - 1), F.shiftleft(pair, self.id_bits), F.xxhash64(pair)
-        found = [F.get(t, x.bitwiseAND(mask).cast("int")) for t, x in ((self.one, h), (self.two, F.shiftrightunsigned(h, SECOND)))]
-        return F.least(*(e.bitwiseXOR(asked) for e in found))
+        entry = F.get(self.entries, F.get(self.begins, left.cast("int")) + right.cast("int"))
+        return F.least(entry.bitwiseXOR(F.shiftleft(left, self.id_bits + 1)), F.lit(1 << self.id_bits))
+
+
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, for lambdas: a fold over nothing hands it on without a copy.
+
+    Within a lambda a function may ask for the type of its arguments row by row, down to the last of theirs; that of
+    a named value is at hand.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, use)
+
+
+def joined(*arrays: Column) -> Column:
+    """Arrays one after the other; within a lambda ``concat`` takes element by element, ``flatten`` copies."""
+    return named(F.array(*arrays), F.flatten)
 
 
 def fold_merges(word: Column, ranks: RankMap) -> Column:
     """Ids of a word: those of its bytes, with the adjacent pair of least rank (the leftmost of equals) merged until none is left.
 
     A piece is one long: the rank of what it and the next piece make, its first byte's place in the word, its id.
-    The least of them is the next merge; it changes two pieces, and all others are copied.
+    The least of them is the next merge; it changes two pieces, and all others are copied.  A first piece that
+    makes nothing stands before the word.
     """
     id_bits = ranks.id_bits
-    shift, none = id_bits + PLACE_BITS, F.lit(1 << id_bits)
-    low, ids = F.lit((1 << shift) - 1), F.lit((1 << id_bits) - 1)
+    shift = id_bits + PLACE_BITS
+    nothing, low, ids = F.lit(1 << id_bits + shift), F.lit((1 << shift) - 1), F.lit((1 << id_bits) - 1)
+    places = F.lit((1 << shift) - (1 << id_bits))
     latin = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")  # a sign for each byte
 
-    def made(left: Column, right: Column) -> Column:
-        return F.shiftleft(F.least(ranks.rank(ranks.pair(left, right)), none), shift)  # without a right piece: none
-
     def merged(pieces: Column, _: Column) -> Column:
         def at(least: Column, i: Column) -> Column:
-            new = F.shiftrightunsigned(least, shift)
-            before, after = F.get(pieces, i - 2), F.get(pieces, i + 1)
-            changed = F.array(
-                made(before.bitwiseAND(ids), new).bitwiseOR(before.bitwiseAND(low)),
-                made(new, after.bitwiseAND(ids)).bitwiseOR(least.bitwiseAND(low).bitwiseXOR(least.bitwiseAND(ids))).bitwiseOR(new),
-            )
-            first = F.greatest(i - 2, F.lit(0))
-            return F.concat(F.slice(pieces, 1, first), F.array_compact(changed), F.slice(pieces, i + 2, F.size(pieces)))
+            new, before = F.shiftrightunsigned(least, shift), F.get(pieces, i - 2)
+            # the piece before a word makes nothing, and so does the last one of a word
+            left = F.when(i > 2, F.shiftleft(ranks.rank(before.bitwiseAND(ids), new), shift)).otherwise(nothing)
+            right = F.shiftleft(ranks.rank(new, F.get(pieces, i + 1).bitwiseAND(ids)), shift)
+            changed = F.array(left.bitwiseOR(before.bitwiseAND(low)), right.bitwiseOR(least.bitwiseAND(places)).bitwiseOR(new))
+            return joined(F.slice(pieces, 1, i - 2), changed, F.slice(pieces, i + 2, F.size(pieces)))
 
         def step(least: Column) -> Column:
-            done = F.transform(F.array(F.array_position(pieces, least).cast("int")), lambda i: at(least, i))
-            return F.when(least < F.lit(1 << id_bits + shift), F.get(done, F.lit(0))).otherwise(pieces)
+            # counted, as array_position leaves its loop by an exception
+            upto = F.size(F.filter(pieces, lambda x: x.bitwiseAND(places) <= least.bitwiseAND(places)))
+            return F.when(least < nothing, named(upto, lambda i: at(least, i))).otherwise(pieces)
 
-        return F.get(F.transform(F.array(F.array_min(pieces)), step), F.lit(0))
+        return named(F.array_min(pieces), step)
 
-    def piece(byte: Column, i: Column, signs: Column) -> Column:
-        beside = F.get(ranks.of_bytes, byte * 256 + F.ascii(F.get(signs, i + 1)))
-        rank = F.shiftleft(F.coalesce(beside, none), shift)
+    def piece(byte: Column, i: Column, own: Column) -> Column:
+        beside = F.get(ranks.of_bytes, F.shiftleft(byte, 8).bitwiseOR(F.get(own, i + 1)))
+        rank = F.coalesce(F.shiftleft(beside, shift), nothing)
         return rank.bitwiseOR(F.shiftleft(i.cast("long"), id_bits)).bitwiseOR(F.get(ranks.single, byte))
 
-    begun = F.transform(F.array(latin), lambda signs: F.transform(signs, lambda c, i: piece(F.ascii(c), i, signs)))
-    folded = F.aggregate(latin, F.get(begun, F.lit(0)), merged, lambda x: F.transform(x, lambda y: y.bitwiseAND(ids).cast("int")))
-    return F.when(F.octet_length(word) > 0, folded).otherwise(F.array().cast("array<int>"))
+    def folded(own: Column) -> Column:
+        begun = joined(F.array(nothing), F.transform(own, lambda c, i: piece(c, i, own)))
+        return F.aggregate(own, begun, merged, lambda x: F.transform(F.slice(x, 2, F.size(x)), lambda y: y.bitwiseAND(ids).cast("int")))
+
+    found = named(F.transform(latin, F.ascii), folded)
+    return F.when(F.octet_length(word) > 0, found).otherwise(F.array().cast("array<int>"))
 
 
 def heap_merges(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -361,7 +398,7 @@ def _filled(literal: Column) -> Column:
 
     def part(hole: Column, i: Column) -> Column:
         since = F.when(i > 0, F.get(holes, i - 1)["at"] + 1).otherwise(0)
-        return F.concat(F.slice(ids, since + 1, hole["at"] - since), fold_merges(hole["word"], literal))
+        return joined(F.slice(ids, since + 1, hole["at"] - since), fold_merges(hole["word"], literal))
 
     last = F.get(holes, F.size(holes) - 1)["at"] + 1
     rest = F.slice(ids, last + 1, F.size(ids))

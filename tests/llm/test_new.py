@@ -115,6 +115,25 @@ def test_encoding_and_decoding(spark, edge, ranks, library, common):
         assert bytes(r["back"]).decode() == (r["text"] or "")
 
 
+def test_rows_of_pairs_share_no_place(ranks):
+    rng = random.Random(6)
+    rows = {i: np.array(sorted(rng.sample(range(300), rng.choice([1, 1, 2, 3, 20, 90])))) for i in range(200)}
+    begins, size = bytepairs.displaced(rows)
+    places = np.concatenate([begins[i] + row for i, row in rows.items()])
+    assert len(set(places.tolist())) == len(places) and 0 <= places.min() and places.max() == size - 1
+    assert bytepairs.displaced({}) == ({}, 0)
+
+
+def test_folding_takes_no_slow_ways(spark, ranks, library):
+    """Within a lambda, array_position throws and concat goes element by element; most of the time went there."""
+    words = ["", "a", "aaaaaaa", "aaaaaaaaaa", " Enlichachau", "émentèelleéeau", "😀中", "x" * 300, "\x00\x00\x00"]
+    docs = spark.createDataFrame([(w,) for w in words], "word string")
+    got = docs.select("word", bytepairs.fold_merges(F.col("word"), ranks.literal()).alias("ids"))
+    assert {r["word"]: r["ids"] for r in got.collect()} == {w: library.encode_ordinary(w) for w in words}
+    plan = bytepairs.fold_merges(F.col("word"), bytepairs.Ranks({bytes([i]): i for i in range(256)}).literal())
+    assert not any(f in str(plan).lower() for f in ("array_position", "concat(", "xxhash64"))
+
+
 def test_encoding_of_nothing(nothing, ranks):
     assert bytepairs.encode(nothing, ranks, public_tokenizers.PATTERN).collect() == []
     assert bytepairs.encode(nothing.drop("text"), ranks, public_tokenizers.PATTERN).collect() == []
