@@ -264,6 +264,22 @@ def test_leaks_of_documents(spark, data, docs, texts):
     assert len(kept) == table.count() - len({i for i, _ in found})
 
 
+def test_candidates_hold_words_of_their_item(spark, data, docs, texts):
+    """Words of other items alone make no candidate, so few spans are compared one by one."""
+    searcher = decontam.searchers(docs, spark.read.parquet(f"{data}/benchmark.parquet"))[0]
+    proposed = near = 0
+    for text in texts.values():
+        found = decontam.words(text)
+        terms = searcher.terms.of(found)
+        near += sum(len(item) for item, _, _ in searcher.near(terms)) if found else 0
+        for i, start, _ in searcher.candidates(terms) if found else ():
+            item = searcher.items[i]
+            span = found[max(0, start - 2 * decontam.STEP) : max(0, start + len(item.words) + 2 * decontam.STEP)]
+            assert sum(w in item.masks for w in span) >= decontam.PARAPHRASE * len(item.words)
+            proposed += 1
+    assert 0 < proposed < near
+
+
 def test_leak_edges(spark, edge, nothing):
     benchmark = spark.createDataFrame(
         [(1, "One two three four five six seven. A line that many"), (2, None), (None, "a b"), (3, "zebra " * 12), (3, "zebra " * 12)],
