@@ -316,6 +316,57 @@ def test_latent_space_is_orthogonal_up_to_its_scale(docs, data, spark):
     assert np.abs(unit.T @ unit - np.eye(unit.shape[1])).max() < 1e-6
 
 
+def plain_products(texts, idf, basis):
+    """The windows' transpose times the windows times the basis, window by window, and the number of windows."""
+    out, n = np.zeros(basis.shape), 0
+    for found in texts:
+        for start in range(0, max(1, len(found) - decontam.STEP), decontam.STEP):
+            terms, times = np.unique(found[start : start + 2 * decontam.STEP], return_counts=True)
+            weights = times * idf[terms]
+            if weights.any():
+                row = weights[terms > 0] / np.linalg.norm(weights)
+                terms = terms[terms > 0]
+                out[terms] += np.outer(row, row @ basis[terms])
+                n += 1
+    return out, n
+
+
+@pytest.mark.parametrize("piece", [64, 1 << 16])
+def test_products_are_those_of_each_window(monkeypatch, piece):
+    monkeypatch.setattr(decontam, "PIECE", piece)
+    rng = np.random.default_rng(5)
+    idf, basis = rng.random(60) + 0.1, rng.standard_normal((60, 7))
+    sizes = [0, 1, 2, 15, 16, 17, 31, 32, 33, 47, 48, 49, 200, 1000]
+    texts = [np.maximum(0, rng.integers(-20, 60, n)).astype(np.int32) for n in sizes] + [np.zeros(40, np.int32)]
+    weighted = basis * idf[:, None]
+    weighted[0] = 0
+    out = np.zeros(basis.shape)
+    n = sum(decontam._add_product(group, idf, weighted, out) for group in decontam._groups(iter(texts)))
+    want, windows = plain_products(texts, idf, basis)
+    assert n == windows and np.abs(out - want).max() < 1e-9
+
+
+def test_latent_space_is_fitted_to_all_documents(spark, data, texts):
+    """1,500 texts, each of which changes it; some 500 of them were looked at before."""
+    found = [w for _, text in sorted(texts.items()) for w in decontam.words(text)]
+    cut = [b" ".join(found[20 * i : 20 * i + 40]).decode() for i in range(1500)]
+    rows = spark.createDataFrame(list(enumerate(cut)), "id long, text string").repartition(3)
+    items = [decontam._item(1, f"{cut[0]} {cut[30]}"), decontam._item(2, cut[700])]
+    terms = decontam.vocabulary(items)
+    n_terms = len(terms.known) + 1
+    assert 30 < n_terms <= decontam.RANK  # so that nothing of it is random
+    idf = decontam.inverse_frequencies(rows, terms)
+    eye = np.eye(n_terms)
+    whole, n = plain_products([terms.of(decontam.words(x)) for x in cut], idf, eye)
+    own = [terms.of(x.words[a : a + 2 * decontam.STEP]) for x in items for a in decontam._starts(len(x.words))]
+    values, turn = np.linalg.eigh(whole + plain_products(own, idf, eye)[0] * n / len(own))
+    turn = turn[:, values > 1e-9 * values.max()]
+    spread = np.sqrt((whole @ turn * turn).sum(axis=0))
+    want = turn / np.maximum(spread, spread.max() / 100)
+    space = decontam.latent_space(rows, items, terms, idf)
+    assert np.abs(space @ space.T - want @ want.T).max() < 1e-3 * np.abs(want @ want.T).max()
+
+
 @pytest.mark.parametrize("every", [3, 1])
 def test_short_item_that_many_documents_hold(spark, data, docs, texts, every):
     """A passage counts however frequent it is, also in every row."""
