@@ -277,6 +277,23 @@ def test_pipeline(spark, data, docs):
     check_sequences(found)
 
 
+def test_stage_fits_its_space_to_every_row(spark, data, monkeypatch):
+    """Windows of all rows go into the first and the last product, also beyond 500 rows."""
+    seen, whole = [], decontam._total
+
+    def total(parts):
+        seen.append(whole(parts))
+        return seen[-1]
+
+    monkeypatch.setattr(decontam, "_total", total)
+    rows = spark.range(1200).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 40) AS text")
+    corpus_pipeline.no_benchmark(spark, rows, data).count()
+    width = decontam.RANK + decontam.EXTRA
+    counts, *products = seen
+    assert counts[-1] == 1200
+    assert [x.reshape(-1, width)[-1, 0] for x in products] == [2 * 1200] * (decontam.ROUNDS + 1)
+
+
 def test_stages_keep_the_columns(spark, data, edge, nothing):
     for table in (edge, nothing):
         for _, stage in corpus_pipeline.STAGES[:-1]:
