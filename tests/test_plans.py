@@ -183,3 +183,14 @@ def test_many_metadata_queries_pass_by_few_workbooks(spark):
     text = plan(told)
     assert "BroadcastHashJoin" in text and "NestedLoop" not in text and "Exchange hashpartitioning" not in text
     assert told.count() == 400_000 and told.distinct().count() == 400_000
+
+
+def test_copies_for_lanes_are_not_broadcast_by_spark(spark, tmp_path, make_cells):
+    """The files of 60,000 tokens are far below Spark's threshold; their 16 copies would fill the driver."""
+    spark.range(60_000).selectExpr("id AS p_partkey", "concat('type', id % 5) AS token").write.parquet(f"{tmp_path}/tokens")
+    tokens = spark.read.parquet(f"{tmp_path}/tokens")
+    cells = make_cells([(1, 1, "type"), (2, 1, "type1"), (3, 1, "type4 type7"), (4, 1, "other")])
+    found = g.lookup_content(tokens, g.build_cell_postings(cells))
+    text = plan(found)
+    assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
+    assert found.count() == 24_000
