@@ -194,3 +194,19 @@ def test_copies_for_lanes_are_not_broadcast_by_spark(spark, tmp_path, make_cells
     text = plan(found)
     assert "BroadcastHashJoin" not in text and "SortMergeJoin" in text
     assert found.count() == 24_000
+
+
+def test_ranges_beyond_a_broadcast_are_not_broadcast_by_spark(spark, data, tmp_path, monkeypatch):
+    from gridsieve.plans import sizing
+
+    cells = sheet_cells(spark, data, "part")
+    high = "IF(id % 50 = 0, 1000000, id + id % 70)"
+    spark.range(300).selectExpr(
+        "'goods.xlsx' AS source", "'part' AS sheet", "int(id) AS r0", "int(id % 3) AS c0", f"int({high}) AS r1", "int(id % 3) AS c1"
+    ).write.parquet(f"{tmp_path}/zones")
+    zones = spark.read.parquet(f"{tmp_path}/zones")
+    usual = g.cells_in_ranges(cells, zones).count()
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 100)
+    found = g.cells_in_ranges(cells, zones)
+    assert "BroadcastHashJoin" not in plan(found)
+    assert found.count() == usual > 0
