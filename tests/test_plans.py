@@ -210,3 +210,17 @@ def test_ranges_beyond_a_broadcast_are_not_broadcast_by_spark(spark, data, tmp_p
     found = g.cells_in_ranges(cells, zones)
     assert "BroadcastHashJoin" not in plan(found)
     assert found.count() == usual > 0
+
+
+def test_tokens_for_samples_are_not_broadcast_by_spark(spark, data, tmp_path, monkeypatch):
+    from gridsieve.plans import sizing
+
+    postings = g.build_content_postings(g.profile_columns(sheet_cells(spark, data, "part")))
+    spark.range(300).selectExpr("id AS p_partkey", "IF(id % 3 = 0, 'ring', concat('none', id)) AS token").write.parquet(f"{tmp_path}/tokens")
+    tokens = spark.read.parquet(f"{tmp_path}/tokens")
+    usual = g.lookup_content(tokens, postings).count()
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 100)
+    found = g.lookup_content(tokens, postings)
+    join = plan(found).split("BroadcastHashJoin [token")
+    assert len(join) == 1 and "SortMergeJoin [token" in plan(found)
+    assert found.count() == usual > 0
