@@ -313,3 +313,20 @@ def test_equal_values_are_counted_each_time(make_cells, make_queries):
     assert [(r["query_id"], r["n"]) for r in row] == [(1, whole.count())] and abs(row[0]["total"] - total) < 1e-9
     text = counted._jdf.queryExecution().optimizedPlan().toString()
     assert "AS times" in text
+
+
+def test_matches_pass_by_the_queries_of_their_text(spark, make_cells, monkeypatch):
+    """Rows of a match follow each other, in many tasks, though 600 queries ask for three texts."""
+    from gridsieve.plans import sizing
+
+    cells = make_cells([(i, 1, f"ring {i % 7} bolt") for i in range(1, 400)])
+    texts = F.element_at(F.array(F.lit("ring"), F.lit("bolt"), F.lit("g 3 b")), (F.col("id") % 3 + 1).cast("int"))
+    queries = spark.range(600).select(F.col("id").alias("query_id"), texts.alias("query"))
+    usual = sorted(map(tuple, g.search_cells(queries, cells, context=False).collect()))
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 100)
+    found = g.search_cells(queries, cells, context=False)
+    assert found.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    rows = [tuple(r) for r in found.collect()]
+    places = [r[1:] for r in rows]
+    runs = 1 + sum(a != b for a, b in zip(places, places[1:]))
+    assert sorted(rows) == usual and len(rows) == 200 * (2 * 399 + 57) and runs == 2 * 399 + 57
