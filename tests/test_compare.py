@@ -183,3 +183,19 @@ def test_components_of_a_long_chain(spark):
     assert {(r["node"], r["root"]) for r in label_components(nodes, links).collect()} == {
         (i, 0 if i <= 50 else 51 if i <= 150 else 151 if i <= 250 else 251) for i in range(300)
     }
+
+
+def test_result_for_many_misspelt_queries_stays_small(spark, make_cells, monkeypatch, tmp_path):
+    """400 queries of one text and its 400 cells: a file of what is alike, not of the product."""
+    from gridsieve.plans import sizing
+
+    cells = make_cells([(i, 1, "large copper ring") for i in range(1, 401)])
+    queries = spark.range(400).selectExpr("id AS query_id", "'large coper ring' AS query")
+    usual = g.fuzzy_cells(queries, cells)
+    monkeypatch.setattr(sizing, "MAX_BROADCAST_ROWS", 100)
+    found = g.fuzzy_cells(queries, cells)
+    found.write.parquet(f"{tmp_path}/found")
+    assert found.count() == 160_000 and found.exceptAll(usual).count() == 0
+    rows = [tuple(r) for r in found.drop("query_id").collect()]
+    assert sum(a != b for a, b in zip(rows, rows[1:])) < 400
+    assert sum(f.stat().st_size for f in (tmp_path / "found").glob("*.parquet")) < 400_000
